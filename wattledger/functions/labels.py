@@ -1,114 +1,110 @@
-"""Report texts as column expressions.
+"""Report texts as SQL expressions.
 
-Numbers are rounded half-even on their exact value (``format_number``).
+Like functions.parsing, from expression text to expression text. Numbers are
+rounded half-even on their exact value (``format_number``).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import string
 
 HOUR_S = 3600
 DAY_S = 24 * HOUR_S
 YEAR_S = 365 * DAY_S
 
 
-def _plain(value: Column, decimals: int) -> Column:
-    """Fixed decimals without thousands separators."""
-    return F.translate(F.format_number(value, decimals), ",", "")
+def grouped(value: str, decimals: int) -> str:
+    """Fixed decimals with thousands separators."""
+    return f"format_number({value}, {decimals})"
 
 
-def _trimmed(value: Column, decimals: int = 2) -> Column:
-    """Rounded, with separators, trailing zeros dropped down to one decimal."""
-    return F.regexp_replace(F.format_number(value, decimals), r"(\.\d)0$", "$1")
+def plain(value: str, decimals: int) -> str:
+    """Fixed decimals without thousands separators."""
+    return f"replace({grouped(value, decimals)}, ',', '')"
 
 
-def footprint(grams: Column, html: bool = False) -> Column:
+def footprint(grams: str, html: bool = False) -> str:
     """gCO2e below one kilogram, kgCO2e below one tonne, else TCO2e."""
     gas = "CO<sub>2</sub>e" if html else "CO2e"
     return (
-        F.when(grams < 1e3, F.concat(F.format_number(grams, 0), F.lit(f" g{gas}")))
-        .when(grams < 1e6, F.concat(F.format_number(grams / 1e3, 0), F.lit(f" kg{gas}")))
-        .otherwise(F.concat(F.format_number(grams / 1e6, 0), F.lit(f" T{gas}")))
+        f"CASE WHEN {grams} < 1e3D THEN {grouped(grams, 0)} || ' g{gas}' "
+        f"WHEN {grams} < 1e6D THEN {grouped(f'{grams} / 1e3D', 0)} || ' kg{gas}' "
+        f"ELSE {grouped(f'{grams} / 1e6D', 0)} || ' T{gas}' END"
     )
 
 
-def tree_months(months: Column, split_years: bool = True) -> Column:
-    whole = months.cast("bigint")
-    years = F.floor(whole / 12)
-    rest = F.concat(F.lit(" and "), (whole - years * 12).cast("string"), F.lit(" tree-months"))
+def tree_months(months: str, split_years: bool = True) -> str:
+    whole = f"CAST({months} AS BIGINT)"
+    rest = f" || ' and ' || {whole} % 12 || ' tree-months'" if split_years else ""
     return (
-        F.when(whole < 1, F.concat(_plain(months, 3), F.lit(" tree-months")))
-        .when(whole == 1, F.concat(_plain(months, 1), F.lit(" tree-month")))
-        .when(whole < 6, F.concat(_plain(months, 1), F.lit(" tree-months")))
-        .when(whole <= 24, F.concat(whole.cast("string"), F.lit(" tree-months")))
-        .when(
-            whole < 120,
-            F.concat(years.cast("string"), F.lit(" tree-years"), rest if split_years else F.lit("")),
-        )
-        .otherwise(F.concat(_plain(months / 12, 1), F.lit(" tree-years")))
+        f"CASE WHEN {whole} < 1 THEN {plain(months, 3)} || ' tree-months' "
+        f"WHEN {whole} = 1 THEN {plain(months, 1)} || ' tree-month' "
+        f"WHEN {whole} < 6 THEN {plain(months, 1)} || ' tree-months' "
+        f"WHEN {whole} <= 24 THEN {whole} || ' tree-months' "
+        f"WHEN {whole} < 120 THEN {whole} DIV 12 || ' tree-years'{rest} "
+        f"ELSE {plain(f'{months} / 12', 1)} || ' tree-years' END"
     )
 
 
-def _trip(paris_london: Column, ny_sf: Column, nyc_melbourne: Column, short, medium, far) -> Column:
-    return F.when(ny_sf < 0.5, short).when(nyc_melbourne < 0.5, medium).otherwise(far)
-
+# Column with the number of flights -> the two ends of the route, shortest first.
+ROUTES = {
+    "flying_PAR_LON": ("Paris", "London", "Paris - London"),
+    "flying_NY_SF": ("New York", "San Francisco", "New York - San Francisco"),
+    "flying_NYC_MEL": ("New York", "Melbourne", "New York - Melbourne"),
+}
 
-def flying(paris_london: Column, ny_sf: Column, nyc_melbourne: Column) -> Column:
-    """Number of flights on the longest of three routes that gives at least half a flight."""
-    def text(value: Column, route: str) -> Column:
-        return F.concat(_trimmed(value), F.lit(f" flights between {route}"))
 
-    return _trip(
-        paris_london, ny_sf, nyc_melbourne,
-        text(paris_london, "Paris and London"),
-        text(ny_sf, "New York and San Francisco"),
-        text(nyc_melbourne, "New York and Melbourne"),
+def _by_route(text_of) -> str:
+    """The longest route that gives at least half a flight, else the shortest."""
+    short, medium, far = ROUTES
+    return (
+        f"CASE WHEN {medium} < 0.5D THEN {text_of(short)} WHEN {far} < 0.5D THEN {text_of(medium)} "
+        f"ELSE {text_of(far)} END"
     )
 
 
-def flying_parts(paris_london: Column, ny_sf: Column, nyc_melbourne: Column) -> Column:
-    """The same as a struct (number, trip)."""
-    number = _trip(
-        paris_london, ny_sf, nyc_melbourne,
-        _plain(paris_london, 2), _plain(ny_sf, 2), _plain(nyc_melbourne, 2),
-    ).cast("double")
-    trip = _trip(
-        paris_london, ny_sf, nyc_melbourne,
-        F.lit("Paris - London"), F.lit("New York - San Francisco"), F.lit("New York - Melbourne"),
-    )
-    return F.struct(number.alias("number"), trip.alias("trip"))
+def flying() -> str:
+    """Number of flights on one of the routes, two decimals, a trailing zero dropped."""
+    def text(column: str) -> str:
+        start, end, _ = ROUTES[column]
+        number = grouped(column, 2)
+        shown = f"CASE WHEN {number} LIKE '%0' THEN left({number}, length({number}) - 1) ELSE {number} END"
+        return f"{shown} || ' flights between {start} and {end}'"
+
+    return _by_route(text)
 
 
-def driving(km: Column) -> Column:
-    number = F.when(km < 10, F.format_number(km, 2)).otherwise(F.format_number(km, 0))
-    return F.concat(F.lit("driving "), number, F.lit(" km"))
+def flying_number() -> str:
+    return f"CAST({_by_route(lambda column: plain(column, 2))} AS DOUBLE)"
 
 
-def short_duration(ms: Column) -> Column:
+def flying_trip() -> str:
+    return _by_route(lambda column: string(ROUTES[column][2]))
+
+
+def driving(km: str) -> str:
+    return f"'driving ' || CASE WHEN {km} < 10 THEN {grouped(km, 2)} ELSE {grouped(km, 0)} END || ' km'"
+
+
+def short_duration(ms: str) -> str:
     """Years from 365 days on, days above two, hours from one on, else seconds."""
-    seconds = ms / 1e3
+    seconds = f"({ms} / 1e3D)"
 
-    def text(unit_s: int, name: str) -> Column:
-        value = seconds / unit_s
-        plural = F.when(value.cast("bigint") == 1, F.lit("")).otherwise(F.lit("s"))
-        return F.concat(_plain(value, 1), F.lit(f" {name}"), plural)
+    def text(unit_s: int, unit: str) -> str:
+        value = f"({seconds} / {unit_s})"
+        return f"{plain(value, 1)} || ' {unit}' || CASE WHEN CAST({value} AS BIGINT) = 1 THEN '' ELSE 's' END"
 
     return (
-        F.when(seconds >= YEAR_S, text(YEAR_S, "year"))
-        .when(seconds > 2 * DAY_S, text(DAY_S, "day"))
-        .when(seconds >= HOUR_S, text(HOUR_S, "hour"))
-        .otherwise(F.concat(_plain(seconds, 2), F.lit(" seconds")))
+        f"CASE WHEN {seconds} >= {YEAR_S} THEN {text(YEAR_S, 'year')} "
+        f"WHEN {seconds} > {2 * DAY_S} THEN {text(DAY_S, 'day')} "
+        f"WHEN {seconds} >= {HOUR_S} THEN {text(HOUR_S, 'hour')} "
+        f"ELSE {plain(seconds, 2)} || ' seconds' END"
     )
 
 
-def cost(amount: Column, currency: str) -> Column:
-    return F.concat(F.lit(currency), F.format_number(amount, 0))
-
-
-def count(value: Column) -> Column:
-    return F.format_number(value, 0)
+def cost(amount: str, currency: str) -> str:
+    return f"{string(currency)} || {grouped(amount, 0)}"
 
 
-def percent(ratio: Column, decimals: int = 2) -> Column:
-    return F.concat(_plain(ratio * 100.0, decimals), F.lit("%"))
+def percent(ratio: str, decimals: int = 2) -> str:
+    return f"{plain(f'{ratio} * 100D', decimals)} || '%'"

@@ -1,6 +1,9 @@
-"""Column expressions that read the text fields of an accounting log.
+"""SQL expressions that read the text fields of an accounting log.
 
-Built from Spark's own expressions only. Text that cannot be read becomes NULL;
+Every function takes and returns the text of a Spark SQL expression, for
+``selectExpr`` and ``expr``: a log has many fields, and one parsed text per field
+builds a plan much faster than one call into the JVM per operation. Built from
+Spark's own functions only. Text that cannot be read becomes NULL;
 operators.quality reports it. A failing ``try_cast`` is costly, so texts that are
 regularly no number (an empty match, a missing part) never get there.
 """
@@ -9,8 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from .sql import quoted, string
 
 # Texts that stand for a missing value in a delimited log.
 NA_TOKENS = (
@@ -26,22 +28,22 @@ STATE_UNFINISHED, STATE_CUSTOM_SUCCESS, STATE_FAILED, STATE_SUCCESS = -2, -1, 0,
 # Marks "memory use not logged" up to and including the roll-up to jobs.
 RSS_NOT_LOGGED = -1.0
 
-_SUBMIT = r"^\d{4}+-\d{1,2}+-\d{1,2}+T\d{1,2}+:\d{1,2}+:\d{1,2}+$"
-_REQUEST = r"^[0-9.]++[KMG][nc]?+$"
-_MEMORY_USE = r"^[0-9.]++[KMG]?+$"
+_SUBMIT = "^[0-9]{4}+-[0-9]{1,2}+-[0-9]{1,2}+T[0-9]{1,2}+:[0-9]{1,2}+:[0-9]{1,2}+$"
+_REQUEST = "^[0-9.]++[KMG][nc]?+$"
+_MEMORY_USE = "^[0-9.]++[KMG]?+$"
 
 
-def null_if_na(text: Column) -> Column:
+def null_if_na(text: str) -> str:
     """NULL for the texts that stand for a missing value, else the text itself."""
-    return F.when(~text.isin(*NA_TOKENS), text)
+    return f"CASE WHEN {text} NOT IN ({quoted(NA_TOKENS)}) THEN {text} END"
 
 
-def integer(text: Column) -> Column:
+def integer(text: str) -> str:
     """BIGINT, NULL when the text is no integer."""
-    return text.try_cast("bigint")
+    return f"try_cast({text} AS BIGINT)"
 
 
-def duration_ms(text: Column) -> Column:
+def duration_ms(text: str) -> str:
     """Milliseconds of ``[D-][[HH:]MM:]SS[.f]``.
 
     Parts may exceed 59. ``f`` is a whole number of milliseconds however many
@@ -54,105 +56,105 @@ def duration_ms(text: Column) -> Column:
     Parts of a text with too many separators do not add up to its length, which
     is how such a text is recognised.
     """
-    size = F.octet_length
-    time = F.substring_index(text, "-", -1)
-    clock = F.substring_index(time, ".", 1)
-    tail = F.substring_index(clock, ":", -2)
-    sec = F.substring_index(clock, ":", -1)
+    time = f"substring_index({text}, '-', -1)"
+    clock = f"substring_index({time}, '.', 1)"
+    tail = f"substring_index({clock}, ':', -2)"
+    sec = f"substring_index({clock}, ':', -1)"
+
+    def longer(a: str, b: str) -> str:
+        return f"octet_length({a}) > octet_length({b})"
 
     # Part, whether it is there, and its weight in ms.
     parts = (
-        (F.substring_index(text, "-", 1), size(text) > size(time), 86_400_000),
-        (F.substring_index(clock, ":", 1), size(clock) > size(tail), 3_600_000),
-        (F.substring_index(tail, ":", 1), size(tail) > size(sec), 60_000),
-        (F.substring_index(time, ".", -1), size(time) > size(clock), 1),
+        (f"substring_index({text}, '-', 1)", longer(text, time), 86_400_000),
+        (f"substring_index({clock}, ':', 1)", longer(clock, tail), 3_600_000),
+        (f"substring_index({tail}, ':', 1)", longer(tail, sec), 60_000),
+        (f"substring_index({time}, '.', -1)", longer(time, clock), 1),
     )
-    total = sec.try_cast("int") * F.lit(1_000).cast("bigint")
-    length = size(sec)
+    total = f"try_cast({sec} AS INT) * 1000L"
+    length = f"octet_length({sec})"
     for part, present, weight in parts:
-        total = total + F.when(present, part.try_cast("int")).otherwise(F.lit(0)) * F.lit(weight).cast("bigint")
-        length = length + F.when(present, size(part) + 1).otherwise(F.lit(0))
-    return F.when(size(text) == length, total)
+        total += f" + CASE WHEN {present} THEN try_cast({part} AS INT) ELSE 0 END * {weight}L"
+        length += f" + CASE WHEN {present} THEN octet_length({part}) + 1 ELSE 0 END"
+    return f"CASE WHEN octet_length({text}) = {length} THEN {total} END"
 
 
-def _gb(value: Column, unit: Column) -> Column:
-    return F.when(unit == "G", value).when(unit == "M", value / F.lit(1e3)).when(unit == "K", value / F.lit(1e6))
+def _gb(value: str, unit: str) -> str:
+    return f"CASE {unit} WHEN 'G' THEN {value} WHEN 'M' THEN {value} / 1e3D WHEN 'K' THEN {value} / 1e6D END"
 
 
-def requested_memory_gb(text: Column, nodes: Column, cores: Column) -> Column:
+def requested_memory_gb(text: str, nodes: str, cores: str) -> str:
     """GB of a memory request: ``8G`` in all, ``250Gn`` per node, ``6760Mc`` per core.
 
     A request that is not logged counts as 0.
     """
-    last = F.right(text, F.lit(1))
-    scoped = last.isin("n", "c")
-    tail = F.when(scoped, F.lit(2)).otherwise(F.lit(1))
-    unit = F.substring(text, -tail, F.lit(1))
-    value = F.when(text.rlike(_REQUEST), F.substring(text, F.lit(1), F.length(text) - tail)).try_cast("double")
-    times = F.when(last == "n", nodes).when(last == "c", cores).otherwise(F.lit(1).cast("bigint"))
-    return F.when(text.isNull(), F.lit(0.0)).otherwise(_gb(value * times, unit))
+    last = f"right({text}, 1)"
+    tail = f"CASE WHEN {last} IN ('n', 'c') THEN 2 ELSE 1 END"
+    unit = f"substring({text}, -{tail}, 1)"
+    value = (
+        f"try_cast(CASE WHEN {text} RLIKE {string(_REQUEST)} THEN substring({text}, 1, length({text}) - {tail}) END AS DOUBLE)"
+    )
+    times = f"CASE {last} WHEN 'n' THEN {nodes} WHEN 'c' THEN {cores} ELSE 1L END"
+    return f"CASE WHEN {text} IS NULL THEN 0D ELSE {_gb(f'({value} * {times})', unit)} END"
 
 
-def max_rss_gb(text: Column, default_unit: str | None) -> Column:
+def max_rss_gb(text: str, default_unit: str | None) -> str:
     """GB of a memory use such as ``2745K``; a bare number is in ``default_unit``.
 
     Not logged gives RSS_NOT_LOGGED. Without a default unit a bare number is
     unreadable, except for 0.
     """
-    last = F.right(text, F.lit(1))
-    has_unit = last.isin("K", "M", "G")
-    bare = F.when(has_unit, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
-    value = F.when(text.rlike(_MEMORY_USE), bare).try_cast("double")
-    unit = F.when(has_unit, last).otherwise(F.lit(default_unit).cast("string"))
+    last = f"right({text}, 1)"
+    has_unit = f"{last} IN ('K', 'M', 'G')"
+    bare = f"CASE WHEN {has_unit} THEN substring({text}, 1, length({text}) - 1) ELSE {text} END"
+    value = f"try_cast(CASE WHEN {text} RLIKE {string(_MEMORY_USE)} THEN {bare} END AS DOUBLE)"
+    unit = f"CASE WHEN {has_unit} THEN {last} ELSE {string(default_unit)} END"
     return (
-        F.when(text.isNull(), F.lit(RSS_NOT_LOGGED))
-        .when(text == "0", F.lit(0.0))
-        .otherwise(_gb(value, unit))
+        f"CASE WHEN {text} IS NULL THEN {RSS_NOT_LOGGED}D WHEN {text} = '0' THEN 0D "
+        f"ELSE {_gb(value, unit)} END"
     )
 
 
-def gpu_count(resources: Column) -> Column:
+def gpu_count(resources: str) -> str:
     """Number of GPUs in an allocation text; typed entries (``gres/gpu:a100=4``) do not count."""
-    count = F.when(
-        F.contains(resources, F.lit("gres/gpu=")),
-        F.nullif(F.regexp_extract(resources, r"gres/gpu=([0-9]+)", 1), F.lit("")),
+    digits = f"nullif(regexp_extract({resources}, 'gres/gpu=([0-9]+)', 1), '')"
+    return (
+        f"coalesce(try_cast(CASE WHEN contains({resources}, 'gres/gpu=') THEN {digits} END AS BIGINT), 0L)"
     )
-    return F.coalesce(count.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
-def first_partition(partitions: Column) -> Column:
+def first_partition(partitions: str) -> str:
     """First of a comma list of partitions, ``''`` when not logged."""
-    return F.coalesce(F.substring_index(partitions, ",", 1), F.lit(""))
+    return f"coalesce(substring_index({partitions}, ',', 1), '')"
 
 
-def submit_timestamp(text: Column) -> Column:
+def submit_timestamp(text: str) -> str:
     """Strict ``yyyy-mm-ddThh:mm:ss`` without zone.
 
     Cast straight to TIMESTAMP_NTZ: going through the session's zone would move
     times that fall into its daylight-saving gaps.
     """
-    return F.when(text.rlike(_SUBMIT), text.try_cast("timestamp_ntz"))
+    return f"CASE WHEN {text} RLIKE {string(_SUBMIT)} THEN try_cast({text} AS TIMESTAMP_NTZ) END"
 
 
-def state_code(state: Column, custom_success: Sequence[str] = ()) -> Column:
+def state_code(state: str, custom_success: Sequence[str] = ()) -> str:
     """1 success, 0 failure, -1 success by the caller's own list, -2 not finished.
 
     Under ``min`` over the steps of a job, "not finished" outranks the caller's
     list, which outranks failure. Exact match only.
     """
-    code = F.when(state.isin(*SUCCESS_STATES), F.lit(STATE_SUCCESS))
-    if custom_success:
-        code = code.when(state.isin(*custom_success), F.lit(STATE_CUSTOM_SUCCESS))
-    return F.when(state.isin(*UNFINISHED_STATES), F.lit(STATE_UNFINISHED)).otherwise(
-        code.otherwise(F.lit(STATE_FAILED))
+    own = f" WHEN {state} IN ({quoted(custom_success)}) THEN {STATE_CUSTOM_SUCCESS}" if custom_success else ""
+    return (
+        f"CASE WHEN {state} IN ({quoted(UNFINISHED_STATES)}) THEN {STATE_UNFINISHED} "
+        f"WHEN {state} IN ({quoted(SUCCESS_STATES)}) THEN {STATE_SUCCESS}{own} ELSE {STATE_FAILED} END"
     )
 
 
-def job_id(step_id: Column) -> Column:
+def job_id(step_id: str) -> str:
     """Id of the job a step belongs to: the text before the first dot."""
-    return F.substring_index(step_id, ".", 1)
+    return f"substring_index({step_id}, '.', 1)"
 
 
-def parent_job_id(single_job_id: Column) -> Column:
+def parent_job_id(single_job_id: str) -> str:
     """Id of the array a job belongs to: the text before the first underscore."""
-    return F.substring_index(single_job_id, "_", 1)
+    return f"substring_index({single_job_id}, '_', 1)"

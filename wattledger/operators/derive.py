@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..functions.sql import double
 from ..params import CPU, GPU, ClusterParams
 from ..schemas import JOBS_SCHEMA, conform
 from ..sources.dimensions import POWER_COLUMNS, partition_lookup
@@ -15,10 +16,9 @@ MS_PER_HOUR = 3.6e6
 
 def attach_hardware(jobs: DataFrame, params: ClusterParams) -> DataFrame:
     """PartitionTypeX and the power draws by one equi-lookup; NULL for a partition the cluster does not have."""
-    dim = partition_lookup(jobs.sparkSession, params).select(
-        F.col("partition").alias("PartitionX"),
-        F.col("type").alias("PartitionTypeX"),
-        *[F.col(name).alias(hidden) for name, hidden in POWER_COLUMNS.items()],
+    dim = partition_lookup(jobs.sparkSession, params).selectExpr(
+        "partition AS PartitionX", "type AS PartitionTypeX",
+        *[f"{column} AS {hidden}" for column, hidden in POWER_COLUMNS.items()],
     )
     return jobs.join(dim, "PartitionX", "left")
 
@@ -27,57 +27,35 @@ def default_gpus(jobs: DataFrame, gpus_logged: bool) -> DataFrame:
     """One GPU per job on GPU partitions when the log cannot tell."""
     if gpus_logged:
         return jobs
-    return jobs.withColumn(
-        "NGPUS_", F.when(F.col("PartitionTypeX") == GPU, F.lit(1).cast("bigint")).otherwise(F.col("NGPUS_"))
-    )
-
-
-def cpu_time_to_use() -> Column:
-    """CPU time, or all cores for the whole wallclock where no use was logged."""
-    return F.when(F.col("TotalCPUtime_") == 0, F.col("CPUwallclocktime_")).otherwise(F.col("TotalCPUtime_"))
-
-
-def gpu_time_to_use() -> Column:
-    """GPUs count as fully used for the whole wallclock."""
-    return F.when(
-        F.col("PartitionTypeX") == GPU, F.try_multiply(F.col("WallclockTimeX"), F.col("NGPUS_"))
-    ).otherwise(F.lit(0).cast("bigint"))
-
-
-def cpu_hours_charged() -> Column:
-    return F.when(F.col("PartitionTypeX") == CPU, F.col("CPUwallclocktime_") / F.lit(MS_PER_HOUR)).when(
-        F.col("PartitionTypeX") == GPU, F.lit(0.0)
-    )
-
-
-def gpu_hours_charged() -> Column:
-    gpu_ms = F.try_multiply(F.col("WallclockTimeX"), F.col("NGPUS_"))
-    return F.when(F.col("PartitionTypeX") == GPU, gpu_ms / F.lit(MS_PER_HOUR)).when(
-        F.col("PartitionTypeX") == CPU, F.lit(0.0)
-    )
-
-
-def used_memory() -> Column:
-    """Memory used, or all that was requested where no use was logged."""
-    return F.when(F.col("UsedMem_") == P.RSS_NOT_LOGGED, F.col("ReqMemX")).otherwise(F.col("UsedMem_"))
-
-
-def needed_memory(used: Column, granularity: float) -> Column:
+    return jobs.withColumn("NGPUS_", F.expr(f"CASE PartitionTypeX WHEN '{GPU}' THEN 1L ELSE NGPUS_ END"))
+
+
+# CPU time, or all cores for the whole wallclock where no use was logged.
+CPU_TIME_TO_USE = "CASE TotalCPUtime_ WHEN 0 THEN CPUwallclocktime_ ELSE TotalCPUtime_ END"
+# GPUs count as fully used for the whole wallclock.
+_GPU_TIME = "try_multiply(WallclockTimeX, NGPUS_)"
+GPU_TIME_TO_USE = f"CASE PartitionTypeX WHEN '{GPU}' THEN {_GPU_TIME} ELSE 0L END"
+# Hours are charged for the cores on CPU partitions, for the GPUs on GPU partitions.
+CPU_HOURS_CHARGED = (
+    f"CASE PartitionTypeX WHEN '{CPU}' THEN CPUwallclocktime_ / {MS_PER_HOUR}D WHEN '{GPU}' THEN 0D END"
+)
+GPU_HOURS_CHARGED = f"CASE PartitionTypeX WHEN '{GPU}' THEN {_GPU_TIME} / {MS_PER_HOUR}D WHEN '{CPU}' THEN 0D END"
+# Memory used, or all that was requested where no use was logged.
+USED_MEMORY = f"CASE UsedMem_ WHEN {P.RSS_NOT_LOGGED}D THEN ReqMemX ELSE UsedMem_ END"
+# Memory requested over memory needed, at least 1; NULL for 0 over 0.
+OVERALLOCATION_FACTOR = "CASE WHEN ReqMemX < NeededMemX THEN 1D ELSE try_divide(ReqMemX, NeededMemX) END"
+
+
+def needed_memory(used: str, granularity: float) -> str:
     """Smallest multiple of ``granularity`` strictly above the use, at most the request.
 
     A request below the use is a logging error and does not cap the need.
     """
-    step = F.lit(float(granularity))
-    above = (F.floor(used / step) + 1) * step
-    return F.when(F.col("ReqMemX") < used, above).otherwise(
-        F.when(F.col("ReqMemX").isNotNull(), F.least(F.col("ReqMemX"), above))
-    )
-
-
-def overallocation_factor() -> Column:
-    """Memory requested over memory needed, at least 1; NULL for 0 over 0."""
-    return F.when(F.col("ReqMemX") < F.col("NeededMemX"), F.lit(1.0)).otherwise(
-        F.try_divide(F.col("ReqMemX"), F.col("NeededMemX"))
+    step = double(granularity)
+    above = f"((floor({used} / {step}) + 1) * {step})"
+    return (
+        f"CASE WHEN ReqMemX < {used} THEN {above} WHEN ReqMemX IS NOT NULL AND {used} IS NOT NULL "
+        f"THEN least(ReqMemX, {above}) END"
     )
 
 
@@ -88,16 +66,17 @@ def derive_jobs(jobs: DataFrame, params: ClusterParams, gpus_logged: bool = True
     """
     typed = default_gpus(attach_hardware(jobs, params), gpus_logged)
     return (
-        typed.withColumns({
-            "UsedMem2_": used_memory(),
-            "TotalCPUtime2useX": cpu_time_to_use(),
-            "TotalGPUtime2useX": gpu_time_to_use(),
-            "CPUhoursChargedX": cpu_hours_charged(),
-            "GPUhoursChargedX": gpu_hours_charged(),
-            "parentJobID": P.parent_job_id(F.col("single_jobID")),
-        })
-        .withColumn("NeededMemX", needed_memory(F.col("UsedMem2_"), params.granularity_memory_request))
-        .withColumn("memOverallocationFactorX", overallocation_factor())
+        typed.selectExpr(
+            "*",
+            f"{USED_MEMORY} AS UsedMem2_",
+            f"{CPU_TIME_TO_USE} AS TotalCPUtime2useX",
+            f"{GPU_TIME_TO_USE} AS TotalGPUtime2useX",
+            f"{CPU_HOURS_CHARGED} AS CPUhoursChargedX",
+            f"{GPU_HOURS_CHARGED} AS GPUhoursChargedX",
+            f"{P.parent_job_id('single_jobID')} AS parentJobID",
+        )
+        .selectExpr("*", f"{needed_memory('UsedMem2_', params.granularity_memory_request)} AS NeededMemX")
+        .selectExpr("*", f"{OVERALLOCATION_FACTOR} AS memOverallocationFactorX")
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OVERALL = "overall"
@@ -30,26 +32,24 @@ def factor_values(jobs: DataFrame) -> DataFrame:
     )
 
 
-def memory_efficiency() -> Column:
-    """Share of the requested memory that was needed, in percent."""
-    return F.try_divide(F.lit(1.0), F.col("memOverallocationFactorX")) * 100.0
+# Share of the requested memory that was needed, in percent.
+MEMORY_EFFICIENCY = "1D / memOverallocationFactorX * 100D"
 
 
-def memory_efficiency_histogram(jobs: DataFrame, by=("UserX",), bins: int = 20) -> DataFrame:
+def memory_efficiency_histogram(jobs: DataFrame, by: Sequence[str] = ("UserX",), bins: int = 20) -> DataFrame:
     """Jobs per bin of memory efficiency, bins of equal width over 0 to 100 percent.
 
-    Bin 1 starts at 0; 100 percent belongs to the last bin.
+    Bin 1 starts at 0; 100 percent belongs to the last bin. Jobs without a
+    factor are in no bin.
     """
-    efficiency = memory_efficiency()
-    number = F.least(F.width_bucket(efficiency, F.lit(0.0), F.lit(100.0), F.lit(bins)), F.lit(bins))
-    width = 100.0 / bins
+    number = f"least(width_bucket({MEMORY_EFFICIENCY}, 0D, 100D, {bins}L), {bins}L)"
+    width = f"{100.0 / bins!r}D"
     return (
-        jobs.withColumn("bin", number.cast("int"))
-        .filter(F.col("bin").isNotNull())
+        jobs.filter("memOverallocationFactorX IS NOT NULL")
+        .selectExpr(*by, f"CAST({number} AS INT) AS bin")
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n_jobs"))
-        .withColumn("bin_from", (F.col("bin") - 1) * F.lit(width))
-        .withColumn("bin_to", F.col("bin") * F.lit(width))
+        .selectExpr("*", f"(bin - 1) * {width} AS bin_from", f"bin * {width} AS bin_to")
     )
 
 

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..functions.sql import double
 from ..params import CPU, GPU, ClusterParams
 from ..sources.dimensions import POWER_COLUMNS, partition_lookup
 
@@ -19,9 +19,8 @@ def with_power(jobs: DataFrame, params: ClusterParams) -> DataFrame:
     """Look up the power draws of each job's partition, unless the jobs already have them."""
     if all(hidden in jobs.columns for hidden in POWER_COLUMNS.values()):
         return jobs
-    dim = partition_lookup(jobs.sparkSession, params).select(
-        F.col("partition").alias("PartitionX"),
-        *[F.col(name).alias(hidden) for name, hidden in POWER_COLUMNS.items()],
+    dim = partition_lookup(jobs.sparkSession, params).selectExpr(
+        "partition AS PartitionX", *[f"{column} AS {hidden}" for column, hidden in POWER_COLUMNS.items()]
     )
     return jobs.join(dim, "PartitionX", "left")
 
@@ -34,46 +33,41 @@ def add_energy(jobs: DataFrame, params: ClusterParams) -> DataFrame:
     draws are not looked up again.
     """
     jobs = with_power(jobs, params)
-    hours = {
-        name: F.col(column) / F.lit(1e3) / F.lit(3600.0)
-        for name, column in (("cpu", "TotalCPUtime2useX"), ("gpu", "TotalGPUtime2useX"), ("wall", "WallclockTimeX"))
-    }
-    kind = F.col("PartitionTypeX")
-    watts_cpu = F.when(kind == CPU, F.col("_tdp")).when(kind == GPU, F.col("_tdp_cpu"))
-    watts_gpu = F.when(kind == CPU, F.lit(0.0)).when(kind == GPU, F.col("_tdp"))
-    per_gb = F.lit(params.constants.power_memory_per_gb)
-    parts = jobs.withColumns({
-        "energy_CPUs": hours["cpu"] * watts_cpu / F.lit(1e3),
-        "energy_GPUs": hours["gpu"] * watts_gpu / F.lit(1e3),
+    tdp, tdp_cpu = POWER_COLUMNS["tdp"], POWER_COLUMNS["tdp_cpu"]
+    watts_cpu = f"CASE PartitionTypeX WHEN '{CPU}' THEN {tdp} WHEN '{GPU}' THEN {tdp_cpu} END"
+    watts_gpu = f"CASE PartitionTypeX WHEN '{CPU}' THEN 0D WHEN '{GPU}' THEN {tdp} END"
+    per_gb = double(params.constants.power_memory_per_gb)
+    parts = {
+        "energy_CPUs": f"TotalCPUtime2useX / 1e3D / 3600D * {watts_cpu} / 1e3D",
+        "energy_GPUs": f"TotalGPUtime2useX / 1e3D / 3600D * {watts_gpu} / 1e3D",
         **{
-            f"energy_memory{suffix}": hours["wall"] * F.col(memory) * per_gb / F.lit(1e3)
+            f"energy_memory{suffix}": f"WallclockTimeX / 1e3D / 3600D * {memory} * {per_gb} / 1e3D"
             for suffix, memory in MEMORY_VARIANTS.items()
         },
-    })
-    return parts.withColumns({
-        f"energy{suffix}": (F.col("energy_CPUs") + F.col("energy_GPUs") + F.col(f"energy_memory{suffix}"))
-        * F.lit(float(params.pue))
+    }
+    totals = {
+        f"energy{suffix}": f"(energy_CPUs + energy_GPUs + energy_memory{suffix}) * {double(params.pue)}"
         for suffix in MEMORY_VARIANTS
-    }).drop(*POWER_COLUMNS.values())
+    }
+    return _with(_with(jobs, parts), totals).drop(*POWER_COLUMNS.values())
+
+
+def _with(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    return df.selectExpr("*", *[f"{text} AS {column}" for column, text in columns.items()])
 
 
 def enrich_jobs(jobs: DataFrame, params: ClusterParams) -> DataFrame:
     """Energy, and from it carbon, tree-months, cost, kilometres and flights."""
     const = params.constants
-    energy = add_energy(jobs, params).withColumn(
-        "energy_failedJobs", F.when(F.col("StateX") == 0, F.col("energy")).otherwise(F.lit(0.0))
-    )
-    carbon = energy.withColumns({
-        f"carbonFootprint{s}": F.col(f"energy{s}") * F.lit(float(params.carbon_intensity))
-        for s in FOOTPRINT_VARIANTS
-    })
-    grams = F.col("carbonFootprint")
-    return carbon.withColumns({
-        **{f"treeMonths{s}": F.col(f"carbonFootprint{s}") / F.lit(const.tree_month) for s in FOOTPRINT_VARIANTS},
-        **{f"cost{s}": F.col(f"energy{s}") * F.lit(const.electricity_cost) for s in FOOTPRINT_VARIANTS},
-        "driving": grams / F.lit(const.car_eu_per_km),
-        "flying_NY_SF": grams / F.lit(const.flight_ny_sf),
-        "flying_PAR_LON": grams / F.lit(const.flight_par_lon),
-        "flying_NYC_MEL": grams / F.lit(const.flight_nyc_mel),
-        "SubmitDate": F.to_date("SubmitDatetimeX"),
+    energy = _with(add_energy(jobs, params), {"energy_failedJobs": "CASE StateX WHEN 0 THEN energy ELSE 0D END"})
+    intensity = double(params.carbon_intensity)
+    carbon = _with(energy, {f"carbonFootprint{s}": f"energy{s} * {intensity}" for s in FOOTPRINT_VARIANTS})
+    return _with(carbon, {
+        **{f"treeMonths{s}": f"carbonFootprint{s} / {double(const.tree_month)}" for s in FOOTPRINT_VARIANTS},
+        **{f"cost{s}": f"energy{s} * {double(const.electricity_cost)}" for s in FOOTPRINT_VARIANTS},
+        "driving": f"carbonFootprint / {double(const.car_eu_per_km)}",
+        "flying_NY_SF": f"carbonFootprint / {double(const.flight_ny_sf)}",
+        "flying_PAR_LON": f"carbonFootprint / {double(const.flight_par_lon)}",
+        "flying_NYC_MEL": f"carbonFootprint / {double(const.flight_nyc_mel)}",
+        "SubmitDate": "to_date(SubmitDatetimeX)",
     })

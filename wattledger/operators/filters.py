@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.parsing import parent_job_id
+from ..functions.sql import name
 
 
 def parse_period(start: str, end: str) -> tuple[datetime.date, datetime.date]:
@@ -58,7 +59,7 @@ def with_job_ids(jobs: DataFrame, ids: str | Sequence[str]) -> DataFrame:
         if ids == "all":
             return jobs
         ids = ids.split(",")
-    return jobs.filter(parent_job_id(F.col("single_jobID")).isin(*ids))
+    return jobs.filter(F.expr(parent_job_id("single_jobID")).isin(*ids))
 
 
 def with_ids_from(jobs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
@@ -67,5 +68,5 @@ def with_ids_from(jobs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
     No broadcast hint: Spark broadcasts the ids when their measured size allows
     it, and otherwise joins by shuffle and splits a hot array.
     """
-    wanted = ids.select(F.col(f"`{id_column}`").cast("string").alias("_wanted_id"))
-    return jobs.join(wanted, parent_job_id(jobs["single_jobID"]) == wanted["_wanted_id"], "left_semi")
+    wanted = ids.select(F.col(name(id_column)).cast("string").alias("_wanted_id"))
+    return jobs.join(wanted, F.expr(f"{parent_job_id('single_jobID')} = _wanted_id"), "left_semi")

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
+from ..functions.sql import string
 from ..params import CPU, GPU, ClusterParams
 from . import derive, rollup, steps
 
@@ -33,82 +34,65 @@ RULES = {
     "R14": "error",  # node and core counts are integers
 }
 
-_BARE_NUMBER = r"^[0-9.]+$"
+_BARE_NUMBER = "^[0-9.]+$"
 # A request per node or per core whose unit is not one of K, M, G.
-_BAD_REQUEST_UNIT = r"^[0-9.]+[A-Za-z&&[^KMG]][nc]$"
+_BAD_REQUEST_UNIT = "^[0-9.]+[A-Za-z&&[^KMG]][nc]$"
 
 
-def _row_rules(logs: DataFrame, params: ClusterParams) -> dict[str, Column]:
+def _row_rules(columns: Sequence[str], params: ClusterParams) -> dict[str, str]:
     """Rules on log rows: rule -> the offending text of a row, NULL when the row is fine."""
-    c = {name: F.col(f"`{name}`") for name in logs.columns}
-    nodes, cores = P.integer(c["NNodes"]), P.integer(c["NCPUS"])
+    def unreadable(column: str, parsed: str) -> str:
+        return f"CASE WHEN {parsed} IS NULL THEN '{column}=' || coalesce({column}, 'NULL') END"
 
-    def unreadable(name: str, parsed: Column) -> Column:
-        return F.when(parsed.isNull(), F.concat(F.lit(f"{name}="), F.coalesce(c[name], F.lit("NULL"))))
-
-    rss_unreadable = c["MaxRSS"].isNotNull() & P.max_rss_gb(c["MaxRSS"], params.default_unit_rss or "K").isNull()
-    bad_request_unit = c["ReqMem"].rlike(_BAD_REQUEST_UNIT)
-    request = P.requested_memory_gb(c["ReqMem"], F.lit(1), F.lit(1))
-    durations = [n for n in ("Elapsed", "TotalCPU", "CPUTime") if n in c]
+    bad_unit = f"coalesce(ReqMem RLIKE {string(_BAD_REQUEST_UNIT)}, false)"
+    use = P.max_rss_gb("MaxRSS", params.default_unit_rss or "K")
+    request = P.requested_memory_gb("ReqMem", "1L", "1L")
+    durations = [unreadable(c, P.duration_ms(c)) for c in ("Elapsed", "TotalCPU", "CPUTime") if c in columns]
     rules = {
-        "R1": F.coalesce(
-            F.when(rss_unreadable, F.concat(F.lit("MaxRSS="), c["MaxRSS"])),
-            F.when(bad_request_unit, F.concat(F.lit("ReqMem="), c["ReqMem"])),
-        ),
-        "R2": F.when(~bad_request_unit, unreadable("ReqMem", request)),
-        "R6": F.coalesce(*[unreadable(n, P.duration_ms(c[n])) for n in durations]),
-        "R13": unreadable("Submit", P.submit_timestamp(c["Submit"])),
-        "R14": F.coalesce(unreadable("NNodes", nodes), unreadable("NCPUS", cores)),
+        "R1": f"CASE WHEN MaxRSS IS NOT NULL AND {use} IS NULL THEN 'MaxRSS=' || MaxRSS "
+        f"WHEN {bad_unit} THEN 'ReqMem=' || ReqMem END",
+        "R2": f"CASE WHEN NOT {bad_unit} THEN {unreadable('ReqMem', request)} END",
+        "R4": f"CASE WHEN contains(`Partition`, ',') AND {P.duration_ms('Elapsed')} > 0 THEN 'Partition=' || `Partition` END",
+        "R6": f"coalesce({', '.join(durations)})",
+        "R13": unreadable("Submit", P.submit_timestamp("Submit")),
+        "R14": f"coalesce({unreadable('NNodes', P.integer('NNodes'))}, {unreadable('NCPUS', P.integer('NCPUS'))})",
     }
     if params.default_unit_rss is None:
-        rules["R3"] = F.when(
-            c["MaxRSS"].rlike(_BARE_NUMBER) & (c["MaxRSS"] != "0"), F.concat(F.lit("MaxRSS="), c["MaxRSS"])
-        )
-    if "Partition" in c:
-        rules["R4"] = F.when(
-            F.contains(c["Partition"], F.lit(",")) & (P.duration_ms(c["Elapsed"]) > 0),
-            F.concat(F.lit("Partition="), c["Partition"]),
+        rules["R3"] = (
+            f"CASE WHEN MaxRSS RLIKE {string(_BARE_NUMBER)} AND MaxRSS <> '0' THEN 'MaxRSS=' || MaxRSS END"
         )
     return rules
 
 
-def _job_rules() -> dict[str, Column]:
-    """Rules on finished jobs, in the same form."""
-    kind, gpus = F.col("PartitionTypeX"), F.col("NGPUS_")
-    id_parts = F.size(F.split(F.col("single_jobID"), "_"))
-    n_gpus = F.concat(F.lit("GPUs="), gpus.cast("string"))
-    return {
-        "R5": F.when(kind.isNull(), F.concat(F.lit("PartitionX="), F.col("PartitionX"))),
-        "R7": F.when(
-            F.col("TotalCPUtime_") > F.col("CPUwallclocktime_"),
-            F.concat(F.col("TotalCPUtime_").cast("string"), F.lit(" > "), F.col("CPUwallclocktime_").cast("string")),
-        ),
-        "R8": F.when((kind == GPU) & (gpus == 0) & (F.col("WallclockTimeX") > 0), n_gpus),
-        "R9": F.when((kind == CPU) & (gpus != 0), n_gpus),
-        "R10": F.when(id_parts > 2, F.concat(F.lit("JobID="), F.col("single_jobID"))),
-        "R11": F.when(F.col("UIDX").isNull() | F.col("UserX").isNull(), F.concat(
-            F.lit("UID="), F.coalesce(F.col("UIDX"), F.lit("NULL")),
-            F.lit(" User="), F.coalesce(F.col("UserX"), F.lit("NULL")),
-        )),
-    }
+# Rules on finished jobs, in the same form.
+_JOB_RULES = {
+    "R5": "CASE WHEN PartitionTypeX IS NULL THEN 'PartitionX=' || PartitionX END",
+    "R7": "CASE WHEN TotalCPUtime_ > CPUwallclocktime_ THEN TotalCPUtime_ || ' > ' || CPUwallclocktime_ END",
+    "R8": f"CASE WHEN PartitionTypeX = '{GPU}' AND NGPUS_ = 0 AND WallclockTimeX > 0 THEN 'GPUs=' || NGPUS_ END",
+    "R9": f"CASE WHEN PartitionTypeX = '{CPU}' AND NGPUS_ <> 0 THEN 'GPUs=' || NGPUS_ END",
+    "R10": "CASE WHEN single_jobID LIKE '%\\\\_%\\\\_%' THEN 'JobID=' || single_jobID END",
+    "R11": "CASE WHEN UIDX IS NULL OR UserX IS NULL "
+    "THEN 'UID=' || coalesce(UIDX, 'NULL') || ' User=' || coalesce(UserX, 'NULL') END",
+}
 
 
 def _flagged_jobs(logs: DataFrame, params: ClusterParams, custom_success: Sequence[str]) -> DataFrame:
     """One row per job: what the job rules need, and per row rule the smallest offending text.
 
     Reads the log once and shuffles it once: the findings on rows are aggregates
-    of the same roll-up as the jobs.
+    of the same roll-up as the jobs. They are computed next to the typed columns,
+    on the raw text.
     """
-    findings = _row_rules(logs, params)
-    with_raw = logs.select("*", *[text.alias(f"_{rule}") for rule, text in findings.items()])
-    typed = steps.clean_steps(with_raw, params, custom_success, keep=[f"_{rule}" for rule in findings])
-    jobs = typed.groupBy("single_jobID").agg(
-        *[F.max(c).alias(c) for c in ("TotalCPUtime_", "CPUwallclocktime_", "WallclockTimeX", "NGPUS_")],
-        F.min("StateX").alias("StateX"),
-        *[rollup.first_logged(F.col(c)).alias(c) for c in ("UIDX", "UserX")],
-        rollup.glued_partition().alias("PartitionX"),
-        *[F.min(f"_{rule}").alias(f"_{rule}") for rule in findings],
-    )
+    findings = {f"_{rule}": text for rule, text in _row_rules(logs.columns, params).items()}
+    typed = steps.clean_steps(logs, params, custom_success, keep=[f"{t} AS {c}" for c, t in findings.items()])
+    aggregates = {
+        **{c: f"max({c})" for c in ("TotalCPUtime_", "CPUwallclocktime_", "WallclockTimeX", "NGPUS_")},
+        "StateX": "min(StateX)",
+        **{c: rollup.first_logged(c) for c in ("UIDX", "UserX")},
+        "PartitionX": rollup.glued_partition(),
+        **{c: f"min({c})" for c in findings},
+    }
+    jobs = typed.groupBy("single_jobID").agg(*[F.expr(f"{text} AS {c}") for c, text in aggregates.items()])
     return derive.default_gpus(derive.attach_hardware(jobs, params), steps.has_gpu_counts(logs))
 
 
@@ -122,19 +106,15 @@ def violations(
     the action fails at the first violation of severity error.
     """
     jobs = _flagged_jobs(logs, params, custom_success)
-    finished = F.col("StateX") != P.STATE_UNFINISHED
-    found = {rule: F.col(f"_{rule}") for rule in RULES if f"_{rule}" in jobs.columns}
-    found |= {rule: F.when(finished, text) for rule, text in _job_rules().items()}
+    found = {rule: f"_{rule}" for rule in RULES if f"_{rule}" in jobs.columns}
+    found |= {rule: f"CASE WHEN StateX <> {P.STATE_UNFINISHED} THEN {text} END" for rule, text in _JOB_RULES.items()}
     entries = [
-        F.when(
-            text.isNotNull(),
-            F.struct(F.lit(rule).alias("rule"), F.lit(RULES[rule]).alias("severity"), text.alias("detail")),
-        )
+        f"CASE WHEN ({text}) IS NOT NULL THEN struct('{rule}' AS rule, '{RULES[rule]}' AS severity, {text} AS detail) END"
         for rule, text in found.items()
     ]
-    out = jobs.select(
-        F.col("single_jobID").alias("jobID"), F.explode(F.array_compact(F.array(*entries))).alias("v")
-    ).select("v.rule", "v.severity", "jobID", "v.detail")
+    out = jobs.selectExpr(
+        "single_jobID AS jobID", f"inline(array_compact(array({', '.join(entries)})))"
+    ).select("rule", "severity", "jobID", "detail")
     if strict:
         message = F.concat(F.lit("data quality: "), F.col("rule"), F.lit(" "), F.col("jobID"), F.lit(" "), F.col("detail"))
         out = out.withColumn(

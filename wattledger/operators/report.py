@@ -69,35 +69,30 @@ def usage_summary(overall: DataFrame, ids=("UserX",)) -> DataFrame:
 
 def report_labels(overall: DataFrame, params: ClusterParams, ids=("UserX",), html: bool = False) -> DataFrame:
     """The texts of a report. Needs ``share_carbonFootprint`` in the overall summary."""
-    c = {name: F.col(name) for name in overall.columns}
-    flights = (c["flying_PAR_LON"], c["flying_NY_SF"], c["flying_NYC_MEL"])
-    parts = L.flying_parts(*flights)
-    carbon_wasted = c["carbonFootprint"] - c["carbonFootprint_memoryNeededOnly"]
-    return overall.select(
-        *ids,
-        L.short_duration(c["cpuTime"]).alias("cpuTime"),
-        L.short_duration(c["gpuTime"]).alias("gpuTime"),
-        L.footprint(c["carbonFootprint"], html).alias("carbonFootprint"),
-        L.footprint(c["carbonFootprint_failedJobs"], html).alias("carbonFootprint_failedJobs"),
-        L.percent(F.try_divide(c["carbonFootprint_failedJobs"], c["carbonFootprint"])).alias(
-            "carbonFootprint_failedJobs_share"
-        ),
-        L.footprint(carbon_wasted, html).alias("carbonFootprint_wasted_memoryOverallocation"),
-        L.percent(c["share_carbonFootprint"]).alias("share_carbonFootprint"),
-        L.tree_months(c["treeMonths"], split_years=False).alias("trees"),
-        L.tree_months(c["treeMonths"]).alias("trees_split"),
-        L.tree_months(c["treeMonths_failedJobs"]).alias("trees_failedJobs"),
-        L.tree_months(c["treeMonths"] - c["treeMonths_memoryNeededOnly"]).alias(
-            "trees_wasted_memoryOverallocation"
-        ),
-        L.driving(c["driving"]).alias("driving"),
-        L.flying(*flights).alias("flying"),
-        parts["number"].alias("flying_number"),
-        parts["trip"].alias("flying_trip"),
-        L.cost(c["cost"], params.currency).alias("cost"),
-        L.cost(c["cost_failedJobs"], params.currency).alias("cost_failedJobs"),
-        L.cost(c["cost"] - c["cost_memoryNeededOnly"], params.currency).alias("cost_wasted_memoryOverallocation"),
-        L.count(c["n_jobs"]).alias("n_jobs"),
-        L.percent(c["failure_rate"], 1).alias("failure_rate"),
-        F.format_number(c["memoryOverallocationFactor"], 1).alias("memoryOverallocationFactor"),
-    )
+    def wasted(measure: str) -> str:
+        return f"({measure} - {measure}_memoryNeededOnly)"
+
+    texts = {
+        "cpuTime": L.short_duration("cpuTime"),
+        "gpuTime": L.short_duration("gpuTime"),
+        "carbonFootprint": L.footprint("carbonFootprint", html),
+        "carbonFootprint_failedJobs": L.footprint("carbonFootprint_failedJobs", html),
+        "carbonFootprint_failedJobs_share": L.percent("try_divide(carbonFootprint_failedJobs, carbonFootprint)"),
+        "carbonFootprint_wasted_memoryOverallocation": L.footprint(wasted("carbonFootprint"), html),
+        "share_carbonFootprint": L.percent("share_carbonFootprint"),
+        "trees": L.tree_months("treeMonths", split_years=False),
+        "trees_split": L.tree_months("treeMonths"),
+        "trees_failedJobs": L.tree_months("treeMonths_failedJobs"),
+        "trees_wasted_memoryOverallocation": L.tree_months(wasted("treeMonths")),
+        "driving": L.driving("driving"),
+        "flying": L.flying(),
+        "flying_number": L.flying_number(),
+        "flying_trip": L.flying_trip(),
+        "cost": L.cost("cost", params.currency),
+        "cost_failedJobs": L.cost("cost_failedJobs", params.currency),
+        "cost_wasted_memoryOverallocation": L.cost(wasted("cost"), params.currency),
+        "n_jobs": L.grouped("n_jobs", 0),
+        "failure_rate": L.percent("failure_rate", 1),
+        "memoryOverallocationFactor": L.grouped("memoryOverallocationFactor", 1),
+    }
+    return overall.selectExpr(*ids, *[f"{text} AS {column}" for column, text in texts.items()])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -16,17 +16,16 @@ _SMALLEST = ("SubmitDatetimeX", "StateX")
 _FIRST = ("JobName_", "WorkingDir_", "Account_", "UIDX", "UserX")
 
 
-def first_logged(value: Column, order: Column | None = None) -> Column:
+def first_logged(column: str) -> str:
     """First non-null value in log order.
 
     An aggregate with a fixed-size state, so that it is combined before the
     shuffle like a ``min``.
     """
-    order = F.col(LOG_SEQ) if order is None else order
-    return F.min_by(value, F.when(value.isNotNull(), order))
+    return f"min_by({column}, CASE WHEN {column} IS NOT NULL THEN {LOG_SEQ} END)"
 
 
-def glued_partition() -> Column:
+def glued_partition() -> str:
     """Partition texts of a job's rows, glued in log order.
 
     Schedulers name the partition on one row per job. Two names are glued as
@@ -36,14 +35,12 @@ def glued_partition() -> Column:
     a name (params.Partition refuses it), so that like every glued name it
     finds no hardware and is reported by operators.quality.
     """
-    name = F.when(F.col("PartitionX") != "", F.col("PartitionX"))
-    order = F.when(name.isNotNull(), F.col(LOG_SEQ))
-    first, last, n = F.min_by(name, order), F.max_by(name, order), F.count(name)
+    name = "nullif(PartitionX, '')"
+    order = f"CASE WHEN PartitionX <> '' THEN {LOG_SEQ} END"
+    first, last, n = f"min_by({name}, {order})", f"max_by({name}, {order})", f"count({name})"
     return (
-        F.when(n == 0, F.lit(""))
-        .when(n == 1, first)
-        .when(n == 2, F.concat(first, last))
-        .otherwise(F.concat(first, F.lit("...["), n.cast("string"), F.lit(" partitions]..."), last))
+        f"CASE {n} WHEN 0 THEN '' WHEN 1 THEN {first} WHEN 2 THEN {first} || {last} "
+        f"ELSE {first} || '...[' || {n} || ' partitions]...' || {last} END"
     )
 
 
@@ -54,17 +51,16 @@ def rollup_jobs(steps: DataFrame) -> DataFrame:
     are combined on the map side, so a job that holds a large part of all rows
     sends one row per task. Array elements are jobs of their own.
     """
-    return steps.groupBy("single_jobID").agg(
-        *[F.max(c).alias(c) for c in _LARGEST],
-        *[F.min(c).alias(c) for c in _SMALLEST],
-        *[first_logged(F.col(c)).alias(c) for c in _FIRST],
-        glued_partition().alias("PartitionX"),
-    )
+    aggregates = {
+        **{c: f"max({c})" for c in _LARGEST},
+        **{c: f"min({c})" for c in _SMALLEST},
+        **{c: first_logged(c) for c in _FIRST},
+        "PartitionX": glued_partition(),
+    }
+    return steps.groupBy("single_jobID").agg(*[F.expr(text).alias(c) for c, text in aggregates.items()])
 
 
 def finished_jobs(jobs: DataFrame) -> DataFrame:
     """Drop jobs with an unfinished step, count the caller's own success states as success."""
-    return jobs.filter(F.col("StateX") != P.STATE_UNFINISHED).withColumn(
-        "StateX",
-        F.when(F.col("StateX") == P.STATE_CUSTOM_SUCCESS, F.lit(P.STATE_SUCCESS)).otherwise(F.col("StateX")),
-    )
+    state = f"CASE StateX WHEN {P.STATE_CUSTOM_SUCCESS} THEN {P.STATE_SUCCESS} ELSE StateX END"
+    return jobs.filter(f"StateX <> {P.STATE_UNFINISHED}").withColumn("StateX", F.expr(state))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..params import ClusterParams
@@ -20,41 +19,32 @@ def clean_steps(
     A narrow projection: no shuffle, and columns nobody asks for later are
     never read. Logs from before CPUTime, AllocTRES or Account existed are
     recognised by their columns: core time becomes wallclock x cores, GPUs 0,
-    account ''. Columns in ``keep`` are passed on as they are.
+    account ''. ``keep`` are further expressions over the raw row.
     """
     require_columns(logs, [f for f in RAW_FIELDS if f not in OPTIONAL_RAW_FIELDS] + [LOG_SEQ], "the log")
     has = set(logs.columns)
-    raw = {name: F.col(f"`{name}`") for name in RAW_FIELDS if name in has}
-    nodes, cores = P.integer(raw["NNodes"]), P.integer(raw["NCPUS"])
-    wallclock = P.duration_ms(raw["Elapsed"])
-    if "CPUTime" in has:
-        core_wallclock = P.duration_ms(raw["CPUTime"])
-    else:
-        core_wallclock = F.try_multiply(wallclock, cores)
-    gpus = P.gpu_count(raw["AllocTRES"]) if "AllocTRES" in has else F.lit(0).cast("bigint")
-    account = raw["Account"] if "Account" in has else F.lit("")
-
-    return logs.select(
-        F.col(LOG_SEQ),
-        P.job_id(raw["JobID"]).alias("single_jobID"),
-        P.requested_memory_gb(raw["ReqMem"], nodes, cores).alias("ReqMemX"),
-        P.max_rss_gb(raw["MaxRSS"], params.default_unit_rss).alias("UsedMem_"),
-        wallclock.alias("WallclockTimeX"),
-        P.duration_ms(raw["TotalCPU"]).alias("TotalCPUtime_"),
-        core_wallclock.alias("CPUwallclocktime_"),
-        gpus.alias("NGPUS_"),
-        P.first_partition(raw["Partition"]).alias("PartitionX"),
-        P.submit_timestamp(raw["Submit"]).alias("SubmitDatetimeX"),
-        cores.alias("NCPUS_"),
-        nodes.alias("NNodes_"),
-        raw["JobName"].alias("JobName_"),
-        raw["WorkDir"].alias("WorkingDir_"),
-        raw["UID"].alias("UIDX"),
-        raw["User"].alias("UserX"),
-        P.state_code(raw["State"], custom_success).alias("StateX"),
-        account.alias("Account_"),
-        *keep,
-    )
+    nodes, cores, wallclock = P.integer("NNodes"), P.integer("NCPUS"), P.duration_ms("Elapsed")
+    core_wallclock = P.duration_ms("CPUTime") if "CPUTime" in has else f"try_multiply({wallclock}, {cores})"
+    fields = {
+        "single_jobID": P.job_id("JobID"),
+        "ReqMemX": P.requested_memory_gb("ReqMem", nodes, cores),
+        "UsedMem_": P.max_rss_gb("MaxRSS", params.default_unit_rss),
+        "WallclockTimeX": wallclock,
+        "TotalCPUtime_": P.duration_ms("TotalCPU"),
+        "CPUwallclocktime_": core_wallclock,
+        "NGPUS_": P.gpu_count("AllocTRES") if "AllocTRES" in has else "0L",
+        "PartitionX": P.first_partition("`Partition`"),
+        "SubmitDatetimeX": P.submit_timestamp("Submit"),
+        "NCPUS_": cores,
+        "NNodes_": nodes,
+        "JobName_": "JobName",
+        "WorkingDir_": "WorkDir",
+        "UIDX": "UID",
+        "UserX": "`User`",
+        "StateX": P.state_code("State", custom_success),
+        "Account_": "Account" if "Account" in has else "''",
+    }
+    return logs.selectExpr(LOG_SEQ, *[f"{text} AS {column}" for column, text in fields.items()], *keep)
 
 
 def has_gpu_counts(logs: DataFrame) -> bool:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sql import name
 from .enrich import FOOTPRINT_VARIANTS
 
 # Name in the summary -> column of the enriched job that is summed up.
@@ -37,15 +38,14 @@ SUMMARY_COLUMNS = (
 )
 
 
-def _grouped(df: DataFrame, by: Sequence[str], aggregates: list[Column]) -> DataFrame:
+def _grouped(df: DataFrame, by: Sequence[str], aggregates: dict[str, str]) -> DataFrame:
     """Group by any number of keys; none means the whole set. Rows with a NULL key are left out."""
-    for key in by:
-        df = df.filter(F.col(f"`{key}`").isNotNull())
-    out = df.groupBy(*by).agg(*aggregates)
-    return out.withColumns({
-        "success_rate": F.try_divide(F.col("n_success"), F.col("n_jobs")),
-        "failure_rate": 1.0 - F.try_divide(F.col("n_success"), F.col("n_jobs")),
-    })
+    if by:
+        df = df.filter(" AND ".join(f"{name(key)} IS NOT NULL" for key in by))
+    out = df.groupBy(*by).agg(*[F.expr(f"{text} AS {column}") for column, text in aggregates.items()])
+    return out.selectExpr(
+        "*", "try_divide(n_success, n_jobs) AS success_rate", "1D - try_divide(n_success, n_jobs) AS failure_rate"
+    )
 
 
 def summarise_jobs(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -54,13 +54,13 @@ def summarise_jobs(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     Jobs without a user are part of every sum but not of ``n_jobs``. Plain
     partial aggregates: a hot user or day is combined before the shuffle.
     """
-    return _grouped(jobs, by, [
-        F.count("UserX").alias("n_jobs"),
-        F.min("SubmitDatetimeX").alias("first_job_period"),
-        F.max("SubmitDatetimeX").alias("last_job_period"),
-        *[F.sum(column).alias(name) for name, column in _SUMS.items()],
-        F.avg("memOverallocationFactorX").alias("memoryOverallocationFactor"),
-    ])
+    return _grouped(jobs, by, {
+        "n_jobs": "count(UserX)",
+        "first_job_period": "min(SubmitDatetimeX)",
+        "last_job_period": "max(SubmitDatetimeX)",
+        **{column: f"sum({source})" for column, source in _SUMS.items()},
+        "memoryOverallocationFactor": "avg(memOverallocationFactorX)",
+    })
 
 
 def summarise_summaries(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -69,13 +69,13 @@ def summarise_summaries(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame
     The overallocation factor becomes the mean of the groups' means, as the
     report defines it, not the mean over jobs.
     """
-    return _grouped(summary, by, [
-        F.sum("n_jobs").alias("n_jobs"),
-        F.min("first_job_period").alias("first_job_period"),
-        F.max("last_job_period").alias("last_job_period"),
-        *[F.sum(name).alias(name) for name in _SUMS],
-        F.avg("memoryOverallocationFactor").alias("memoryOverallocationFactor"),
-    ])
+    return _grouped(summary, by, {
+        "n_jobs": "sum(n_jobs)",
+        "first_job_period": "min(first_job_period)",
+        "last_job_period": "max(last_job_period)",
+        **{column: f"sum({column})" for column in _SUMS},
+        "memoryOverallocationFactor": "avg(memoryOverallocationFactor)",
+    })
 
 
 def daily_summary(jobs: DataFrame, by: Sequence[str] = ("UserX",)) -> DataFrame:

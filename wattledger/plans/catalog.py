@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parsing as P
+from ..functions.sql import name, string
 from ..operators import derive, distribution, enrich, filters, quality, report, rollup, steps, summarise
 from ..params import ClusterParams
 from ..schemas import JOBS_SCHEMA, LOG_SEQ, RAW_FIELDS
@@ -31,16 +32,15 @@ ACCOUNT = "machinery"
 JOB_IDS = ("15", "30", "45", "60", "75", "7", "1000")
 
 
-def rounded(value: Column, decimals: int) -> Column:
+def rounded(value: str, decimals: int) -> str:
     """Round in a way two engines agree on: the offset keeps exact ties away from the edge."""
-    scale = 10.0**decimals
-    return F.floor(value * F.lit(scale) + F.lit(0.5017)) / F.lit(scale)
+    return f"floor({value} * 1e{decimals}D + 0.5017D) / 1e{decimals}D"
 
 
 def _rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
     """Round every double column."""
-    return df.select(*[
-        rounded(F.col(f"`{f.name}`"), decimals).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f"`{f.name}`")
+    return df.selectExpr(*[
+        f"{rounded(name(f.name), decimals)} AS {name(f.name)}" if isinstance(f.dataType, T.DoubleType) else name(f.name)
         for f in df.schema
     ])
 
@@ -89,7 +89,7 @@ def _query(fn: Callable[[_Inputs], DataFrame]):
 def scan_logs(i):
     path = scratch_path(i.spark, "scan_logs")
     land_logs(i.logs, path, fmt="csv", by_day=False)
-    return read_logs(i.spark, path).select(LOG_SEQ, *[F.col(f"`{f}`") for f in RAW_FIELDS])
+    return read_logs(i.spark, path).select(LOG_SEQ, *RAW_FIELDS)
 
 
 @_query
@@ -104,15 +104,15 @@ def legacy_logs(i):
 @_query
 def jobs_from_other_table(i):
     # As another scheduler may deliver it: other types, another order, more columns.
-    foreign = i.full().select(
-        "single_jobID", *[F.col(f.name).cast("string").alias(f.name) for f in reversed(JOBS_SCHEMA.fields)]
+    foreign = i.full().selectExpr(
+        "single_jobID", *[f"CAST({c} AS STRING) AS {c}" for c in reversed(JOBS_SCHEMA.names)]
     )
     return _rounded(jobs_from_table(foreign))
 
 
 @_query
 def partition_dimension(i):
-    used = i.logs.groupBy(P.first_partition(F.col("Partition")).alias("partition")).agg(
+    used = i.logs.selectExpr(f"{P.first_partition('`Partition`')} AS partition").groupBy("partition").agg(
         F.count(F.lit(1)).alias("n_rows")
     )
     return used.join(F.broadcast(partition_dim(i.spark, i.params)), "partition")
@@ -123,51 +123,55 @@ def partition_dimension(i):
 @_query
 def parse_duration(i):
     # Besides the texts as logged, every shorter and some unreadable forms of them.
-    tail2, tail1 = F.right("Elapsed", F.lit(5)), F.right("Elapsed", F.lit(2))
-    texts = {
-        "elapsed_ms": F.col("Elapsed"),
-        "total_cpu_ms": F.col("TotalCPU"),
-        "cpu_time_ms": F.col("CPUTime"),
-        "min_sec_ms": tail2,
-        "sec_ms": tail1,
-        "day_sec_ms": F.concat(F.lit("3-"), tail1),
-        "fraction_ms": F.concat(tail2, F.lit(".508123")),
-        "too_many_ms": F.concat(F.lit("1:"), F.col("Elapsed"), F.lit(":2")),
-        "two_days_ms": F.concat(F.lit("1-"), F.col("CPUTime")),
-    }
-    return i.logs.select("JobID", LOG_SEQ, *[P.duration_ms(text).alias(name) for name, text in texts.items()])
+    tail2, tail1 = "right(Elapsed, 5)", "right(Elapsed, 2)"
+    return _fields(
+        i,
+        elapsed_ms=P.duration_ms("Elapsed"),
+        total_cpu_ms=P.duration_ms("TotalCPU"),
+        cpu_time_ms=P.duration_ms("CPUTime"),
+        min_sec_ms=P.duration_ms(tail2),
+        sec_ms=P.duration_ms(tail1),
+        day_sec_ms=P.duration_ms(f"('3-' || {tail1})"),
+        fraction_ms=P.duration_ms(f"({tail2} || '.508123')"),
+        too_many_ms=P.duration_ms("('1:' || Elapsed || ':2')"),
+        two_days_ms=P.duration_ms("('1-' || CPUTime)"),
+    )
+
+
+def _fields(i, *plain: str, **parsed: str) -> DataFrame:
+    """Identity of each log row with the given raw and parsed fields."""
+    return i.logs.selectExpr("JobID", LOG_SEQ, *plain, *[f"{text} AS {column}" for column, text in parsed.items()])
 
 
 @_query
 def req_mem(i):
-    return _rounded(i.logs.select("JobID", LOG_SEQ, "ReqMem", P.requested_memory_gb(
-        F.col("ReqMem"), P.integer(F.col("NNodes")), P.integer(F.col("NCPUS"))).alias("ReqMemX")), 9)
+    memory = P.requested_memory_gb("ReqMem", P.integer("NNodes"), P.integer("NCPUS"))
+    return _rounded(_fields(i, "ReqMem", ReqMemX=memory), 9)
 
 
 @_query
 def max_rss(i):
-    return _rounded(i.logs.select("JobID", LOG_SEQ, "MaxRSS", P.max_rss_gb(
-        F.col("MaxRSS"), i.params.default_unit_rss).alias("UsedMem_")), 9)
+    return _rounded(_fields(i, "MaxRSS", UsedMem_=P.max_rss_gb("MaxRSS", i.params.default_unit_rss)), 9)
 
 
 @_query
 def gpu_count(i):
-    return i.logs.select("JobID", LOG_SEQ, P.gpu_count(F.col("AllocTRES")).alias("NGPUS_"))
+    return _fields(i, NGPUS_=P.gpu_count("AllocTRES"))
 
 
 @_query
 def clean_partition(i):
-    return i.logs.select("JobID", LOG_SEQ, P.first_partition(F.col("Partition")).alias("PartitionX"))
+    return _fields(i, PartitionX=P.first_partition("`Partition`"))
 
 
 @_query
 def submit_ts(i):
-    return i.logs.select("JobID", LOG_SEQ, P.submit_timestamp(F.col("Submit")).alias("SubmitDatetimeX"))
+    return _fields(i, SubmitDatetimeX=P.submit_timestamp("Submit"))
 
 
 @_query
 def state_code(i):
-    return i.logs.select("JobID", LOG_SEQ, "State", P.state_code(F.col("State")).alias("StateX"))
+    return _fields(i, "State", StateX=P.state_code("State"))
 
 
 @_query
@@ -178,8 +182,8 @@ def state_code_custom(i):
 
 @_query
 def job_ids(i):
-    single = P.job_id(F.col("JobID"))
-    return i.logs.select("JobID", LOG_SEQ, single.alias("single_jobID"), P.parent_job_id(single).alias("parentJobID"))
+    single = P.job_id("JobID")
+    return _fields(i, single_jobID=single, parentJobID=P.parent_job_id(single))
 
 
 # Jobs
@@ -312,7 +316,7 @@ def share_by_account(i):
 @_query
 def factor_lists(i):
     return _rounded(distribution.factor_values(
-        i.table().withColumn("memOverallocationFactorX", rounded(F.col("memOverallocationFactorX"), 6))
+        i.table().withColumn("memOverallocationFactorX", F.expr(rounded("memOverallocationFactorX", 6)))
     ))
 
 
@@ -370,8 +374,7 @@ def labels_html(i):
 
 def dirty(logs: DataFrame) -> DataFrame:
     """The log with one thing wrong in most job rows, which one depending on the job id."""
-    order = F.regexp_replace(P.job_id(F.col("JobID")), "_", "").cast("bigint")
-    case = F.when(F.col(LOG_SEQ) == 0, order % 25)
+    case = f"CASE {LOG_SEQ} WHEN 0 THEN CAST(replace({P.job_id('JobID')}, '_', '') AS BIGINT) % 25 END"
     changes = {
         "MaxRSS": {0: "5T", 1: "1.2.3K"},
         "ReqMem": {2: "12X", 3: "5Tn"},
@@ -384,15 +387,12 @@ def dirty(logs: DataFrame) -> DataFrame:
         "Submit": {15: "2022-02-30T00:00:00", 16: "Unknown"},
         "NCPUS": {17: "x"},
     }
-    changed = {}
-    for name, cases in changes.items():
-        value = F.col(f"`{name}`")
-        new = F.when(case == -1, value)
-        for number, text in cases.items():
-            new = new.when(case == number, F.lit(text).cast("string"))
-        changed[name] = new.otherwise(value)
-    logs = logs.withColumns(changed)
-    return logs.withColumn("JobID", F.when(case == 18, F.concat(F.lit("1_"), F.col("JobID"), F.lit("_2"))).otherwise(F.col("JobID")))
+    new = {
+        column: f"CASE {case} " + " ".join(f"WHEN {n} THEN {string(t)}" for n, t in cases.items()) + f" ELSE {name(column)} END"
+        for column, cases in changes.items()
+    }
+    new["JobID"] = f"CASE {case} WHEN 18 THEN '1_' || JobID || '_2' ELSE JobID END"
+    return logs.selectExpr(*[f"{new[c]} AS {name(c)}" if c in new else name(c) for c in logs.columns])
 
 
 @_query

@@ -8,9 +8,10 @@ only used while a job is being cleaned.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.sql import name
+
 # Fields of a raw accounting log, one row per job and per job step.
 RAW_FIELDS = (
     "UID", "User", "JobID", "JobName", "Submit", "Elapsed", "Partition", "NNodes", "NCPUS",
@@ -23,7 +24,7 @@ OPTIONAL_RAW_FIELDS = ("CPUTime", "Account", "AllocTRES")
 # Position of a row in the log. Any orderable type will do.
 LOG_SEQ = "log_seq"
 
-RAW_SCHEMA = T.StructType([T.StructField(name, T.StringType()) for name in RAW_FIELDS])
+RAW_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in RAW_FIELDS])
 
 # One row per finished job: the hand-over between cleaning and footprint
 # estimation, and the table that other schedulers have to supply.
@@ -47,7 +48,7 @@ JOBS_SCHEMA = T.StructType([
 
 def require_columns(df: DataFrame, names, what: str) -> None:
     """Raise when a plan lacks columns; looks at the schema only, runs no job."""
-    missing = [name for name in names if name not in df.columns]
+    missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"{what} lacks the columns {missing}")
 
@@ -55,7 +56,5 @@ def require_columns(df: DataFrame, names, what: str) -> None:
 def conform(df: DataFrame, schema: T.StructType, what: str, extra=()) -> DataFrame:
     """Project to ``schema`` (plus ``extra`` columns as they are), casting where needed."""
     require_columns(df, [*schema.names, *extra], what)
-    return df.select(
-        *[F.col(f"`{field.name}`").cast(field.dataType).alias(field.name) for field in schema],
-        *[F.col(f"`{name}`") for name in extra],
-    )
+    casts = [f"CAST({name(f.name)} AS {f.dataType.simpleString()}) AS {name(f.name)}" for f in schema]
+    return df.selectExpr(*casts, *[name(c) for c in extra])

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..params import CPU, ClusterParams
+from ..functions.sql import double, string
+from ..params import GPU, ClusterParams
 
 # A dimension up to this size is sent to every executor; a larger one is joined
 # by whatever strategy Spark picks. At 4 short columns a row stays well under
@@ -20,17 +21,12 @@ POWER_COLUMNS = {"tdp": "_tdp", "tdp_cpu": "_tdp_cpu"}
 def partition_dim(spark: SparkSession, params: ClusterParams) -> DataFrame:
     """One row per partition: partition, type, model, tdp, model_cpu, tdp_cpu."""
     rows = [
-        F.struct(
-            F.lit(p.name).alias("partition"),
-            F.lit(p.type).alias("type"),
-            F.lit(p.model).cast("string").alias("model"),
-            F.lit(float(p.tdp)).alias("tdp"),
-            F.lit(p.model_cpu).cast("string").alias("model_cpu"),
-            F.lit(None if p.type == CPU or p.tdp_cpu is None else float(p.tdp_cpu)).cast("double").alias("tdp_cpu"),
-        )
+        f"struct({string(p.name)} AS partition, {string(p.type)} AS type, {string(p.model)} AS model, "
+        f"{double(p.tdp)} AS tdp, {string(p.model_cpu)} AS model_cpu, "
+        f"{double(p.tdp_cpu if p.type == GPU else None)} AS tdp_cpu)"
         for p in params.partitions
     ]
-    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
+    return spark.range(1, numPartitions=1).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def partition_lookup(spark: SparkSession, params: ClusterParams) -> DataFrame:

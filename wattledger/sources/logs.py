@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.parsing import null_if_na, submit_timestamp
+from ..functions.sql import name
 from ..operators.filters import parse_period
 from ..schemas import LOG_SEQ, OPTIONAL_RAW_FIELDS, RAW_FIELDS, require_columns
 
@@ -58,9 +59,9 @@ def read_logs(spark: SparkSession, paths: str | Sequence[str], sep: str = "|") -
         raise ValueError(f"the log lacks the columns {missing}")
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).options(**_csv_options(sep), enforceSchema="false").csv(paths)
-    fields = [null_if_na(F.col(f"`{n}`")).alias(n) for n in names if n != LOG_SEQ]
+    fields = [f"{null_if_na(name(n))} AS {name(n)}" for n in names if n != LOG_SEQ]
     position = F.col(LOG_SEQ).cast("bigint") if LOG_SEQ in names else _position()
-    return rows.select(position.alias(LOG_SEQ), *fields)
+    return rows.select(position.alias(LOG_SEQ), *[F.expr(text) for text in fields])
 
 
 def land_logs(logs: DataFrame, path: str, fmt: str = "parquet", by_day: bool = True, sep: str = "|") -> None:
@@ -88,7 +89,7 @@ def land_logs(logs: DataFrame, path: str, fmt: str = "parquet", by_day: bool = T
 
 def submit_day() -> Column:
     """Day of the raw Submit text, NULL when the text is not readable."""
-    return F.to_date(submit_timestamp(F.col("Submit")))
+    return F.expr(f"to_date({submit_timestamp('Submit')})")
 
 
 def read_landed(

@@ -8,9 +8,10 @@ gathered per order, so the log grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.sql import name
 from ..params import ClusterParams, Partition
 from ..schemas import LOG_SEQ, RAW_FIELDS
 
@@ -29,142 +30,108 @@ ORDERS_CLUSTER = ClusterParams(
 )
 
 
-def _text(value: Column) -> Column:
-    return value.cast("string")
+# State of a job by the remainder of its key, COMPLETED beyond the list.
+_STATES = ("FAILED", "TIMEOUT", "CANCELLED by 10001", "RUNNING", "PENDING", "OUT_OF_MEMORY")
 
 
-def _div(a: Column, b: int) -> Column:
-    return ((a - a % b) / b).cast("bigint")
+def _two(value: str) -> str:
+    return f"lpad(CAST({value} AS STRING), 2, '0')"
 
 
-def _two(value: Column) -> Column:
-    return F.lpad(_text(value), 2, "0")
-
-
-def _clock(seconds: Column) -> Column:
-    day, rest = _div(seconds, 86400), seconds % 86400
-    hms = F.concat_ws(":", _two(_div(rest, 3600)), _two(_div(rest % 3600, 60)), _two(rest % 60))
-    return F.when(seconds >= 86400, F.concat(_text(day), F.lit("-"), hms)).otherwise(hms)
+def _clock(seconds: str) -> str:
+    """``[D-]HH:MM:SS``."""
+    rest = f"({seconds}) % 86400"
+    days = f"CASE WHEN ({seconds}) >= 86400 THEN ({seconds}) DIV 86400 || '-' ELSE '' END"
+    return f"{days} || {_two(f'{rest} DIV 3600')} || ':' || {_two(f'{rest} % 3600 DIV 60')} || ':' || {_two(f'{rest} % 60')}"
 
 
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values shared by the job row and the step rows of an order."""
+    """One row per order with the texts that its job row and its step rows share."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
         "o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"
     )
     customer = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_mktsegment")
-    k, cust = F.col("k"), F.col("o_custkey")
-    states = ("FAILED", "TIMEOUT", "CANCELLED by 10001", "RUNNING", "PENDING", "OUT_OF_MEMORY")
-    state = F.when(k % 13 == 0, F.lit(states[0]))
-    for i, name in enumerate(states[1:], start=1):
-        state = state.when(k % 13 == i, F.lit(name))
-    request = (
-        F.when(k % 11 == 10, F.lit(None).cast("string"))
-        .when(k % 4 == 0, F.concat(_text(k % 7 + 2), F.lit("Gn")))
-        .when(k % 4 == 1, F.concat(_text(k % 3000 + 1000), F.lit("Mc")))
-        .when(k % 4 == 2, F.concat(_text(k % 56 + 8), F.lit("G")))
-        .otherwise(F.concat(_text(k % 9000 + 4000000), F.lit("K")))
-    )
+    states = " ".join(f"WHEN {i} THEN '{state}'" for i, state in enumerate(_STATES))
     return (
         orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
-        .withColumn("k", F.col("o_orderkey"))
-        .select(
-            "k",
-            (cust % 40).alias("u"),
-            state.alias("st_or_null"),
-            F.when(k % 13 == 4, F.lit(0)).otherwise(k * 7919 % 180000).alias("w"),
-            (cust % 32 + 1).alias("n"),
-            (k % 2 + 1).alias("nn"),
-            F.when(k % 15 < 5, F.concat(_text(k - k % 5), F.lit("_"), _text(k % 5))).otherwise(_text(k)).alias("jid"),
-            F.when(k % 5 == 0, F.lit("gpu-a")).when(k % 5 == 1, F.lit("cpu-himem")).otherwise(F.lit("cpu-std")).alias("part"),
-            request.alias("rm"),
-            F.concat(
-                _text(F.to_date("o_orderdate")), F.lit("T"), _two(k % 24), F.lit(":"), _two(k % 60)
-            ).alias("minute"),
-            F.concat(F.lit("job-"), F.col("o_orderpriority")).alias("job_name"),
-            F.lower("c_mktsegment").alias("account"),
+        .selectExpr(
+            "o_orderkey AS k",
+            "o_custkey % 40 AS u",
+            f"CASE o_orderkey % 13 {states} ELSE 'COMPLETED' END AS state",
+            "CASE WHEN o_orderkey % 13 = 4 THEN 0L ELSE o_orderkey * 7919 % 180000 END AS w",
+            "o_custkey % 32 + 1 AS n",
+            "o_orderkey % 2 + 1 AS nn",
+            "CASE WHEN o_orderkey % 15 < 5 THEN (o_orderkey - o_orderkey % 5) || '_' || o_orderkey % 5 "
+            "ELSE CAST(o_orderkey AS STRING) END AS job_id",
+            "CASE o_orderkey % 5 WHEN 0 THEN 'gpu-a' WHEN 1 THEN 'cpu-himem' ELSE 'cpu-std' END AS part",
+            "CASE WHEN o_orderkey % 11 = 10 THEN NULL "
+            "WHEN o_orderkey % 4 = 0 THEN (o_orderkey % 7 + 2) || 'Gn' "
+            "WHEN o_orderkey % 4 = 1 THEN (o_orderkey % 3000 + 1000) || 'Mc' "
+            "WHEN o_orderkey % 4 = 2 THEN (o_orderkey % 56 + 8) || 'G' "
+            "ELSE (o_orderkey % 9000 + 4000000) || 'K' END AS request",
+            f"to_date(o_orderdate) || 'T' || {_two('o_orderkey % 24')} || ':' || {_two('o_orderkey % 60')} AS minute",
+            "'job-' || o_orderpriority AS job_name",
+            "lower(c_mktsegment) AS account",
+        )
+        .selectExpr(
+            "*",
+            f"{_clock('w')} AS elapsed",
+            f"{_clock('w * n')} AS core_time",
+            f"CASE WHEN k % 7 = 0 OR w = 0 THEN '00:00:00' "
+            f"ELSE {_clock('w * n * (k % 90 + 10) DIV 100')} || '.508' END AS cpu_used",
+            "CASE WHEN state <> 'PENDING' THEN 'billing=' || n || ',cpu=' || n "
+            "|| CASE WHEN part = 'gpu-a' THEN ',gres/gpu=' || (k % 4 + 1) ELSE '' END || ',node=' || nn END AS alloc",
         )
-        .withColumn("st", F.coalesce("st_or_null", F.lit("COMPLETED")))
-        .drop("st_or_null")
-        .withColumns(_order_texts())
     )
 
 
-def _order_texts() -> dict[str, Column]:
-    """Fields that the job row and the step rows share, written once per order."""
-    k, w, n = F.col("k"), F.col("w"), F.col("n")
-    gpus = F.when(F.col("part") == "gpu-a", F.concat(F.lit(",gres/gpu="), _text(k % 4 + 1))).otherwise(F.lit(""))
-    return {
-        "elapsed": _clock(w),
-        "core_time": _clock(w * n),
-        "cpu_used": F.when((k % 7 == 0) | (w == 0), F.lit("00:00:00")).otherwise(
-            F.concat(_clock(_div(w * n * (k % 90 + 10), 100)), F.lit(".508"))
-        ),
-        "alloc": F.when(
-            F.col("st") != "PENDING",
-            F.concat(F.lit("billing="), _text(n), F.lit(",cpu="), _text(n), gpus, F.lit(",node="), _text(F.col("nn"))),
-        ),
-    }
-
-
-def _row(values: dict[str, Column]) -> list[Column]:
+def _row(values: dict[str, str]) -> list[str]:
     """Columns of the log; the fields that job and step rows have in common are filled in here."""
     common = {
-        "Elapsed": F.col("elapsed"),
-        "CPUTime": F.col("core_time"),
-        "NNodes": F.col("nn"),
-        "NCPUS": F.col("n"),
-        "ReqMem": F.col("rm"),
-        "Account": F.col("account"),
-        "AllocTRES": F.col("alloc"),
+        "Elapsed": "elapsed", "CPUTime": "core_time", "NNodes": "nn", "NCPUS": "n", "ReqMem": "request",
+        "Account": "account", "AllocTRES": "alloc",
     }
     filled = common | values
-    return [filled[LOG_SEQ].cast("bigint").alias(LOG_SEQ), *[filled[f].cast("string").alias(f) for f in RAW_FIELDS]]
+    return [
+        f"CAST({filled[LOG_SEQ]} AS BIGINT) AS {LOG_SEQ}",
+        *[f"CAST({filled[field]} AS STRING) AS {name(field)}" for field in RAW_FIELDS],
+    ]
 
 
 def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw log: ``log_seq`` and the 17 fields as text."""
     orders = _orders(spark, sf_dir)
-    k, u = F.col("k"), F.col("u")
-    none = F.lit(None).cast("string")
-    jobs = orders.select(*_row({
-        LOG_SEQ: F.lit(0),
-        "UID": _text(u + 10000),
-        "User": F.concat(F.lit("user"), _text(u)),
-        "JobID": F.col("jid"),
-        "JobName": F.col("job_name"),
-        "Submit": F.concat(F.col("minute"), F.lit(":07")),
-        "Partition": F.when(F.col("st") == "PENDING", F.lit("cpu-std,cpu-himem")).otherwise(F.col("part")),
-        "TotalCPU": F.col("cpu_used"),
-        "MaxRSS": none,
-        "WorkDir": F.concat(F.lit("/home/user"), _text(u), F.lit("/proj"), _text(k % 3)),
-        "State": F.col("st"),
+    jobs = orders.selectExpr(*_row({
+        LOG_SEQ: "0",
+        "UID": "u + 10000",
+        "User": "'user' || u",
+        "JobID": "job_id",
+        "JobName": "job_name",
+        "Submit": "minute || ':07'",
+        "Partition": "CASE state WHEN 'PENDING' THEN 'cpu-std,cpu-himem' ELSE part END",
+        "TotalCPU": "cpu_used",
+        "MaxRSS": "NULL",
+        "WorkDir": "'/home/user' || u || '/proj' || k % 3",
+        "State": "state",
     }))
 
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"
     )
-    started = orders.filter(F.col("st") != "PENDING")
-    line, part, supp = F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey")
-    kb = part * 7919 % 20000000
-    step_name = F.when(line == 1, F.lit("batch")).when(line == 2, F.lit("extern"))
-    steps = lines.join(started, lines["l_orderkey"] == started["k"]).select(*_row({
-        LOG_SEQ: line,
-        "UID": none,
-        "User": none,
-        "JobID": F.concat(F.col("jid"), F.lit("."), F.coalesce(step_name, _text(line - 3))),
-        "JobName": F.coalesce(step_name, F.lit("step")),
-        "Submit": F.concat(F.col("minute"), F.lit(":09")),
-        "Partition": none,
-        "TotalCPU": F.when(line == 1, F.col("cpu_used")).otherwise(F.lit("00:00:00")),
-        "MaxRSS": F.when(F.col("l_returnflag") == "N", none)
-        .when(line == 2, F.lit("0"))
-        .when(supp % 9 == 0, _text(kb))
-        .when(supp % 9 == 1, F.concat(_text(part % 6000), F.lit("M")))
-        .otherwise(F.concat(_text(kb), F.lit("K"))),
-        "WorkDir": none,
-        "State": F.when(F.col("st") == "RUNNING", F.col("st"))
-        .when(part % 50 == 0, F.lit("FAILED"))
-        .otherwise(F.col("st")),
+    step = "CASE l_linenumber WHEN 1 THEN 'batch' WHEN 2 THEN 'extern' END"
+    steps = lines.join(orders.filter("state <> 'PENDING'"), F.expr("l_orderkey = k")).selectExpr(*_row({
+        LOG_SEQ: "l_linenumber",
+        "UID": "NULL",
+        "User": "NULL",
+        "JobID": f"job_id || '.' || coalesce({step}, CAST(l_linenumber - 3 AS STRING))",
+        "JobName": f"coalesce({step}, 'step')",
+        "Submit": "minute || ':09'",
+        "Partition": "NULL",
+        "TotalCPU": "CASE l_linenumber WHEN 1 THEN cpu_used ELSE '00:00:00' END",
+        "MaxRSS": "CASE WHEN l_returnflag = 'N' THEN NULL WHEN l_linenumber = 2 THEN '0' "
+        "WHEN l_suppkey % 9 = 0 THEN CAST(l_partkey * 7919 % 20000000 AS STRING) "
+        "WHEN l_suppkey % 9 = 1 THEN l_partkey % 6000 || 'M' ELSE l_partkey * 7919 % 20000000 || 'K' END",
+        "WorkDir": "NULL",
+        "State": "CASE WHEN state <> 'RUNNING' AND l_partkey % 50 = 0 THEN 'FAILED' ELSE state END",
     }))
     return jobs.unionByName(steps)
