@@ -119,7 +119,9 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"
     )
     step = "CASE l_linenumber WHEN 1 THEN 'batch' WHEN 2 THEN 'extern' END"
-    steps = lines.join(orders.filter("state <> 'PENDING'"), F.expr("l_orderkey = k")).selectExpr(*_row({
+    # Orders and lines both grow with the data: joined by shuffle, where Spark splits a hot order.
+    started = orders.filter("state <> 'PENDING'").hint("merge")
+    steps = lines.join(started, F.expr("l_orderkey = k")).selectExpr(*_row({
         LOG_SEQ: "l_linenumber",
         "UID": "NULL",
         "User": "NULL",
