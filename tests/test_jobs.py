@@ -117,7 +117,7 @@ def test_choice_of_jobs(spark, make_log, params):
     ids = spark.createDataFrame([(10,), (10,)], "id int")
     chosen = filters.with_ids_from(pipeline.jobs_full(log, params), ids, "id")
     assert {r.single_jobID for r in chosen.collect()} == {"10_1", "10_2"}
-    with pytest.raises(LookupError, match="charged under this account"):
+    with pytest.raises(LookupError, match="account: nobody"):
         choice = pipeline.JobChoice(account="nobody")
         pipeline.require_jobs(pipeline.jobs_full(log, params, choice), choice)
 

@@ -19,9 +19,9 @@ def parse_period(start: str, end: str) -> tuple[datetime.date, datetime.date]:
         try:
             days.append(datetime.datetime.strptime(text, "%Y-%m-%d").date())
         except ValueError:
-            raise ValueError(f"Incorrect date format, should be YYYY-MM-DD but is: {text}") from None
+            raise ValueError(f"not a day in the form YYYY-MM-DD: {text!r}") from None
     if days[0] > days[1]:
-        raise ValueError(f"Start date ({start}) is after the end date ({end}).")
+        raise ValueError(f"the period starts on {start}, after its end on {end}")
     return days[0], days[1]
 
 

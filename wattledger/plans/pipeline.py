@@ -33,16 +33,13 @@ class JobChoice:
 
     def describe(self) -> str:
         """The restrictions in words, for messages about an empty result."""
-        text = ""
-        if self.start is not None:
-            text += f" on that period (from {self.start} to {self.end})"
-        if self.directory is not None:
-            text += f" from this directory ({self.directory})"
-        if self.job_ids != "all":
-            text += " and with these jobIDs"
-        if self.account is not None:
-            text += " charged under this account"
-        return text
+        parts = {
+            "submitted": None if self.start is None else f"{self.start} to {self.end}",
+            "directory": self.directory,
+            "job ids": None if self.job_ids == "all" else self.job_ids,
+            "account": self.account,
+        }
+        return ", ".join(f"{what}: {value}" for what, value in parts.items() if value is not None)
 
 
 ALL_JOBS = JobChoice()
@@ -114,5 +111,6 @@ def report_tables(jobs: DataFrame, params: ClusterParams, html: bool = False) ->
 def require_jobs(jobs: DataFrame, choice: JobChoice = ALL_JOBS) -> DataFrame:
     """Stop with a plain message when a report has no jobs. Runs a job that looks for one row."""
     if jobs.isEmpty():
-        raise LookupError(f"You haven't run any jobs{choice.describe()}.")
+        restrictions = choice.describe()
+        raise LookupError("no finished jobs" + (f" with {restrictions}" if restrictions else " in the log"))
     return jobs
