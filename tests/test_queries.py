@@ -92,3 +92,14 @@ def test_plans_stay_distributed(spark, name):
 def test_job_filter_reaches_the_rows_below_the_roll_up(spark):
     text = plan(entry.queries()["filter_job_ids"](spark, SF_DIR))
     assert text.rindex("substring_index") > text.rindex("Exchange hashpartitioning(single_jobID")
+
+
+def test_roll_up_is_combined_before_its_only_shuffle(spark, params):
+    from wattledger.operators import rollup, steps
+    from wattledger.schemas import LOG_SEQ, RAW_FIELDS
+
+    log = spark.range(1000).selectExpr(f"id AS {LOG_SEQ}", *[f"CAST(id % 3 AS STRING) AS `{f}`" for f in RAW_FIELDS])
+    text = plan(rollup.rollup_jobs(steps.clean_steps(log, params)))
+    assert text.count("Exchange") == 1
+    before_shuffle = text[text.index("Exchange"):]
+    assert "partial_max" in before_shuffle and "partial_min_by" in before_shuffle
