@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,8 +29,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path for an intermediate table in the folder that all executors share.
 
-    That is the session's ``spark.checkpoint.dir``. Only where it is not set, as
-    on a single machine, a temporary folder takes its place.
+    That is the session's ``spark.checkpoint.dir``. Where it is not set, only a
+    session whose tasks all run in this process gets a temporary folder instead;
+    on a cluster that would be a folder of one machine, so it is an error.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="run-")
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
