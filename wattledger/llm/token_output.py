@@ -23,7 +23,7 @@ from .common import scratch_path, stored
 from .tokens import encoder
 
 BLOCK_TOKENS = 1 << 16
-_BLOCK_SCHEMA = "part int, block int, n_tokens bigint, doc_ids binary, doc_lengths binary, control binary, data binary"
+_BLOCK_SCHEMA = "part int, block int, start bigint, n_tokens bigint, doc_ids binary, doc_lengths binary, control binary, data binary"
 # Bytes of the four values that one control byte describes.
 _LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1
 
@@ -104,15 +104,15 @@ def write_blocks(texts: DataFrame, path: str, tokenizer: str, end_id: int, attac
     def to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, docs, chunks, size = TaskContext.get().partitionId(), 0, [], [], 0
+        part, block, start, docs, chunks, size = TaskContext.get().partitionId(), 0, 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
             lengths = np.array([len(c) for c in chunks], "<u4")
             control, data = encode_values(rank[np.concatenate(chunks)])
             # Null ids are the lowest number, which keeps them first.
             numbers = np.array([np.iinfo(np.int64).min if d is None else d for d in docs], "<i8")
-            row = (part, block, int(lengths.sum()), numbers.tobytes(), lengths.tobytes(), control, data)
-            kinds = (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4)
+            row = (part, block, start, size, numbers.tobytes(), lengths.tobytes(), control, data)
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4)
             names = [c.split()[0] for c in _BLOCK_SCHEMA.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
@@ -121,7 +121,7 @@ def write_blocks(texts: DataFrame, path: str, tokenizer: str, end_id: int, attac
                 chunk = np.frombuffer(value.as_buffer(), "<u4")
                 if chunks and size + len(chunk) > BLOCK_TOKENS:
                     yield flush()
-                    docs, chunks, size, block = [], [], 0, block + 1
+                    docs, chunks, block, start, size = [], [], block + 1, start + size, 0
                 docs.append(doc)
                 chunks.append(chunk)
                 size += len(chunk)
@@ -148,11 +148,9 @@ def read_blocks(spark: SparkSession, path: str) -> tuple[DataFrame, np.ndarray]:
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) decoded from the blocks; ``start`` counts the ids of all documents before."""
     blocks, by_rank = read_blocks(spark, path)
-    # One row per part and block is gathered for the starts, never the data.
+    # ``start`` of a block counts within its part; one row per part is gathered for the rest.
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").toPandas()
     before = dict(zip(sizes["part"].tolist(), (sizes["n"].cumsum() - sizes["n"]).tolist(), strict=True))
-    in_part = F.sum("n_tokens").over(_before_in_part())
-    placed = blocks.withColumn("at", F.coalesce(in_part, F.lit(0)))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,18 +162,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 raw = ids.astype("<u4").tobytes()
                 yield pa.RecordBatch.from_arrays([
                     pa.array(docs, pa.int64(), mask=docs == np.iinfo(np.int64).min),
-                    pa.array(ends - lengths + row["at"] + before[row["part"]], pa.int64()),
+                    pa.array(ends - lengths + row["start"] + before[row["part"]], pa.int64()),
                     pa.array(lengths, pa.int64()),
                     pa.array([raw[4 * (e - n):4 * e] for e, n in zip(ends, lengths, strict=True)], pa.binary()),
                 ], ["doc_id", "start", "n_tokens", "ids"])
 
-    return placed.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
-
-
-def _before_in_part():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.mapInArrow(decode, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
