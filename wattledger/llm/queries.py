@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, token_output, winnow
+from . import packing, token_output, toxicity, winnow
 
 QUERIES = {
+    "op5_toxicity": toxicity.query,
     "op7_token_output": token_output.query,
     "op9_best_fit_packing": packing.query,
     "op10_decontamination": winnow.query,
