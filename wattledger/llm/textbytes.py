@@ -85,15 +85,18 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, np.
         at = to
 
 
-def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-    """64-bit hashes of the byte ranges, A-Z taken as a-z unless other values of the 256 bytes are given."""
-    if len(start) == 0:
-        return np.zeros(0, np.uint64)
+def range_hashes(data: np.ndarray, ranges: list, values: np.ndarray | None = None) -> list[np.ndarray]:
+    """64-bit hashes for each (starts, ends), A-Z taken as a-z unless other values of the 256 bytes are given."""
     power, inverse = _power_tables(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.multiply((_byte_values() if values is None else values)[data], power[:len(data)], out=total[1:])
     np.cumsum(total, out=total)
-    return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return [mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)) for start, end in ranges]
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the byte ranges."""
+    return range_hashes(data, [(start, end)], values)[0]
 
 
 def bounds(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,8 +3,8 @@
 A word's score is the log-odds of toxic against other labelled texts under a
 Dirichlet prior that follows the word's share of the whole corpus, shrunk by its
 standard errors, less a small drift, so that ordinary text loses. Rare forms of a
-stem share their first PREFIX bytes: of the log-odds of a word and of its prefix
-the stronger counts. A linear scan finds all maximal scoring segments of a text. The best score of a clean text of
+stem share their first bytes: of the log-odds of a word and of its prefixes the
+strongest counts. A linear scan finds all maximal scoring segments of a text. The best score of a clean text of
 n words follows an extreme-value distribution, P(S > x) = 1 - exp(-K n e^(-lambda x)),
 which turns scores into significance whatever the length of a text; the
 probability of a label is a logistic curve over that.
@@ -26,13 +26,14 @@ from . import textbytes as tb
 from .common import fold_of, stored, table
 
 BUCKET_BITS = 18
-PREFIX = 4
+PREFIXES = (4, 6, 8)
 # Labelled texts of each class that the scores are learned from, at most: those with the smallest hashes of their ids.
 TRAIN_PER_CLASS = 8_000
 PRIOR_WORDS = 20_000.0  # weight of the prior, in words, besides half a word for each bucket
-CERTAINTY = 3.0  # standard errors that a log-odds is shrunk by
+CERTAINTY = 2.5  # standard errors that a log-odds is shrunk by
 DRIFT = 0.08  # what every word loses
 SIGNIFICANCE = 0.01  # of a passage
+_N_BUCKETS = (1 + len(PREFIXES)) << BUCKET_BITS
 
 
 @dataclass(frozen=True)
@@ -53,29 +54,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * np.log1p(evidence), -30, 30)))
 
 
-def _buckets(data: np.ndarray, found: tb.Words) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of all words, and those of their prefixes."""
+def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[tb.Words, list[np.ndarray]]:
+    """The words of a slice of rows, their buckets, and the buckets of their prefixes of each length."""
+    start, end, first = tb.bounds(~tb.NOT_ALNUM[data], offsets)
+    ranges = [(start, end), *((start, np.minimum(end, start + n)) for n in PREFIXES)]
+    every = tb.range_hashes(data, ranges)
     shift = np.uint64(64 - BUCKET_BITS)
-    prefix = tb.hashes(data, found.start, np.minimum(found.end, found.start + PREFIX))
-    return (found.hash >> shift).astype(np.int64), (prefix >> shift).astype(np.int64) + (1 << BUCKET_BITS)
+    row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    return tb.Words(start, end, row, every[0], first), [(h >> shift).astype(np.int64) + (i << BUCKET_BITS) for i, h in enumerate(every)]
 
 
 def _scored(odds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[tb.Words, np.ndarray]:
     """The words of a slice of rows and their scores."""
-    found = tb.words(data, offsets, tb.NOT_ALNUM)
-    word, prefix = _buckets(data, found)
-    own, shared = odds[word], odds[prefix]
-    return found, np.where(np.abs(own) >= np.abs(shared), own, shared).astype(np.float64) - DRIFT
+    found, buckets = _buckets(data, offsets)
+    strongest = odds[buckets[0]]
+    for prefix in buckets[1:]:
+        other = odds[prefix]
+        strongest = np.where(np.abs(strongest) >= np.abs(other), strongest, other)
+    return found, strongest.astype(np.float64) - DRIFT
 
 
 def count_words(texts: DataFrame) -> DataFrame:
     """(bucket, n): words and prefixes of the column ``text`` of all rows by bucket."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 << BUCKET_BITS, np.int64)
+        total = np.zeros(_N_BUCKETS, np.int64)
         for batch in batches:
             for _, data, offsets in tb.slices(batch.column(0)):
-                for buckets in _buckets(data, tb.words(data, offsets, tb.NOT_ALNUM)):
+                for buckets in _buckets(data, offsets)[1]:
                     total += np.bincount(buckets, minlength=len(total))
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], ["bucket", "n"])
@@ -86,7 +92,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 def _as_array(counts: DataFrame) -> np.ndarray:
     """Counts by bucket on the driver; bounded by the number of buckets."""
     rows = counts.toPandas()
-    out = np.zeros(2 << BUCKET_BITS)
+    out = np.zeros(_N_BUCKETS)
     out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
     return out
 
@@ -152,7 +158,7 @@ def log_odds(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray) -> np.nda
     out = np.zeros(len(corpus), np.float32)
     if not toxic.sum() or not other.sum():
         return out
-    for part in np.split(np.arange(len(corpus)), 2):  # words, prefixes
+    for part in np.split(np.arange(len(corpus)), 1 + len(PREFIXES)):  # words, and prefixes of each length
         share = corpus[part] + 0.01
         a, b = (n[part] + 0.5 + PRIOR_WORDS * share / share.sum() for n in (toxic, other))
         odds = np.log(a / (a.sum() - a)) - np.log(b / (b.sum() - b))
