@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_output, toxicity, winnow
+from . import language, packing, token_output, toxicity, winnow
 
 QUERIES = {
     "op5_toxicity": toxicity.query,
     "op7_token_output": token_output.query,
+    "op8_language_id": language.query,
     "op9_best_fit_packing": packing.query,
     "op10_decontamination": winnow.query,
 }
