@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,3 +30,22 @@ def text_key():
 def fold_of(id_column: str, folds: int):
     """crc32 of the id as text, modulo the number of folds."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % folds
+
+
+def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """One bit for each value of a bigint column modulo ``bits``, a power of two, as bytes.
+
+    At most bits / 64 rows reach the driver, whatever the size of the table.
+    """
+    bit = F.col(column).bitwiseAND(bits - 1)
+    words = df.groupBy(F.shiftright(bit, 6).alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast((`{column}` & {bits - 1}) & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    return out.view(np.uint8)
+
+
+def in_filter(may: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Whether the bit of each value is set."""
+    bit = values.view(np.uint64) & np.uint64(len(may) * 8 - 1)
+    return (may[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 > 0

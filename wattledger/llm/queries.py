@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import language, packing, token_output, toxicity, winnow
+from . import language, packing, setjoin, token_output, toxicity, winnow
 
 QUERIES = {
+    "op4_ngram_jaccard_join": setjoin.query,
     "op5_toxicity": toxicity.query,
     "op7_token_output": token_output.query,
     "op8_language_id": language.query,
@@ -39,6 +40,29 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 """
 
+# Sets of three words, all pairs with a word run in common, and reachability.
+_JACCARD_JOIN = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), b AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_in FROM s x JOIN s y USING (g) WHERE x.doc_id <> y.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, b FROM b JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_in >= 90 * (x.n + y.n - both_in)
+), r(doc_id, reached) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached
+), c AS (
+  SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id
+)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard_join": _JACCARD_JOIN,
     "op10_decontamination": _DECONTAMINATION,
 }

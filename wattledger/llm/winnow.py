@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import stored, table, text_key
+from .common import bit_filter, in_filter, stored, table, text_key
 
 SPAN = 10  # words that must agree
 K = 5
@@ -66,9 +66,8 @@ def _prints_udf(may_match: np.ndarray | None, short: tuple[int, ...]):
     def keep(at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if may_match is None:
             return at, h
-        bit = h & np.uint64(FILTER_BITS - 1)
-        known = (may_match[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1
-        return at[known > 0], h[known > 0]
+        known = in_filter(may_match, h)
+        return at[known], h[known]
 
     @F.arrow_udf(f"struct<n: bigint, prints: {_PRINTS}>")
     def prints(text: pa.Array) -> pa.Array:
@@ -110,16 +109,6 @@ def _struct(n_rows: int, counts: list, parts: list) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), prints)], ["n", "prints"])
 
 
-def _bit_filter(prints: DataFrame) -> np.ndarray:
-    """One bit per hash of the benchmark, modulo FILTER_BITS: at most FILTER_BITS / 64 words reach the driver."""
-    bit = F.col("h").bitwiseAND(FILTER_BITS - 1)
-    words = prints.groupBy(F.shiftright(bit, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast((h & {FILTER_BITS - 1}) & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(FILTER_BITS // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return out.view(np.uint8)
-
-
 def contamination(documents: DataFrame, items: DataFrame) -> DataFrame:
     """Which words of each document stand in an item's text.
 
@@ -135,7 +124,7 @@ def contamination(documents: DataFrame, items: DataFrame) -> DataFrame:
     item_prints = stored(
         items.select("item_id", _prints_udf(None, tuple(range(1, SPAN)))("text").alias("p"))
         .select("item_id", F.explode("p.prints").alias("x")).select("item_id", "x.*"), "item-prints")
-    may_match = _bit_filter(item_prints)
+    may_match = bit_filter(item_prints, "h", FILTER_BITS)
     short = tuple(sorted(r[0] for r in item_prints.filter(F.col("size") < SPAN).select("size").distinct().collect()))
     scanned = stored(documents.select("doc_id", text_key().alias("key"), _prints_udf(may_match, short)("text").alias("p")), "doc-prints")
     prints = scanned.select("doc_id", "key", F.explode("p.prints").alias("x")).select("doc_id", "key", "x.*").distinct()
