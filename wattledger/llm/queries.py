@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import language, packing, setjoin, token_output, toxicity, winnow
+from . import chat, forest, language, packing, setjoin, token_output, toxicity, winnow
 
 QUERIES = {
+    "op1_embedding_near_dedup": forest.query,
+    "op3_chat_format": chat.query,
     "op4_ngram_jaccard_join": setjoin.query,
     "op5_toxicity": toxicity.query,
     "op7_token_output": token_output.query,
@@ -62,7 +64,29 @@ WITH RECURSIVE d AS (
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+_ESCAPED = "replace(replace(replace({0}, '\\\\', '\\\\\\\\'), '#', '\\\\#'), '</turn>', '<\\\\/turn>')".replace("\\\\", "\\")
+# Every turn counts with its marks: '### ', ' ###' and a line break, '</turn>' and a line break.
+_CHAT_FORMAT = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL
+  SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL
+  SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+), j AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         sum(4 + length({_ESCAPED.format('role')}) + 5 + length({_ESCAPED.format('text')}) + 8) AS formatted_chars
+  FROM c GROUP BY conv_id
+)
+SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+       sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars
+FROM j
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_chat_format": _CHAT_FORMAT,
     "op4_ngram_jaccard_join": _JACCARD_JOIN,
     "op10_decontamination": _DECONTAMINATION,
 }

@@ -32,12 +32,13 @@ from . import textbytes as tb
 from .common import bit_filter, in_filter, stored, table
 from .components import components
 
-# Buckets for the frequencies of n-grams; frequent ones come last in the global order. Fixed, whatever the corpus.
-FREQUENCY_BUCKETS = 1 << 22
+# Buckets for the frequencies of n-grams: about one for 32 n-grams of the corpus, between these powers of two. Tasks get
+# a bit for each. Frequent n-grams come last in the global order; any order gives the same links.
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 1 << 27
 # A bucket is frequent with this many times the mean, and at least this many, n-grams.
 FREQUENT_TIMES, FREQUENT_LEAST = 6, 48
-# The part of a set's n-grams, by hash, that is counted, in lengths of its indexed part.
-COUNTED_PREFIXES = 2
+# Lists of sets of about one size with more members than this are compared with a second centre.
+SECOND_CENTRE = 16
 _SET_FILTER_BITS = 1 << 24
 
 
@@ -95,31 +96,31 @@ class Join:
 
         return stored(self.documents.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "signatures")
 
-    def frequent(self) -> np.ndarray:
-        """A bit for each bucket that is frequent among the counted n-grams of all documents."""
-        k, indexed = self.k, partial(_indexed, self.least)
+    def frequent(self, signatures: DataFrame) -> np.ndarray:
+        """A bit for each bucket that is frequent among the n-grams of all documents."""
+        k = self.k
+        total = signatures.agg(F.sum("n")).first()[0] or 0
+        buckets = min(max(LEAST_BUCKETS, 1 << (total // 32).bit_length()), MOST_BUCKETS)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(buckets, np.int32)
             for batch in batches:
-                counted = [np.zeros(0, np.int32)]
                 for _, data, offsets in tb.slices(batch.column(0)):
-                    h, bounds = _sets(data, offsets, k)
-                    n = np.diff(bounds)
-                    rank = np.arange(len(h)) - np.repeat(bounds[:-1], n)
-                    some = h[rank < np.repeat(COUNTED_PREFIXES * indexed(n), n)]
-                    counted.append((some & np.uint64(FREQUENCY_BUCKETS - 1)).astype(np.int32))
-                bucket, times = np.unique(np.concatenate(counted), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(times, pa.int64())], ["bucket", "n"])
-
-        counts = stored(self.documents.select("text").mapInArrow(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")), "frequencies")
-        total = counts.agg(F.sum("n")).first()[0] or 0
-        least = max(FREQUENT_LEAST, FREQUENT_TIMES * total / FREQUENCY_BUCKETS)
+                    bucket, times = np.unique((_sets(data, offsets, k)[0] & np.uint64(buckets - 1)).astype(np.int32), return_counts=True)
+                    n[bucket] += times
+            there = np.flatnonzero(n).astype(np.int32)
+            for at in range(0, len(there), 1 << 18):
+                part = there[at:at + (1 << 18)]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["bucket", "n"])
+
+        counts = self.documents.select("text").mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
+        least = max(FREQUENT_LEAST, FREQUENT_TIMES * total / buckets)
         # Less than 1 / FREQUENT_TIMES of the buckets.
-        return bit_filter(counts.filter(F.col("n") > least).select(F.col("bucket").cast("bigint")), "bucket", FREQUENCY_BUCKETS)
+        return bit_filter(counts.filter(F.col("n") > least).select(F.col("bucket").cast("bigint")), "bucket", buckets)
 
-    def index(self) -> DataFrame:
+    def index(self, signatures: DataFrame) -> DataFrame:
         """(gram, class, n, pos): the indexed n-grams of each class, in the global order frequent last, then by hash."""
-        k, indexed, frequent = self.k, partial(_indexed, self.least), self.frequent()
+        k, indexed, frequent = self.k, partial(_indexed, self.least), self.frequent(signatures)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -127,7 +128,7 @@ class Join:
                     h, bounds = _sets(data, offsets, k)
                     n = np.diff(bounds)
                     row = np.repeat(np.arange(len(n)), n)
-                    order = np.argsort(row * 2 + in_filter(frequent, h & np.uint64(FREQUENCY_BUCKETS - 1)), kind="stable")
+                    order = np.argsort(row * 2 + in_filter(frequent, h), kind="stable")
                     pos = np.arange(len(h)) - bounds[:-1][row]
                     kept = pos < indexed(n)[row]
                     cls, _ = _digests(h, bounds)
@@ -176,9 +177,11 @@ class Join:
         every = self.documents.select("doc_id", grams("doc_id", "text").alias("s")).filter("s.grams IS NOT NULL").select("doc_id", "s.*")
         return stored(every.join(chosen, ["doc_id", "class"]).select("class", "grams").dropDuplicates(["class"]), "sets")
 
-    def compared(self, pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    def compared(self, pairs: DataFrame, signatures: DataFrame, name: str) -> DataFrame:
         """(a, b, distance, linked) of pairs of classes, by their whole sets."""
         p, q = self.least.numerator, self.least.denominator
+        pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), signatures)
 
         @F.arrow_udf("struct<distance: double, linked: boolean>")
         def compare(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -196,23 +199,32 @@ class Join:
 
         left = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
         right = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
-        joined = pairs.select("a", "b").distinct().join(left, "a").join(right, "b")
+        joined = pairs.join(left, "a").join(right, "b")
         return stored(joined.select("a", "b", compare("grams_a", "grams_b").alias("c")).select("a", "b", "c.*"), name)
 
+    def _star(self, rows: DataFrame, leader: DataFrame) -> DataFrame:
+        """(a, b): the leader of each list and band with the others there that may be similar to it."""
+        leader = leader.join(rows, ["gram", "band", "class"]).alias("l")
+        star = rows.alias("m").join(leader, ["gram", "band"]).filter((F.col("l.class") != F.col("m.class")) & self._may_be_similar("l", "m"))
+        return star.select(F.col("l.class").alias("a"), F.col("m.class").alias("b"))
+
     def links(self, signatures: DataFrame) -> DataFrame:
         """(u, v): links between classes that connect whatever similarity connects."""
-        index = self.index()
-        sets = self.sets_of(index.select("class").distinct(), signatures)
+        index = self.index(signatures)
         # The sets of about one size in a list meet the one with the smallest hash among the near ones.
         band = F.floor(F.log("n") / math.log(1 / float(self.least))) if self.least < 1 else F.col("n")
         rows = index.select("gram", "class", "pos", "near", F.col("n").alias("least_n"), F.col("n").alias("most_n"), band.alias("band"))
         leader = rows.filter("near").groupBy("gram", "band").agg(F.min_by("class", F.xxhash64("class")).alias("class"))
-        leader = leader.join(rows, ["gram", "band", "class"]).alias("l")
-        star = rows.alias("m").join(leader, ["gram", "band"]).filter((F.col("l.class") != F.col("m.class")) & self._may_be_similar("l", "m"))
-        first = self.compared(star.select(F.col("l.class").alias("a"), F.col("m.class").alias("b")), sets, "stars")
+        first = self.compared(self._star(rows, leader), signatures, "first-centres")
+        # In long lists the set nearest to that one is a better centre: it is likelier to be what all are copies of.
+        long = rows.groupBy("gram", "band").agg(F.count("class").alias("size")).filter(F.col("size") > SECOND_CENTRE).join(
+            leader.withColumnRenamed("class", "a"), ["gram", "band"])
+        nearest = first.groupBy("a").agg(F.min_by("b", F.struct("distance", F.xxhash64("b"))).alias("class"))
+        better = long.join(nearest, "a").select("gram", "band", "class")
+        first = first.unionByName(self.compared(self._star(rows, better).join(first, ["a", "b"], "left_anti"), signatures, "second-centres"))
         linked = first.filter("linked")
         cluster = stored(linked.groupBy(F.col("b").alias("class")).agg(
-            F.min("a").alias("centre"), F.min_by("distance", "a").alias("distance")), "clusters")
+            F.min_by("a", F.struct("distance", "a")).alias("centre"), F.min("distance").alias("distance")), "clusters")
         component = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
         member = rows.join(cluster, "class", "left").join(component.withColumnRenamed("node", "class"), "class", "left").select(
@@ -226,14 +238,14 @@ class Join:
             (F.col("x.centre") < F.col("y.centre")) & (F.col("x.component") != F.col("y.component")) & self._may_be_similar("x", "y"))
         pairs = crossing.select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).distinct()
         done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "linked").distinct()
-        second = self.compared(pairs.join(done, ["a", "b"], "left_anti"), sets, "centres")
+        second = self.compared(pairs.join(done, ["a", "b"], "left_anti"), signatures, "centres")
         known = second.unionByName(pairs.join(done, ["a", "b"]).select("a", "b", "distance", "linked"))
         edges = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             second.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        opened = self._opened(known.filter("NOT linked"), cluster, components(edges), sets)
+        opened = self._opened(known.filter("NOT linked"), cluster, components(edges), signatures)
         return edges.unionByName(opened)
 
-    def _opened(self, centres: DataFrame, cluster: DataFrame, component: DataFrame, sets: DataFrame) -> DataFrame:
+    def _opened(self, centres: DataFrame, cluster: DataFrame, component: DataFrame, signatures: DataFrame) -> DataFrame:
         """Links between members of clusters whose centres are not similar but near enough that members can be."""
         apart = 1 - float(self.least) + 1e-9
         radius = cluster.groupBy("centre").agg(F.max("distance").alias("radius"))
@@ -255,7 +267,7 @@ class Join:
         sides = sides.filter((F.col("distance") - F.col("own_a") - F.col("own_b") <= apart) & (
             F.coalesce("component_a", "class_a") != F.coalesce("component_b", "class_b")))
         pairs = sides.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
-        return self.compared(pairs, sets, "members").filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        return self.compared(pairs, signatures, "members").filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
 def similar_documents(documents: DataFrame, k: int, least: Fraction) -> DataFrame:
