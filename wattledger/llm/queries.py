@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, forest, language, packing, setjoin, token_output, toxicity, winnow
+from . import chat, forest, language, packing, setjoin, token_counts, token_output, toxicity, url_filters, winnow
 
 QUERIES = {
     "op1_embedding_near_dedup": forest.query,
+    "op2_token_counts": token_counts.query,
     "op3_chat_format": chat.query,
     "op4_ngram_jaccard_join": setjoin.query,
     "op5_toxicity": toxicity.query,
+    "op6_url_filters": url_filters.query,
     "op7_token_output": token_output.query,
     "op8_language_id": language.query,
     "op9_best_fit_packing": packing.query,
@@ -85,7 +87,45 @@ SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha25
 FROM j
 """
 
+# Keys by generating all folders and domains above; the active entry is found with a plain range join.
+_URL_FILTERS = r"""
+WITH p AS (
+  SELECT page_id, regexp_extract(url, '^\s*[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)(?::[0-9]*)?([^?#]*)', ['host', 'path']) AS u,
+         DATE '2023-01-01' + CAST(CAST('0x' || substr(md5(CAST(page_id AS VARCHAR)), 1, 8) AS BIGINT) % 730 AS INTEGER) AS fetched
+  FROM pages
+), c AS (
+  SELECT page_id, fetched, lower(u.host) AS host, CASE WHEN u.path = '' THEN '/' ELSE u.path END AS path FROM p WHERE u.host <> ''
+), k AS (
+  SELECT page_id, fetched, 'host' AS kind, host AS key FROM c
+  UNION ALL SELECT page_id, fetched, 'url', host || path FROM c
+  UNION ALL SELECT page_id, fetched, 'domain', array_to_string(string_split(host, '.')[i:], '.')
+    FROM (SELECT *, unnest(range(1, greatest(len(string_split(host, '.')) - 1, 1) + 1)) AS i FROM c)
+  UNION ALL SELECT page_id, fetched, 'prefix', host || array_to_string(string_split(path, '/')[1:i], '/') || '/'
+    FROM (SELECT *, unnest(range(1, greatest(len(string_split(path, '/')) - 1, 1) + 1)) AS i FROM c)
+), named AS (
+  SELECT 'host' AS kind, host AS key FROM c
+  UNION SELECT 'url', host || path FROM c
+  UNION SELECT 'domain', regexp_replace(host, '^(www|m|blog)\.', '') FROM c
+  UNION SELECT 'prefix', host || '/' || string_split(path, '/')[2] || '/' FROM c
+), h AS (
+  SELECT kind, key, CAST('0x' || substr(md5(kind || ' ' || key), 1, 8) AS BIGINT) AS h FROM named
+), log AS (
+  SELECT kind, key, CASE WHEN h % 5 = 0 THEN 'allow' ELSE 'block' END AS action, h % 600 AS first, h % 600 + 40 + h % 97 AS second FROM h WHERE h % 3 = 0
+), active AS (
+  SELECT kind, key, action, DATE '2023-01-01' + CAST(first AS INTEGER) AS since, DATE '2023-01-01' + CAST(second AS INTEGER) AS until FROM log
+  UNION ALL SELECT kind, key, action, DATE '2023-01-01' + CAST(second + 60 AS INTEGER), DATE '9999-12-31' FROM log
+), m AS (
+  SELECT page_id, kind, key, action,
+         row_number() OVER (PARTITION BY page_id ORDER BY list_position(['domain', 'host', 'prefix', 'url'], kind) DESC, length(key) DESC, since DESC, action DESC, key DESC) AS r,
+         count(*) OVER (PARTITION BY page_id) AS n
+  FROM k JOIN active USING (kind, key) WHERE since <= fetched AND fetched < until
+)
+SELECT p.page_id, CAST(coalesce(n, 0) AS BIGINT) AS n_entries, kind, key, action, coalesce(action = 'block', false) AS blocked
+FROM pages p LEFT JOIN m ON m.page_id = p.page_id AND r = 1
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op6_url_filters": _URL_FILTERS,
     "op3_chat_format": _CHAT_FORMAT,
     "op4_ngram_jaccard_join": _JACCARD_JOIN,
     "op10_decontamination": _DECONTAMINATION,

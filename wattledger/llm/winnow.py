@@ -109,12 +109,13 @@ def _struct(n_rows: int, counts: list, parts: list) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), prints)], ["n", "prints"])
 
 
-def contamination(documents: DataFrame, items: DataFrame) -> DataFrame:
+def contamination(documents: DataFrame, items: DataFrame, with_key: bool = False) -> DataFrame:
     """Which words of each document stand in an item's text.
 
     ``documents`` (doc_id, text), ``items`` (item_id, text). Words are runs of
     letters, digits and characters outside ASCII, A-Z as a-z. Returns per row of
-    documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; ``with_key``
+    adds key, a 64-bit hash of the text.
 
     A null or empty text has no words; an item without words hits nothing. Rows
     with one doc_id are judged by their own texts each. Items with one text all
@@ -138,7 +139,7 @@ def contamination(documents: DataFrame, items: DataFrame) -> DataFrame:
     every = scanned.select("doc_id", "key", F.col("p.n").alias("n_words"))
     joined = every.join(found, every["doc_id"].eqNullSafe(found["doc_id"]) & (every["key"] == found["key"]), "left")
     return joined.select(
-        every["doc_id"], "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
+        every["doc_id"], *([every["key"]] if with_key else []), "n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("bigint").alias("n_items"),
         F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
