@@ -26,11 +26,11 @@ from .common import fold_of, table
 BITS = 15
 LENGTHS = (2, 3, 4)
 # Different labelled texts per language, at most, by the smallest hashes; the first of them are landmarks.
-TRAIN_PER_LANGUAGE = 600
-LANDMARKS_PER_LANGUAGE = 200
+TRAIN_PER_LANGUAGE = 500
+LANDMARKS_PER_LANGUAGE = 120
 # Languages, at most: the most frequent ones of the training rows. More than four share out TRAIN_ROWS.
 MAX_LANGUAGES = 64
-TRAIN_ROWS = 2400
+TRAIN_ROWS = 2000
 RIDGE = 1e-3
 _BATCH_ROWS = 128
 UNKNOWN = "und"
@@ -115,16 +115,22 @@ def train(documents: DataFrame) -> Model | None:
     if not rows:
         return None
     languages = tuple(dict.fromkeys(r["lang"] for r in rows))
-    x = np.unpackbits(np.array([np.frombuffer(r["grams"], np.uint8) for r in rows]), axis=1).astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    bits = np.array([np.frombuffer(r["grams"], np.uint8) for r in rows])
     y = np.array([[r["lang"] == k for k in languages] for r in rows], float)
-    marks = x[[i for i, r in enumerate(rows) if r["rank"] <= LANDMARKS_PER_LANGUAGE]]
-    kernel, own = (x @ marks.T).astype(float), (marks @ marks.T).astype(float)
+    marks = _normalized(bits[[i for i, r in enumerate(rows) if r["rank"] <= LANDMARKS_PER_LANGUAGE]])
+    kernel = np.concatenate([_normalized(bits[i:i + _BATCH_ROWS]) @ marks.T for i in range(0, len(bits), _BATCH_ROWS)]).astype(float)
+    own = (marks @ marks.T).astype(float)
     constant = y.mean(0)
     weight = np.ones(len(rows)) / y.sum(0)[y.argmax(1)]  # languages count alike
     left = kernel.T @ (kernel * weight[:, None]) + RIDGE * own + 1e-9 * np.eye(len(own))
     alpha = np.linalg.lstsq(left, kernel.T @ ((y - constant) * weight[:, None]), rcond=None)[0]
-    return Model(languages, (marks.T.astype(float) @ alpha).astype(np.float32), constant)
+    return Model(languages, marks.T @ alpha.astype(np.float32), constant)
+
+
+def _normalized(bits: np.ndarray) -> np.ndarray:
+    """Presence rows of unit length from packed bits."""
+    x = np.unpackbits(bits, axis=1).astype(np.float32)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
 
 
 def predict_udf(model: Model | None):
