@@ -75,6 +75,13 @@ def _indexed(least: Fraction, n: np.ndarray) -> np.ndarray:
     return n - -(-least.numerator * n // least.denominator) + 1
 
 
+def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which values of x are in y; both ascending and not empty."""
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    return y[at] == x
+
+
 class Join:
     """Documents of (doc_id, text), n-grams of k words, and the least similarity as an exact fraction."""
 
@@ -177,11 +184,17 @@ class Join:
         every = self.documents.select("doc_id", grams("doc_id", "text").alias("s")).filter("s.grams IS NOT NULL").select("doc_id", "s.*")
         return stored(every.join(chosen, ["doc_id", "class"]).select("class", "grams").dropDuplicates(["class"]), "sets")
 
+    def _with_sets(self, pairs: DataFrame, signatures: DataFrame, name: str) -> DataFrame:
+        """Pairs of classes (a, b) with their sets as grams_a and grams_b."""
+        pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
+        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), signatures)
+        left = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
+        right = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
+        return pairs.join(left, "a").join(right, "b")
+
     def compared(self, pairs: DataFrame, signatures: DataFrame, name: str) -> DataFrame:
         """(a, b, distance, linked) of pairs of classes, by their whole sets."""
         p, q = self.least.numerator, self.least.denominator
-        pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
-        sets = self.sets_of(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), signatures)
 
         @F.arrow_udf("struct<distance: double, linked: boolean>")
         def compare(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -190,18 +203,33 @@ class Join:
                 x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
                 if len(x) > len(y):
                     x, y = y, x
-                at = np.searchsorted(y, x)
-                at[at == len(y)] = 0
-                both = int(np.count_nonzero(y[at] == x))
+                both = int(np.count_nonzero(_held(x, y)))
                 union = len(x) + len(y) - both
                 distance[i], linked[i] = 1 - both / union, q * both >= p * union
             return pa.StructArray.from_arrays([pa.array(distance), pa.array(linked)], ["distance", "linked"])
 
-        left = sets.select(F.col("class").alias("a"), F.col("grams").alias("grams_a"))
-        right = sets.select(F.col("class").alias("b"), F.col("grams").alias("grams_b"))
-        joined = pairs.join(left, "a").join(right, "b")
+        joined = self._with_sets(pairs, signatures, name)
         return stored(joined.select("a", "b", compare("grams_a", "grams_b").alias("c")).select("a", "b", "c.*"), name)
 
+    def differences(self, pairs: DataFrame, signatures: DataFrame, name: str) -> DataFrame:
+        """(a, b, n, delta, linked): what b has and a has not, then the reverse, each by hash; n is the size of b."""
+        p, q = self.least.numerator, self.least.denominator
+
+        @F.arrow_udf("struct<n: bigint, delta: array<bigint>, linked: boolean>")
+        def differ(left: pa.Array, right: pa.Array) -> pa.Array:
+            n, delta, linked = [], [], []
+            for x, y in zip(left, right, strict=True):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                more, less = y[~_held(y, x)], x[~_held(x, y)]
+                n.append(len(y))
+                delta.append(np.concatenate([more, less]).view(np.int64))
+                linked.append(q * (len(y) - len(more)) >= p * (len(x) + len(more)))
+            fields = [pa.array(n, pa.int64()), pa.array(delta, pa.list_(pa.int64())), pa.array(linked, pa.bool_())]
+            return pa.StructArray.from_arrays(fields, ["n", "delta", "linked"])
+
+        joined = self._with_sets(pairs, signatures, name)
+        return stored(joined.select("a", "b", differ("grams_a", "grams_b").alias("c")).select("a", "b", "c.*"), name)
+
     def _star(self, rows: DataFrame, leader: DataFrame) -> DataFrame:
         """(a, b): the leader of each list and band with the others there that may be similar to it."""
         leader = leader.join(rows, ["gram", "band", "class"]).alias("l")
@@ -246,28 +274,43 @@ class Join:
         return edges.unionByName(opened)
 
     def _opened(self, centres: DataFrame, cluster: DataFrame, component: DataFrame, signatures: DataFrame) -> DataFrame:
-        """Links between members of clusters whose centres are not similar but near enough that members can be."""
+        """Links between members of clusters whose centres are not similar but near enough that members can be.
+
+        Members y of a and z of b are written as their differences from a. y and z
+        differ in just what one of the two differences holds, so unless z links with a,
+        similar ones must have some of them in common: members meet through the rarer
+        part of their differences, never all with all.
+        """
         apart = 1 - float(self.least) + 1e-9
-        radius = cluster.groupBy("centre").agg(F.max("distance").alias("radius"))
+        shape = cluster.groupBy("centre").agg(F.max("distance").alias("radius"), F.count("class").alias("size"))
+        label = component.withColumnRenamed("node", "class")
         near = centres
         for side in ("a", "b"):
-            near = near.join(radius.select(F.col("centre").alias(side), F.col("radius").alias(f"radius_{side}")), side, "left")
+            near = near.join(shape.select(F.col("centre").alias(side), F.col("radius").alias(f"radius_{side}"), F.col("size").alias(f"size_{side}")), side, "left")
+            near = near.join(label.select(F.col("class").alias(side), F.col("component").alias(f"component_{side}")), side, "left")
         reach = F.coalesce("radius_a", F.lit(0.0)) + F.coalesce("radius_b", F.lit(0.0))
-        near = near.filter((reach > 0) & (F.col("distance") <= reach + apart)).select("a", "b", "distance")
-        members = cluster.select("centre", "class", F.col("distance").alias("own")).unionByName(
-            cluster.select("centre").distinct().select("centre", F.col("centre").alias("class"), F.lit(0.0).alias("own")))
-        label = component.withColumnRenamed("node", "class")
-        sides = near
-        for side in ("a", "b"):
-            # A centre without a cluster stands for itself.
-            side_members = members.select(F.col("centre").alias(side), F.col("class").alias(f"class_{side}"), F.col("own").alias(f"own_{side}"))
-            sides = sides.join(side_members, side, "left").withColumns({
-                f"class_{side}": F.coalesce(f"class_{side}", side), f"own_{side}": F.coalesce(f"own_{side}", F.lit(0.0))})
-            sides = sides.join(label.select(F.col("class").alias(f"class_{side}"), F.col("component").alias(f"component_{side}")), f"class_{side}", "left")
-        sides = sides.filter((F.col("distance") - F.col("own_a") - F.col("own_b") <= apart) & (
-            F.coalesce("component_a", "class_a") != F.coalesce("component_b", "class_b")))
-        pairs = sides.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"))
-        return self.compared(pairs, signatures, "members").filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        near = near.filter((reach > 0) & (F.col("distance") <= reach + apart) & (F.coalesce("component_a", "a") != F.coalesce("component_b", "b")))
+        swap = F.coalesce("size_a", F.lit(0)) < F.coalesce("size_b", F.lit(0))
+        near = stored(near.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")), "near")
+        members = cluster.select("centre", "class")
+        mine = members.join(near.select(F.col("a").alias("centre")).distinct(), "centre", "left_semi").select(
+            F.col("centre").alias("a"), F.col("class").alias("b"), F.lit(True).alias("inside"))
+        others = near.join(members.select(F.col("centre").alias("b"), "class"), "b").select("a", F.col("class").alias("b")).unionByName(near).distinct()
+        both = mine.unionByName(others.withColumn("inside", F.lit(False)))
+        delta = self.differences(both, signatures, "deltas").join(both, ["a", "b"])
+        direct = delta.filter("NOT inside AND linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
+        # Similar sets of n and m differ in at most (n + m) * share.
+        p, q = self.least.numerator, self.least.denominator
+        excess = F.size("delta") - F.col("n") * ((q - p) / (p + q))
+        rest = delta.filter("inside OR NOT linked").select("a", "b", "inside", "delta", excess.alias("excess"))
+        lowest = rest.groupBy("a").agg(F.min(F.when(F.col("inside"), F.col("excess"))).alias("low_in"), F.min(F.when(~F.col("inside"), F.col("excess"))).alias("low_out"))
+        other = F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low_in"))
+        common = F.greatest(F.lit(1), F.ceil((F.col("excess") + other) / 2 - 1e-6).cast("int"))
+        part = rest.join(lowest, "a").select("a", "b", "inside", F.explode(
+            F.slice("delta", F.lit(1), F.greatest(F.size("delta") - common + 1, F.lit(0)))).alias("gram"))
+        pairs = part.filter("inside").alias("y").join(part.filter("NOT inside").alias("z"), ["a", "gram"]).select(
+            F.col("y.b").alias("a"), F.col("z.b").alias("b")).filter("a <> b")
+        return direct.unionByName(self.compared(pairs, signatures, "members").filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
 def similar_documents(documents: DataFrame, k: int, least: Fraction) -> DataFrame:
