@@ -151,11 +151,7 @@ class _Bins:
         return out
 
 
-def _pack_last(rows: pd.DataFrame) -> pd.DataFrame:
-    return _pack_group(rows).assign(done=True)
-
-
-def _pack_group(rows: pd.DataFrame) -> pd.DataFrame:
+def _pack_group(rows: pd.DataFrame, carried_pieces: int) -> pd.DataFrame:
     """Pack one group; ``done`` marks the pieces of bins that do not go on to the next round."""
     rows = rows.sort_values(["length", "piece_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
     bins = _Bins(rows["length"].tolist())
@@ -165,7 +161,7 @@ def _pack_group(rows: pd.DataFrame) -> pd.DataFrame:
     count = np.bincount(number, minlength=len(bins.items))
     emptiest = np.argsort(fill, kind="stable")
     carried = np.zeros(len(fill), bool)
-    carried[emptiest[np.cumsum(count[emptiest]) <= CARRIED_PIECES]] = True
+    carried[emptiest[np.cumsum(count[emptiest]) <= carried_pieces]] = True
     order = np.argsort(number, kind="stable")
     sorted_bins, sorted_lengths = number[order], rows["length"].to_numpy()[order]
     before = np.cumsum(sorted_lengths) - sorted_lengths
@@ -178,10 +174,11 @@ def _pack_group(rows: pd.DataFrame) -> pd.DataFrame:
     })
 
 
-def assign(pieces: DataFrame) -> DataFrame:
+def assign(pieces: DataFrame, group_pieces: int = GROUP_PIECES, carried_pieces: int = CARRIED_PIECES) -> DataFrame:
     """(piece_id, sequence_id, offset) for (piece_id, length): bins of SEQUENCE tokens, as few as local search finds.
 
-    ``piece_id`` must be unique and length between 1 and SEQUENCE. Whole sequences
+    ``piece_id`` must be unique and length between 1 and SEQUENCE. Groups have about
+    ``group_pieces``, of which at most ``carried_pieces``, a fraction, go on. Whole sequences
     are bins of their own, with negative numbers. An empty table gives an empty one.
     """
     schema = "piece_id bigint, length bigint, group bigint, bin bigint, offset bigint, done boolean"
@@ -190,11 +187,15 @@ def assign(pieces: DataFrame) -> DataFrame:
     results = [whole.select("piece_id", (-1 - F.col("piece_id")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))]
     left, level = pieces.filter(F.col("length") < SEQUENCE), 0
     while True:
-        groups = max(1, -(-left.count() // GROUP_PIECES))
+        groups = max(1, -(-left.count() // group_pieces))
         last = groups == 1
         dealt = left.withColumn("group", F.pmod(F.xxhash64("piece_id", F.lit(level)), F.lit(groups)))
 
-        pack = _pack_last if last else _pack_group
+        carried = 0 if last else carried_pieces
+
+        def pack(rows: pd.DataFrame) -> pd.DataFrame:
+            return _pack_group(rows, carried)
+
         packed = stored(dealt.groupBy("group").applyInPandas(pack, schema), f"packed-{level}")
         results.append(packed.filter("done").select(
             "piece_id", (F.shiftleft(F.lit(level).cast("bigint"), 56) + F.shiftleft("group", 20) + F.col("bin")).alias("sequence_id"), "offset"))

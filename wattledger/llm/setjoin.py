@@ -32,11 +32,11 @@ from . import textbytes as tb
 from .common import bit_filter, in_filter, stored, table
 from .components import components
 
-# Buckets for the frequencies of n-grams: about one for 32 n-grams of the corpus, between these powers of two. Tasks get
+# Buckets for the frequencies of n-grams: about one for 128 n-grams of the corpus, between these powers of two. Tasks get
 # a bit for each. Frequent n-grams come last in the global order; any order gives the same links.
-LEAST_BUCKETS, MOST_BUCKETS = 1 << 22, 1 << 27
+LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 27
 # A bucket is frequent with this many times the mean, and at least this many, n-grams.
-FREQUENT_TIMES, FREQUENT_LEAST = 6, 48
+FREQUENT_TIMES, FREQUENT_LEAST = 2, 48
 # Lists of sets of about one size with more members than this are compared with a second centre.
 SECOND_CENTRE = 16
 _SET_FILTER_BITS = 1 << 24
@@ -107,7 +107,7 @@ class Join:
         """A bit for each bucket that is frequent among the n-grams of all documents."""
         k = self.k
         total = signatures.agg(F.sum("n")).first()[0] or 0
-        buckets = min(max(LEAST_BUCKETS, 1 << (total // 32).bit_length()), MOST_BUCKETS)
+        buckets = min(max(LEAST_BUCKETS, 1 << (total // 128).bit_length()), MOST_BUCKETS)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.zeros(buckets, np.int32)
