@@ -40,6 +40,8 @@ FREQUENT_TIMES, FREQUENT_LEAST = 2, 48
 # Lists of sets of about one size with more members than this are compared with a second centre.
 SECOND_CENTRE = 16
 _SET_FILTER_BITS = 1 << 24
+# Bits of a set's sketch: each n-gram flips one. Two sets differ in at least as many n-grams as their sketches in bits.
+SKETCH_BITS = 2048
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +72,13 @@ def _digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
+def _sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    rows = len(bounds) - 1
+    place = np.repeat(np.arange(rows), np.diff(bounds)) * SKETCH_BITS + (h >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+    bits = np.bincount(place, minlength=rows * SKETCH_BITS).astype(np.uint8) & 1
+    return [row.tobytes() for row in np.packbits(bits.reshape(rows, SKETCH_BITS), axis=1)]
+
+
 def _indexed(least: Fraction, n: np.ndarray) -> np.ndarray:
     """How many n-grams of a set of n stand in the index: one of them is in every similar set."""
     return n - -(-least.numerator * n // least.denominator) + 1
@@ -90,16 +99,18 @@ class Join:
         self.k, self.least = k, least
 
     def signatures(self) -> DataFrame:
-        """(doc_id, n, class, check): size of each document's set and two digests of it."""
+        """(doc_id, n, class, check, sketch): size of each document's set, two digests of it and its sketch."""
         k = self.k
 
-        @F.arrow_udf("struct<n: bigint, class: bigint, check: bigint>")
+        @F.arrow_udf("struct<n: bigint, class: bigint, check: bigint, sketch: binary>")
         def sign(text: pa.Array) -> pa.Array:
-            parts = [(np.zeros(0, np.int64),) * 3]
+            parts, sketches = [(np.zeros(0, np.int64),) * 3], []
             for _, data, offsets in tb.slices(text):
                 h, bounds = _sets(data, offsets, k)
                 parts.append((np.diff(bounds), *_digests(h, bounds)))
-            return pa.StructArray.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["n", "class", "check"])
+                sketches += _sketches(h, bounds)
+            numbers = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
+            return pa.StructArray.from_arrays([*numbers, pa.array(sketches, pa.binary())], ["n", "class", "check", "sketch"])
 
         return stored(self.documents.select("doc_id", sign("text").alias("s")).select("doc_id", "s.*"), "signatures")
 
@@ -184,6 +195,27 @@ class Join:
         every = self.documents.select("doc_id", grams("doc_id", "text").alias("s")).filter("s.grams IS NOT NULL").select("doc_id", "s.*")
         return stored(every.join(chosen, ["doc_id", "class"]).select("class", "grams").dropDuplicates(["class"]), "sets")
 
+    def sketched(self, pairs: DataFrame, sketches: DataFrame, name: str) -> DataFrame:
+        """(a, b, apart, total): in how many n-grams the sets of a pair differ at least, and their sizes together."""
+
+        @F.arrow_udf("bigint")
+        def bits(left: pa.Array, right: pa.Array) -> pa.Array:
+            if not len(left):
+                return pa.array([], pa.int64())
+            x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(v), -1) for v in (left, right))
+            return pa.array(np.bitwise_count(x ^ y).sum(1, dtype=np.int64))
+
+        once = stored(pairs.select("a", "b").distinct(), f"{name}-found")
+        left = sketches.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        right = sketches.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        return once.join(left, "a").join(right, "b").select(
+            "a", "b", bits("sketch_a", "sketch_b").alias("apart"), (F.col("n_a") + F.col("n_b")).alias("total"))
+
+    def linkable(self, pairs: DataFrame, sketches: DataFrame, name: str) -> DataFrame:
+        """The pairs that their sketches do not rule out."""
+        p, q = self.least.numerator, self.least.denominator
+        return self.sketched(pairs, sketches, name).filter(F.col("apart") * (p + q) <= F.col("total") * (q - p)).select("a", "b")
+
     def _with_sets(self, pairs: DataFrame, signatures: DataFrame, name: str) -> DataFrame:
         """Pairs of classes (a, b) with their sets as grams_a and grams_b."""
         pairs = stored(pairs.select("a", "b").distinct(), f"{name}-pairs")
@@ -239,17 +271,20 @@ class Join:
     def links(self, signatures: DataFrame) -> DataFrame:
         """(u, v): links between classes that connect whatever similarity connects."""
         index = self.index(signatures)
+        sketches = stored(signatures.join(index.select("class").distinct(), "class", "left_semi").groupBy("class").agg(
+            F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
         # The sets of about one size in a list meet the one with the smallest hash among the near ones.
         band = F.floor(F.log("n") / math.log(1 / float(self.least))) if self.least < 1 else F.col("n")
         rows = index.select("gram", "class", "pos", "near", F.col("n").alias("least_n"), F.col("n").alias("most_n"), band.alias("band"))
         leader = rows.filter("near").groupBy("gram", "band").agg(F.min_by("class", F.xxhash64("class")).alias("class"))
-        first = self.compared(self._star(rows, leader), signatures, "first-centres")
+        first = self.compared(self.linkable(self._star(rows, leader), sketches, "first"), signatures, "first-centres")
         # In long lists the set nearest to that one is a better centre: it is likelier to be what all are copies of.
         long = rows.groupBy("gram", "band").agg(F.count("class").alias("size")).filter(F.col("size") > SECOND_CENTRE).join(
             leader.withColumnRenamed("class", "a"), ["gram", "band"])
         nearest = first.groupBy("a").agg(F.min_by("b", F.struct("distance", F.xxhash64("b"))).alias("class"))
         better = long.join(nearest, "a").select("gram", "band", "class")
-        first = first.unionByName(self.compared(self._star(rows, better).join(first, ["a", "b"], "left_anti"), signatures, "second-centres"))
+        fresh = self.linkable(self._star(rows, better).join(first, ["a", "b"], "left_anti"), sketches, "second")
+        first = first.unionByName(self.compared(fresh, signatures, "second-centres"))
         linked = first.filter("linked")
         cluster = stored(linked.groupBy(F.col("b").alias("class")).agg(
             F.min_by("a", F.struct("distance", "a")).alias("centre"), F.min("distance").alias("distance")), "clusters")
@@ -264,7 +299,14 @@ class Join:
         open_lists = stored(grouped.join(several, "gram"), "open-lists")
         crossing = open_lists.alias("x").join(open_lists.alias("y"), "gram").filter(
             (F.col("x.centre") < F.col("y.centre")) & (F.col("x.component") != F.col("y.component")) & self._may_be_similar("x", "y"))
-        pairs = crossing.select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")).distinct()
+        # Centres farther apart than their members can bridge are out.
+        reach = F.lit(1 - float(self.least) + 1e-9)
+        pairs = self.sketched(crossing.select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")), sketches, "crossing")
+        radius = cluster.groupBy("centre").agg(F.max("distance").alias("radius"))
+        for side in ("a", "b"):
+            pairs = pairs.join(radius.select(F.col("centre").alias(side), F.col("radius").alias(f"radius_{side}")), side, "left")
+            reach = reach + F.coalesce(f"radius_{side}", F.lit(0.0))
+        pairs = stored(pairs.filter(2 * F.col("apart") / (F.col("total") + F.col("apart")) <= reach).select("a", "b"), "crossing")
         done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "linked").distinct()
         second = self.compared(pairs.join(done, ["a", "b"], "left_anti"), signatures, "centres")
         known = second.unionByName(pairs.join(done, ["a", "b"]).select("a", "b", "distance", "linked"))
@@ -324,10 +366,11 @@ def similar_documents(documents: DataFrame, k: int, least: Fraction) -> DataFram
     one doc_id are one document. A null doc_id has no component.
     """
     join = Join(documents, k, least)
-    signatures = join.signatures()
+    signed = join.signatures()
+    signatures = signed.drop("sketch")
     nodes = signatures.filter("n > 0 AND doc_id IS NOT NULL")
     classes = stored(nodes.groupBy("class", "check", "n").agg(F.min("doc_id").alias("least_id")), "classes")
-    links = join.links(signatures)
+    links = join.links(signed)
     # Classes and the documents that stand in for them make one graph: a document's smallest class-mate is its neighbour.
     name = classes.select(F.col("class").alias("u"), F.col("least_id"))
     by_id = links.join(name, "u").select(F.col("least_id").alias("x"), F.col("v").alias("u")).join(name, "u").select(
