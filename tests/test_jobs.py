@@ -2,10 +2,12 @@ import datetime
 
 import pytest
 from conftest import step
+from pyspark.sql import functions as F
 
-from wattledger.operators import derive, enrich, filters, rollup, steps
+from wattledger.operators import derive, enrich, filters, rollup, steps, summarise
 from wattledger.params import ClusterParams, Partition
 from wattledger.plans import pipeline
+from wattledger.sources.sinks import write_table
 
 
 def rolled(log, params, custom=()):
@@ -27,15 +29,18 @@ def test_roll_up_takes_extremes_and_the_first_logged_text(make_log, params):
     assert job.SubmitDatetimeX == datetime.datetime(2024, 3, 1, 10, 0, 7)
 
 
-def test_partition_names_are_glued_in_log_order(make_log, params):
-    jobs = rolled(make_log(
-        {"JobID": "0", "Partition": None},
-        {"JobID": "2", "Partition": "b"}, {"JobID": "2", "Partition": None}, {"JobID": "2", "Partition": "a"},
-        {"JobID": "3", "Partition": "b"}, {"JobID": "3", "Partition": "a"}, {"JobID": "3", "Partition": "c,d"},
-    ), params)
-    assert [jobs[j].PartitionX for j in "023"] == ["", "ba", "b...[3 partitions]...c"]
-    with pytest.raises(ValueError):
-        Partition("b...[3 partitions]...c", "CPU", 1)
+def test_partition_texts_by_one_rule_for_any_number(make_log, params):
+    log = make_log(
+        {"JobID": "0", "Partition": None}, {"JobID": "1", "Partition": "cpu-std"},
+        {"JobID": "2", "Partition": "cpu-"}, {"JobID": "2", "Partition": None}, {"JobID": "2", "Partition": "std"},
+        *[{"JobID": "9", "Partition": f"p{i},q"} for i in range(50)],
+    )
+    jobs = rolled(log, params)
+    assert {j: (r.PartitionX, r.n_partitions_, r.last_partition_) for j, r in jobs.items()} == {
+        "0": ("", 0, None), "1": ("cpu-std", 1, "cpu-std"), "2": ("cpu-", 2, "std"), "9": ("p0", 50, "p49")}
+    assert {j: r.PartitionTypeX for j, r in full(log, params).items()} == {"0": None, "1": "CPU", "2": None, "9": None}
+    texts = rollup.partition_rows(steps.clean_steps(log, params)).filter("single_jobID = '9'").orderBy("position").collect()
+    assert [r.PartitionX for r in texts] == [f"p{i}" for i in range(50)]
 
 
 def test_states_over_the_steps_of_a_job(make_log, params):
@@ -137,3 +142,34 @@ def test_parameters_are_checked(params):
                    {"partitions": {}}, {"partitions": {"g": {"type": "GPU", "TDP": 300}}}, {"partitions": {"g": {"type": "TPU", "TDP": 1}}}):
         with pytest.raises(ValueError):
             ClusterParams.from_mappings({**base, **change})
+
+
+def test_no_job_is_lost_in_summaries_and_sums_hold(spark, make_log, params):
+    log = make_log(
+        {"JobID": "1"}, {"JobID": "2", "User": None}, {"JobID": "3", "Submit": "Unknown"}, {"JobID": "4", "Account": None},
+        {"JobID": "5", "Partition": "nope"})
+    jobs = pipeline.enriched_jobs(log, params, keep=("Account_",))
+    daily = summarise.daily_summary(jobs)
+    tables = [daily, summarise.overall_summary(daily), summarise.summarise_jobs(jobs, ["Account_"]), summarise.summarise_jobs(jobs)]
+    for column in ("energy", "wallclockTime"):
+        totals = {round(float(t.agg({column: "sum"}).first()[0]), 6) for t in tables}
+        assert len(totals) == 1
+    assert None in {r.Account_ for r in tables[2].collect()} and None in {r.UserX for r in daily.collect()}
+    # Far more milliseconds than a BIGINT holds.
+    many = jobs.filter("single_jobID = '1'").withColumn("WallclockTimeX", F.lit(2**62)).crossJoin(spark.range(6))
+    assert int(summarise.overall_summary(summarise.daily_summary(many)).first()["wallclockTime"]) == 6 * 2**62
+
+
+def test_id_tables_and_days_reach_the_rows(spark, make_log, params, tmp_path):
+    log = make_log({"JobID": "1_2"}, step("1_2"), {"JobID": "3"}, {"JobID": "4"})
+    ids = spark.createDataFrame([(1,), (4,)], "order int")
+    chosen = pipeline.jobs_full(log, params, pipeline.JobChoice(id_table=ids, id_column="order"))
+    assert {r.single_jobID for r in chosen.collect()} == {"1_2", "4"}
+    text = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert text.index("Aggregate [single_jobID") < text.index("LeftSemi")
+    with pytest.raises(ValueError):
+        pipeline.JobChoice(id_table=ids)
+    path = str(tmp_path / "jobs")
+    write_table(pipeline.enriched_jobs(log, params), path)
+    read = filters.in_period(spark.read.parquet(path), "2024-02-01", "2024-02-28")
+    assert "PartitionFilters: [isnotnull(SubmitDate" in read._jdf.queryExecution().executedPlan().toString() and read.count() == 0

@@ -16,7 +16,7 @@ DURATIONS = {
     "1-02:03": 86400000 + 123000, "1.508123": 509123, "0.5": 5, "00:75:90": 75 * 60000 + 90000, "20:56:32": 75392000,
     "999999-00:00:00": 999999 * 86400000,
     "bad": None, "1-2-3": None, "1:2:3:4": None, "1.2.3": None, "": None, ":": None, "1:": None, ":5": None, "-5": None,
-    "1-": None, "5.": None, "1:x:3": None, "99999999999": None, None: None,
+    "1-": None, "5.": None, "1:x:3": None, "99999999999": 99_999_999_999_000, None: None,
 }
 
 
@@ -74,3 +74,9 @@ def test_submit_time_does_not_depend_on_the_session_zone(spark):
 
 def test_missing_values(spark):
     assert evaluate(spark, P.null_if_na("x"), ["NA", "nan", "null", "", "None", "NAN", " NA", "x"]) == [None] * 5 + ["NAN", " NA", "x"]
+
+
+def test_durations_beyond_31_bits(spark):
+    text = "VALUES ('3000000000:00'), ('5.1300000000'), ('9223372036854775807:00:00'), ('99999999999999999999'), ('1-00:00:3000000000') AS t(x)"
+    got = [r[0] for r in spark.sql(f"SELECT {P.duration_ms('x')} FROM {text}").collect()]
+    assert got == [180_000_000_000_000, 1_300_005_000, None, None, 3_000_086_400_000]

@@ -52,5 +52,16 @@ def test_default_unit_several_users_and_counts(make_log, params):
 
 def test_strict(make_log, params):
     assert quality.violations(make_log({"UID": None}), params, strict=True).count() == 1
-    with pytest.raises(Exception, match="data quality: R5 1 PartitionX=nope"):
-        quality.violations(make_log({"Partition": "nope"}), params, strict=True).collect()
+    bad = quality.violations(make_log({"Partition": "nope"}), params, strict=True)
+    for act in (bad.collect, bad.count, bad.select("jobID").collect, bad.select().count):
+        with pytest.raises(Exception, match="data quality: R5"):
+            act()
+
+
+def test_several_users_come_with_the_violations(make_log, params):
+    log = make_log({"JobID": "1"}, {"JobID": "2", "User": "bob"}, {"JobID": "3", "User": None, "UID": None})
+    rows = {(r.rule, r.jobID, r.detail) for r in quality.violations(log, params, users=True).collect()}
+    assert ("R12", None, "users=2") in rows and ("R11", "3", "UID=NULL User=NULL") in rows
+    assert not quality.violations(make_log({"JobID": "1"}), params, users=True).filter("rule = 'R12'").count()
+    plan = quality.violations(log, params, users=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(single_jobID") == 1

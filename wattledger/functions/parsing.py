@@ -47,8 +47,8 @@ def duration_ms(text: str) -> str:
     """Milliseconds of ``[D-][[HH:]MM:]SS[.f]``.
 
     Parts may exceed 59. ``f`` is a whole number of milliseconds however many
-    digits it has. A part that is no integer of at most 31 bits, or one part too
-    many, makes the result NULL.
+    digits it has. A part that is no integer, one part too many, or a result
+    beyond a BIGINT makes the result NULL.
 
     This is the inner loop of reading a log, so the text is cut by plain
     substrings, which cost a fraction of a regular expression. The cuts are used
@@ -71,10 +71,10 @@ def duration_ms(text: str) -> str:
         (f"substring_index({tail}, ':', 1)", longer(tail, sec), 60_000),
         (f"substring_index({time}, '.', -1)", longer(time, clock), 1),
     )
-    total = f"try_cast({sec} AS INT) * 1000L"
+    total = f"try_multiply(try_cast({sec} AS BIGINT), 1000L)"
     length = f"octet_length({sec})"
     for part, present, weight in parts:
-        total += f" + CASE WHEN {present} THEN try_cast({part} AS INT) ELSE 0 END * {weight}L"
+        total = f"try_add({total}, CASE WHEN {present} THEN try_multiply(try_cast({part} AS BIGINT), {weight}L) ELSE 0L END)"
         length += f" + CASE WHEN {present} THEN octet_length({part}) + 1 ELSE 0 END"
     return f"CASE WHEN octet_length({text}) = {length} THEN {total} END"
 

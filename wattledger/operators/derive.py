@@ -15,12 +15,18 @@ MS_PER_HOUR = 3.6e6
 
 
 def attach_hardware(jobs: DataFrame, params: ClusterParams) -> DataFrame:
-    """PartitionTypeX and the power draws by one equi-lookup; NULL for a partition the cluster does not have."""
+    """PartitionTypeX and the power draws by one equi-lookup; NULL for a partition the cluster does not have.
+
+    A job whose rows name several partitions has none.
+    """
     dim = partition_lookup(jobs.sparkSession, params).selectExpr(
         "partition AS PartitionX", "type AS PartitionTypeX",
         *[f"{column} AS {hidden}" for column, hidden in POWER_COLUMNS.items()],
     )
-    return jobs.join(dim, "PartitionX", "left")
+    if "n_partitions_" not in jobs.columns:
+        return jobs.join(dim, "PartitionX", "left")
+    known = dim.withColumnRenamed("PartitionX", "_named")
+    return jobs.join(known, F.expr("PartitionX = _named AND n_partitions_ = 1"), "left").drop("_named")
 
 
 def default_gpus(jobs: DataFrame, gpus_logged: bool) -> DataFrame:

@@ -34,6 +34,9 @@ def in_period(jobs: DataFrame, start: str, end: str) -> DataFrame:
     first, last = parse_period(start, end)
     submitted = F.col("SubmitDatetimeX")
     upper = last + datetime.timedelta(days=1)
+    if "SubmitDate" in jobs.columns:  # stored job tables are laid out by it, so that only these days are read
+        day = F.col("SubmitDate")
+        jobs = jobs.filter((day >= F.lit(first.isoformat()).cast("date")) & (day <= F.lit(last.isoformat()).cast("date")))
     return jobs.filter(
         (submitted >= F.lit(first.isoformat()).cast("timestamp_ntz"))
         & (submitted < F.lit(upper.isoformat()).cast("timestamp_ntz"))
@@ -66,7 +69,8 @@ def with_ids_from(jobs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
     """The same for a table of ids of any size.
 
     No broadcast hint: Spark broadcasts the ids when their measured size allows
-    it, and otherwise joins by shuffle and splits a hot array.
+    it, and otherwise joins by shuffle and splits a hot array. Meant for step rows:
+    Spark does not move a join below the roll-up by itself.
     """
     wanted = ids.select(F.col(name(id_column)).cast("string").alias("_wanted_id"))
     return jobs.join(wanted, F.expr(f"{parent_job_id('single_jobID')} = _wanted_id"), "left_semi")

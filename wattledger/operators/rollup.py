@@ -25,23 +25,26 @@ def first_logged(column: str) -> str:
     return f"min_by({column}, CASE WHEN {column} IS NOT NULL THEN {LOG_SEQ} END)"
 
 
-def glued_partition() -> str:
-    """Partition texts of a job's rows, glued in log order.
-
-    Schedulers name the partition on one row per job. Two names are glued as
-    they are. Three or more are not kept one by one, since a job may have any
-    number of rows and its rows must never be gathered in one list: the result
-    names the first, the last and how many there are. No partition can have such
-    a name (params.Partition refuses it), so that like every glued name it
-    finds no hardware and is reported by operators.quality.
+def partition_texts() -> dict[str, str]:
+    """The partition texts of a job's rows: the first and the last in log order, and how many there are.
+
+    Schedulers name the partition on one row per job. However many rows name
+    one, the state has a fixed size and the rule is the same: a job with more
+    than one text finds no hardware (operators.derive) and is reported by
+    operators.quality. ``partition_rows`` lists all of them.
     """
-    name = "nullif(PartitionX, '')"
+    text = "nullif(PartitionX, '')"
     order = f"CASE WHEN PartitionX <> '' THEN {LOG_SEQ} END"
-    first, last, n = f"min_by({name}, {order})", f"max_by({name}, {order})", f"count({name})"
-    return (
-        f"CASE {n} WHEN 0 THEN '' WHEN 1 THEN {first} WHEN 2 THEN {first} || {last} "
-        f"ELSE {first} || '...[' || {n} || ' partitions]...' || {last} END"
-    )
+    return {
+        "PartitionX": f"coalesce(min_by({text}, {order}), '')",
+        "n_partitions_": f"count({text})",
+        "last_partition_": f"max_by({text}, {order})",
+    }
+
+
+def partition_rows(steps: DataFrame) -> DataFrame:
+    """(single_jobID, position, PartitionX): every partition text of every job, by its place in the log."""
+    return steps.filter("PartitionX <> ''").select("single_jobID", F.col(LOG_SEQ).alias("position"), "PartitionX")
 
 
 def rollup_jobs(steps: DataFrame) -> DataFrame:
@@ -55,7 +58,7 @@ def rollup_jobs(steps: DataFrame) -> DataFrame:
         **{c: f"max({c})" for c in _LARGEST},
         **{c: f"min({c})" for c in _SMALLEST},
         **{c: first_logged(c) for c in _FIRST},
-        "PartitionX": glued_partition(),
+        **partition_texts(),
     }
     return steps.groupBy("single_jobID").agg(*[F.expr(text).alias(c) for c, text in aggregates.items()])
 

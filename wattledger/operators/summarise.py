@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sql import name
 from .enrich import FOOTPRINT_VARIANTS
 
 # Name in the summary -> column of the enriched job that is summed up.
@@ -32,16 +31,22 @@ _SUMS = {
     **{f"cost{s}": f"cost{s}" for s in FOOTPRINT_VARIANTS},
 }
 
-# The 28 aggregates of a summary, in order.
+# Sums of milliseconds pass the range of a BIGINT at some billion jobs.
+_MILLISECONDS = ("cpuTime", "gpuTime", "wallclockTime")
+
+
+def _sum(column: str, source: str) -> str:
+    return f"sum(CAST({source} AS DECIMAL(38, 0)))" if column in _MILLISECONDS else f"sum({source})"
+
+
+# The 28 aggregates of a summary, in order.
 SUMMARY_COLUMNS = (
     "n_jobs", "first_job_period", "last_job_period", *_SUMS, "memoryOverallocationFactor",
 )
 
 
 def _grouped(df: DataFrame, by: Sequence[str], aggregates: dict[str, str]) -> DataFrame:
-    """Group by any number of keys; none means the whole set. Rows with a NULL key are left out."""
-    if by:
-        df = df.filter(" AND ".join(f"{name(key)} IS NOT NULL" for key in by))
+    """Group by any number of keys; none means the whole set. A NULL key is a group of its own."""
     out = df.groupBy(*by).agg(*[F.expr(f"{text} AS {column}") for column, text in aggregates.items()])
     return out.selectExpr(
         "*", "try_divide(n_success, n_jobs) AS success_rate", "1D - try_divide(n_success, n_jobs) AS failure_rate"
@@ -51,14 +56,15 @@ def _grouped(df: DataFrame, by: Sequence[str], aggregates: dict[str, str]) -> Da
 def summarise_jobs(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """28 aggregates of enriched jobs per group, with success and failure rates.
 
-    Jobs without a user are part of every sum but not of ``n_jobs``. Plain
-    partial aggregates: a hot user or day is combined before the shuffle.
+    Jobs without a user are part of every sum but not of ``n_jobs``; grouped by
+    user they are a group of their own, so no job is lost. Plain partial
+    aggregates: a hot user or day is combined before the shuffle.
     """
     return _grouped(jobs, by, {
         "n_jobs": "count(UserX)",
         "first_job_period": "min(SubmitDatetimeX)",
         "last_job_period": "max(SubmitDatetimeX)",
-        **{column: f"sum({source})" for column, source in _SUMS.items()},
+        **{column: _sum(column, source) for column, source in _SUMS.items()},
         "memoryOverallocationFactor": "avg(memOverallocationFactorX)",
     })
 
@@ -73,7 +79,7 @@ def summarise_summaries(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame
         "n_jobs": "sum(n_jobs)",
         "first_job_period": "min(first_job_period)",
         "last_job_period": "max(last_job_period)",
-        **{column: f"sum({column})" for column in _SUMS},
+        **{column: _sum(column, column) for column in _SUMS},
         "memoryOverallocationFactor": "avg(memoryOverallocationFactor)",
     })
 

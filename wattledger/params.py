@@ -6,17 +6,12 @@ or as a small dimension table.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
 CPU = "CPU"
 GPU = "GPU"
 
-# Jobs that name three or more partitions get a PartitionX of this form, see
-# operators.rollup; no real partition may look like that.
-GLUED_NAME = re.compile(r".*\.\.\.\[\d+ partitions\]\.\.\..*", re.DOTALL)
-
 
 @dataclass(frozen=True)
 class Partition:
@@ -37,7 +32,7 @@ class Partition:
     def __post_init__(self):
         if self.type not in (CPU, GPU):
             raise ValueError(f"partition {self.name!r}: type must be CPU or GPU, not {self.type!r}")
-        if not self.name or GLUED_NAME.fullmatch(self.name):
+        if not self.name:
             raise ValueError(f"not a usable partition name: {self.name!r}")
         _require_number(self.tdp, f"partition {self.name!r}: TDP", 0)
         if self.type == GPU:

@@ -135,6 +135,8 @@ def parse_duration(i):
         fraction_ms=P.duration_ms(f"({tail2} || '.508123')"),
         too_many_ms=P.duration_ms("('1:' || Elapsed || ':2')"),
         two_days_ms=P.duration_ms("('1-' || CPUTime)"),
+        large_ms=P.duration_ms(f"('90000000' || {tail1} || ':05')"),
+        long_fraction_ms=P.duration_ms(f"({tail1} || '.1300000000')"),
     )
 
 
@@ -263,7 +265,7 @@ def filter_job_ids(i):
 @_query
 def filter_job_ids_semi(i):
     urgent = i.spark.read.parquet(f"{i.sf_dir}/orders.parquet").filter(F.col("o_orderpriority") == "1-URGENT")
-    return filters.with_ids_from(i.full(), urgent, "o_orderkey").select("single_jobID", "parentJobID", "UserX")
+    return i.full(id_table=urgent, id_column="o_orderkey").select("single_jobID", "parentJobID", "UserX")
 
 
 @_query
@@ -391,16 +393,44 @@ def dirty(logs: DataFrame) -> DataFrame:
         column: f"CASE {case} " + " ".join(f"WHEN {n} THEN {string(t)}" for n, t in cases.items()) + f" ELSE {name(column)} END"
         for column, cases in changes.items()
     }
+    job = f"CAST(replace({P.job_id('JobID')}, '_', '') AS BIGINT) % 25"
+    # Steps that name a partition as well: two texts, many, and two that would make up a real name.
+    new["Partition"] = (
+        f"CASE WHEN {LOG_SEQ} = 1 AND {job} = 20 THEN 'cpu-himem' WHEN {LOG_SEQ} > 0 AND {job} = 21 THEN 'cpu-' || {LOG_SEQ} "
+        f"WHEN {LOG_SEQ} = 0 AND {job} = 22 THEN 'cpu-' WHEN {LOG_SEQ} = 1 AND {job} = 22 THEN 'std' ELSE {new['Partition']} END"
+    )
+    new["Account"] = f"CASE WHEN {job} <> 19 THEN Account END"
     new["JobID"] = f"CASE {case} WHEN 18 THEN '1_' || JobID || '_2' ELSE JobID END"
     return logs.selectExpr(*[f"{new[c]} AS {name(c)}" if c in new else name(c) for c in logs.columns])
 
 
+@_query
+def rollup_dirty(i):
+    return _rounded(rollup.rollup_jobs(steps.clean_steps(dirty(i.logs), i.params)), 9)
+
+
+def _enriched_dirty(i, keep=()):
+    return pipeline.enriched_jobs(dirty(i.logs), i.params, keep=keep)
+
+
+@_query
+def daily_dirty(i):
+    return _rounded(summarise.daily_summary(_enriched_dirty(i)))
+
+
+@_query
+def overall_dirty(i):
+    return _rounded(summarise.overall_summary(summarise.daily_summary(_enriched_dirty(i))), 3)
+
+
+@_query
+def by_account_dirty(i):
+    return _rounded(summarise.summarise_jobs(_enriched_dirty(i, keep=("Account_",)), ["Account_"]), 3)
+
+
 @_query
 def dq_violations(i):
-    logs = dirty(i.logs)
-    params = i.params.with_(default_unit_rss=None)
-    found = quality.violations(logs, params)
-    return found.unionByName(quality.several_users(pipeline.jobs_full(logs, params)))
+    return quality.violations(dirty(i.logs), i.params.with_(default_unit_rss=None), users=True)
 
 
 @_query

@@ -159,7 +159,8 @@ rolled as (
   select single_jobID, {', '.join(f'max({c}) as {c}' for c in largest)},
     min(SubmitDatetimeX) as SubmitDatetimeX, min(StateX) as StateX,
     {', '.join(_first(c) for c in ('JobName_', 'WorkingDir_', 'Account_', 'UIDX', 'UserX'))},
-    coalesce(string_agg(PartitionX, '' order by log_seq), '') as PartitionX{extra}
+    coalesce(arg_min(PartitionX, log_seq) filter (where PartitionX <> ''), '') as PartitionX,
+    count(nullif(PartitionX, '')) as n_partitions_, arg_max(PartitionX, log_seq) filter (where PartitionX <> '') as last_partition_{extra}
   from steps group by single_jobID
 )"""
 
@@ -182,13 +183,13 @@ finished as (
     {gpus} as NGPUS_, p.type as PartitionTypeX, p.tdp, p.tdp_cpu,
     case when UsedMem_ = -1 then ReqMemX else UsedMem_ end as UsedMem2_,
     split_part(single_jobID, '_', 1) as parentJobID
-  from rolled r left join partitions p on r.PartitionX = p."partition"
+  from rolled r left join partitions p on r.PartitionX = p."partition" and r.n_partitions_ = 1
   where r.StateX <> -2
 ),
 needed as (
   select *,
     case when ReqMemX < UsedMem2_ then (floor(UsedMem2_ / 6e0) + 1) * 6e0
-      else least(ReqMemX, (floor(UsedMem2_ / 6e0) + 1) * 6e0) end as NeededMemX
+      when ReqMemX is not null and UsedMem2_ is not null then least(ReqMemX, (floor(UsedMem2_ / 6e0) + 1) * 6e0) end as NeededMemX
   from finished
 ),
 jobs as (
@@ -270,16 +271,15 @@ def _summary(name: str, source: str, keys: tuple[str, ...], further: bool = Fals
         "cast(sum(n_jobs) as bigint) as n_jobs" if further else "count(UserX) as n_jobs",
         f"min({src('first_job_period', 'SubmitDatetimeX')}) as first_job_period",
         f"max({src('last_job_period', 'SubmitDatetimeX')}) as last_job_period",
-        *[f"cast(sum({src(k, v)}) as bigint) as {k}" for k, v in _INT_SUMS.items()],
+        *[f"cast(sum({src(k, v)}) as {'bigint' if k == 'n_success' else 'decimal(38, 0)'}) as {k}" for k, v in _INT_SUMS.items()],
         *[f"sum({src(k, v)}) as {k}" for k, v in _SUMS.items()],
         f"avg({src('memoryOverallocationFactor', 'memOverallocationFactorX')}) as memoryOverallocationFactor",
     ]
-    where = " and ".join(f"{k} is not null" for k in keys) or "true"
     group = f"group by {', '.join(keys)}" if keys else ""
     head = f"{', '.join(keys)}, " if keys else ""
     return f"""
-{name}_agg as (select {head}{', '.join(aggregates)} from {source} where {where} {group}),
-{name} as (select *, n_success / n_jobs as success_rate, 1 - n_success / n_jobs as failure_rate from {name}_agg)"""
+{name}_agg as (select {head}{', '.join(aggregates)} from {source} {group}),
+{name} as (select *, n_success / nullif(n_jobs, 0) as success_rate, 1 - n_success / nullif(n_jobs, 0) as failure_rate from {name}_agg)"""
 
 
 def _with(*ctes: str) -> str:
@@ -384,7 +384,8 @@ _LABELS = {
 
 _DIRTY = """
 cases as (
-  select *, case when log_seq = 0 then cast(replace(split_part(JobID, '.', 1), '_', '') as bigint) % 25 end as c from logs
+  select *, case when log_seq = 0 then j % 25 end as c
+  from (select *, cast(replace(split_part(JobID, '.', 1), '_', '') as bigint) as j from logs)
 ),
 dirty as (
   select log_seq,
@@ -392,15 +393,18 @@ dirty as (
     case when c = 14 then null else "User" end as "User",
     case when c = 18 then '1_' || JobID || '_2' else JobID end as JobID,
     JobName,
+    -- see the partition of step rows below: jobs with two and more partition texts
     case c when 15 then '2022-02-30T00:00:00' when 16 then 'Unknown' else Submit end as Submit,
     case c when 9 then '1-2-3' when 10 then 'bad' when 11 then '1:2:3:4' when 4 then '00:10:00' else Elapsed end as Elapsed,
-    case c when 4 then 'cpu-std,cpu-himem' when 5 then 'nope' when 6 then null when 7 then 'gpu-a' when 8 then 'cpu-std'
-      else "Partition" end as "Partition",
+    case when c is null and j % 25 = 20 and log_seq = 1 then 'cpu-himem' when c is null and j % 25 = 21 then 'cpu-' || cast(log_seq as string)
+      when c = 22 then 'cpu-' when c is null and j % 25 = 22 and log_seq = 1 then 'std'
+      else case c when 4 then 'cpu-std,cpu-himem' when 5 then 'nope' when 6 then null when 7 then 'gpu-a' when 8 then 'cpu-std'
+      else "Partition" end end as "Partition",
     NNodes, case when c = 17 then 'x' else NCPUS end as NCPUS,
     case when c = 12 then '900-00:00:00' else TotalCPU end as TotalCPU, CPUTime,
     case c when 2 then '12X' when 3 then '5Tn' else ReqMem end as ReqMem,
     case c when 0 then '5T' when 1 then '1.2.3K' else MaxRSS end as MaxRSS,
-    WorkDir, State, Account,
+    WorkDir, State, case when j % 25 = 19 then null else Account end as Account,
     case c when 7 then 'billing=1,cpu=1,node=1' when 8 then 'cpu=1,gres/gpu=1' else AllocTRES end as AllocTRES
   from cases
 )"""
@@ -424,7 +428,8 @@ def _violations(default_unit: bool) -> tuple[str, ...]:
     if not default_unit:
         rows["R3"] = "case when regexp_matches(MaxRSS, '^[0-9.]+$') and MaxRSS <> '0' then 'MaxRSS=' || MaxRSS end"
     jobs = {
-        "R5": "case when type is null then 'PartitionX=' || PartitionX end",
+        "R5": "case when type is null then case when n_partitions_ > 1 then 'partitions=' || cast(n_partitions_ as string) "
+        "|| ' first=' || PartitionX || ' last=' || last_partition_ else 'PartitionX=' || PartitionX end end",
         "R7": "case when TotalCPUtime_ > CPUwallclocktime_ then cast(TotalCPUtime_ as string) || ' > ' || cast(CPUwallclocktime_ as string) end",
         "R8": "case when type = 'GPU' and NGPUS_ = 0 and WallclockTimeX > 0 then 'GPUs=0' end",
         "R9": "case when type = 'CPU' and NGPUS_ <> 0 then 'GPUs=' || cast(NGPUS_ as string) end",
@@ -441,7 +446,7 @@ def _violations(default_unit: bool) -> tuple[str, ...]:
     return (
         _ORDERS, _DIRTY, _steps(logs="dirty", extra=extra),
         _rolled("".join(f", min(f_{rule}) as f_{rule}" for rule in rows)), _PARTITIONS,
-        '\nflagged as (select r.*, p.type from rolled r left join partitions p on r.PartitionX = p."partition")',
+        '\nflagged as (select r.*, p.type from rolled r left join partitions p on r.PartitionX = p."partition" and r.n_partitions_ = 1)',
         f"\nviolations as (select * from ({' union all '.join(found)}) where detail is not null)",
     )
 
@@ -452,6 +457,7 @@ def oracle_sql() -> dict[str, str]:
     rolled_plain = (
         "single_jobID", "TotalCPUtime_", "CPUwallclocktime_", "WallclockTimeX", "NCPUS_", "NGPUS_", "NNodes_",
         "SubmitDatetimeX", "StateX", "JobName_", "WorkingDir_", "Account_", "UIDX", "UserX", "PartitionX",
+        "n_partitions_", "last_partition_",
     )
     by_account = _summary("by_account", "enriched", ("Account_",))
     by_partition = _summary("by_partition", "enriched", ("PartitionX",))
@@ -467,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
     durations = {
         "elapsed_ms": "Elapsed", "total_cpu_ms": "TotalCPU", "cpu_time_ms": "CPUTime", "min_sec_ms": tail2, "sec_ms": tail1,
         "day_sec_ms": f"('3-' || {tail1})", "fraction_ms": f"({tail2} || '.508123')", "too_many_ms": "('1:' || Elapsed || ':2')",
-        "two_days_ms": "('1-' || CPUTime)",
+        "two_days_ms": "('1-' || CPUTime)", "large_ms": f"('90000000' || {tail1} || ':05')", "long_fraction_ms": f"({tail1} || '.1300000000')",
     }
     wasted = {m: f"{m} - {m}_memoryNeededOnly" for m in ("carbonFootprint", "treeMonths", "cost")}
 
@@ -574,6 +580,10 @@ union all select 'R12', 'info', null, 'users=' || cast(count(distinct UserX) as
 having count(distinct UserX) > 1""",
         "dq_by_rule": _with(*_violations(default_unit=True)) + """
 select rule, severity, count(*) as n_jobs from violations group by rule, severity""",
+        "daily_dirty": _with(*_DIRTY_JOBS, _ENRICHED, _DAILY) + _pick("daily", ("UserX", "SubmitDate", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES),
+        "overall_dirty": _with(*_DIRTY_JOBS, _ENRICHED, _DAILY, _OVERALL) + _pick("overall", ("UserX", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES, 3),
+        "by_account_dirty": _with(*_DIRTY_JOBS, _ENRICHED, by_account) + _pick("by_account", ("Account_", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES, 3),
+        "rollup_dirty": _with(_ORDERS, _DIRTY, _steps(logs="dirty"), _rolled()) + _pick("rolled", rolled_plain, ("ReqMemX", "UsedMem_"), 9),
         "dq_summary": _with(*_DIRTY_JOBS) + """
 select count(*) as n_jobs, count(distinct UserX) as n_users, count(*) filter (where UIDX is null) as n_missing_uid,
   count(*) filter (where UserX is null) as n_missing_user, cast(count(distinct UserX) > 1 as integer) as several_users

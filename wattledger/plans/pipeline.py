@@ -23,6 +23,8 @@ class JobChoice:
     directory: str | None = None
     job_ids: str | Sequence[str] = "all"
     account: str | None = None
+    id_table: DataFrame | None = None
+    id_column: str | None = None
     success_states: Sequence[str] = ()
 
     def __post_init__(self):
@@ -30,6 +32,8 @@ class JobChoice:
             raise ValueError("a period needs both a start and an end day")
         if self.start is not None:
             filters.parse_period(self.start, self.end)
+        if (self.id_table is None) != (self.id_column is None):
+            raise ValueError("a table of job ids needs the name of its column")
 
     def describe(self) -> str:
         """The restrictions in words, for messages about an empty result."""
@@ -37,6 +41,7 @@ class JobChoice:
             "submitted": None if self.start is None else f"{self.start} to {self.end}",
             "directory": self.directory,
             "job ids": None if self.job_ids == "all" else self.job_ids,
+            "job id table": self.id_column,
             "account": self.account,
         }
         return ", ".join(f"{what}: {value}" for what, value in parts.items() if value is not None)
@@ -48,6 +53,8 @@ ALL_JOBS = JobChoice()
 def jobs_full(logs: DataFrame, params: ClusterParams, choice: JobChoice = ALL_JOBS) -> DataFrame:
     """Finished jobs with every cleaned and derived column."""
     typed = steps.clean_steps(logs, params, choice.success_states)
+    if choice.id_table is not None:
+        typed = filters.with_ids_from(typed, choice.id_table, choice.id_column)
     finished = rollup.finished_jobs(rollup.rollup_jobs(typed))
     jobs = derive.derive_jobs(finished, params, steps.has_gpu_counts(logs))
     return choose_jobs(jobs, choice)
