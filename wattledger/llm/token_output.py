@@ -51,8 +51,8 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def token_ids(texts: DataFrame, tokenizer: str, end_id: int, attached_space: bool = False) -> DataFrame:
-    """(doc_id, ids) of (doc_id, text): all ids of the text and the end id, as little-endian unsigned 32-bit integers.
+def token_ids(texts: DataFrame, tokenizer: str, end_id: int, attached_space: bool = False, kind: str = "<u4") -> DataFrame:
+    """(doc_id, ids) of (doc_id, text): all ids of the text and the end id, as little-endian unsigned integers.
 
     A null text is an empty one.
     """
@@ -61,13 +61,13 @@ def token_ids(texts: DataFrame, tokenizer: str, end_id: int, attached_space: boo
     def ids_of(text: pa.Array) -> pa.Array:
         out = []
         for ids, offsets in encoder(tokenizer, attached_space).encode(text):
-            out += [np.append(ids[a:b], np.uint32(end_id)).astype("<u4").tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
+            out += [np.append(ids[a:b], np.uint32(end_id)).astype(kind).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
         return pa.array(out, pa.binary())
 
     return texts.select("doc_id", ids_of("text").alias("ids"))
 
 
-def rank_table(ids: DataFrame, n_ids: int) -> np.ndarray:
+def rank_table(ids: DataFrame, n_ids: int, kind: str = "<u4") -> np.ndarray:
     """Token id by rank: the most frequent first, ties by id. Counted over all documents; bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,7 +76,7 @@ def rank_table(ids: DataFrame, n_ids: int) -> np.ndarray:
             column = batch.column(0)
             flat = np.frombuffer(column.buffers()[2] or b"", np.uint8)
             offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
-            total += np.bincount(flat[offsets[0]:offsets[-1]].view("<u4"), minlength=n_ids)
+            total += np.bincount(flat[offsets[0]:offsets[-1]].view(kind), minlength=n_ids)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], ["id", "n"])
 
@@ -94,8 +94,9 @@ def write_blocks(texts: DataFrame, path: str, tokenizer: str, end_id: int, attac
     """
     spark = texts.sparkSession
     n_ids = _vocabulary_size(tokenizer, end_id)
-    ids = stored(token_ids(texts, tokenizer, end_id, attached_space), "ids")
-    by_rank = rank_table(ids, n_ids)
+    kind = "<u2" if n_ids <= 1 << 16 else "<u4"  # of the intermediate table
+    ids = stored(token_ids(texts, tokenizer, end_id, attached_space, kind), "ids")
+    by_rank = rank_table(ids, n_ids, kind)
     rank = np.empty_like(by_rank)
     rank[by_rank] = np.arange(n_ids, dtype=np.uint32)
     ranks = pa.table({"rank": pa.array(np.arange(n_ids), pa.int32()), "id": pa.array(by_rank, pa.int32())})
@@ -118,7 +119,7 @@ def write_blocks(texts: DataFrame, path: str, tokenizer: str, end_id: int, attac
 
         for batch in batches:
             for doc, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                chunk = np.frombuffer(value.as_buffer(), "<u4")
+                chunk = np.frombuffer(value.as_buffer(), kind)
                 if chunks and size + len(chunk) > BLOCK_TOKENS:
                     yield flush()
                     docs, chunks, block, start, size = [], [], block + 1, start + size, 0
