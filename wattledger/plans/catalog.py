@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import parsing as P
-from ..functions.sql import name, string
+from ..functions.sql import name, quoted, string
 from ..operators import derive, distribution, enrich, filters, quality, report, rollup, steps, summarise
 from ..params import ClusterParams
 from ..schemas import JOBS_SCHEMA, LOG_SEQ, RAW_FIELDS
-from ..session import scratch_path, tune
+from ..session import tune
 from ..sources.dimensions import partition_dim
 from ..sources.jobs import jobs_from_table
-from ..sources.logs import land_logs, read_logs
+from ..sources.logs import parse_lines, to_line
 from ..sources.orders_log import ORDERS_CLUSTER, orders_log
 from . import pipeline
 
@@ -87,9 +87,10 @@ def _query(fn: Callable[[_Inputs], DataFrame]):
 
 @_query
 def scan_logs(i):
-    path = scratch_path(i.spark, "scan_logs")
-    land_logs(i.logs, path, fmt="csv", by_day=False)
-    return read_logs(i.spark, path).select(LOG_SEQ, *RAW_FIELDS)
+    # Missing values take turns in all the texts that stand for them.
+    tokens = f"element_at(array({quoted(P.NA_TOKENS)}), 1 + CAST(crc32(CAST(JobID AS BINARY)) % {len(P.NA_TOKENS)} AS INT))"
+    lines = i.logs.selectExpr(LOG_SEQ, f"{to_line(RAW_FIELDS, tokens)} AS line")
+    return parse_lines(lines, RAW_FIELDS)
 
 
 @_query

@@ -64,6 +64,25 @@ def read_logs(spark: SparkSession, paths: str | Sequence[str], sep: str = "|") -
     return rows.select(position.alias(LOG_SEQ), *[F.expr(text) for text in fields])
 
 
+def parse_lines(lines: DataFrame, names: Sequence[str], sep: str = "|") -> DataFrame:
+    """Lines of a log that come from elsewhere than files, in the column ``line``, under the same rules as ``read_logs``.
+
+    Every other column is kept, among them the position of the line.
+    """
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    options = {k: v for k, v in _csv_options(sep).items() if k != "header"}
+    rows = lines.withColumn("line", F.from_csv("line", schema.toDDL(), options)).select(
+        *[c for c in lines.columns if c != "line"], "line.*")
+    return rows.selectExpr(*[name(c) for c in lines.columns if c != "line"], *[f"{null_if_na(name(n))} AS {name(n)}" for n in names])
+
+
+def to_line(fields: Sequence[str], missing: str, sep: str = "|") -> str:
+    """Expression of the line that holds these fields, quoted throughout; ``missing`` is what stands for NULL, unquoted."""
+    quote = "'\"'"
+    parts = [f"coalesce({quote} || replace({name(f)}, {quote}, '\"\"') || {quote}, {missing})" for f in fields]
+    return f"concat_ws('{sep}', {', '.join(parts)})"
+
+
 def land_logs(logs: DataFrame, path: str, fmt: str = "parquet", by_day: bool = True, sep: str = "|") -> None:
     """Keep a copy of the raw log, for replay or for inspection.
 
@@ -113,7 +132,9 @@ def read_landed(
         raise ValueError("only columnar copies are read back; use read_logs for text")
     logs = spark.read.format(fmt).load(path)
     require_columns(logs, [LOG_SEQ], "the landed log")
-    if start is not None and end is not None and max_span_days is not None:
+    if (start is not None or end is not None) and max_span_days is None:
+        raise ValueError("a period of a landed log needs max_span_days: jobs may have rows on other days")
+    if start is not None and end is not None:
         first, last = parse_period(start, end)
         span = datetime.timedelta(days=max_span_days)
         day = F.col(SUBMIT_DAY)
