@@ -8,7 +8,6 @@ from wattledger.plans import pipeline
 from wattledger.schemas import JOBS_SCHEMA
 from wattledger.sources.jobs import jobs_from_table
 from wattledger.sources.logs import land_logs, read_landed, read_logs
-from wattledger.sources.sinks import write_report
 
 HEADER = "UID|User|JobID|JobName|Submit|Elapsed|Partition|NNodes|NCPUS|TotalCPU|ReqMem|MaxRSS|WorkDir|State|Account"
 
@@ -90,9 +89,12 @@ def test_job_table_of_another_scheduler(spark, make_log, params):
 
 def test_report_is_written(spark, tmp_path, make_log, params):
     jobs = pipeline.enriched_jobs(make_log(*[{"JobID": str(j), "Submit": f"2024-03-{j + 1:02d}T00:00:00"} for j in range(4)]), params)
-    paths = write_report(pipeline.report_tables(jobs, params), str(tmp_path / "report"))
-    assert spark.read.parquet(paths["daily"]).count() == 4
-    assert len([d for d in os.listdir(paths["daily"]) if d.startswith("SubmitDate=")]) == 4
+    paths = pipeline.write_report(jobs, params, str(tmp_path / "report"), run="first")
+    again = pipeline.write_report(jobs, params, str(tmp_path / "report"))
+    assert set(paths) == set(again) == set(pipeline.report_tables(jobs, params)) and not set(paths.values()) & set(again.values())
+    daily = spark.read.parquet(paths["daily"]).collect()
+    assert len(daily) == 4 and not [d for d in os.listdir(paths["daily"]) if d.startswith("SubmitDate=")]
+    assert [r.SubmitDate for r in daily] == sorted(r.SubmitDate for r in daily)
     assert spark.read.parquet(paths["labels"]).first().n_jobs == "4"
     with pytest.raises(AnalysisException):
-        write_report({"daily": jobs}, str(tmp_path / "report"))
+        pipeline.write_report(jobs, params, str(tmp_path / "report"), run="first")

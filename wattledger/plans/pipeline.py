@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from ..operators import derive, distribution, enrich, filters, report, rollup, steps, summarise
 from ..params import ClusterParams
+from ..sources import sinks
 
 # Step columns that jobs may be grouped by, besides the public ones.
 GROUPING_COLUMNS = ("single_jobID", "Account_")
@@ -91,11 +92,23 @@ def daily_footprint(logs: DataFrame, params: ClusterParams, choice: JobChoice =
     return summarise.with_share_within(daily, ["UserX"])
 
 
+def _derived_tables(daily: DataFrame, overall: DataFrame, params: ClusterParams, html: bool) -> dict[str, DataFrame]:
+    """Tables that need no more than the two summaries."""
+    return {
+        "daily_series": distribution.daily_series(daily),
+        "daily_rates": distribution.daily_rates(daily),
+        "success_split": distribution.success_split(overall),
+        "energy_breakdown": report.energy_breakdown(overall),
+        "waste": report.waste(overall),
+        "usage_summary": report.usage_summary(overall),
+        "labels": report.report_labels(overall, params, html=html),
+    }
+
+
 def report_tables(jobs: DataFrame, params: ClusterParams, html: bool = False) -> dict[str, DataFrame]:
     """All result tables of a report from enriched jobs.
 
-    The tables share their input: hand in a stored job table (see
-    ``sources.sinks.write_table``), or the log is cleaned once per table.
+    The tables share their input; ``write_report`` computes what they share once.
     """
     daily = summarise.with_share_within(summarise.daily_summary(jobs), ["UserX"])
     # Each user's report is about that user alone, whose share is therefore 1.
@@ -103,18 +116,39 @@ def report_tables(jobs: DataFrame, params: ClusterParams, html: bool = False) ->
     return {
         "daily": daily,
         "overall": overall,
-        "daily_series": distribution.daily_series(daily),
-        "daily_rates": distribution.daily_rates(daily),
-        "success_split": distribution.success_split(overall),
         "factor_values": distribution.factor_values(jobs),
         "memory_efficiency": distribution.memory_efficiency_histogram(jobs),
-        "energy_breakdown": report.energy_breakdown(overall),
-        "waste": report.waste(overall),
-        "usage_summary": report.usage_summary(overall),
-        "labels": report.report_labels(overall, params, html=html),
+        **_derived_tables(daily, overall, params, html),
     }
 
 
+def write_report(
+    jobs: DataFrame, params: ClusterParams, directory: str, html: bool = False, run: str | None = None
+) -> dict[str, str]:
+    """Write every table of a report under a new directory of this run; returns table -> path.
+
+    Reads the job table three times: for the days, the factors and the histogram.
+    Hand in a stored one (see ``sources.sinks.write_table``). Everything else
+    comes from the days as written. Tables are in the order of their keys.
+    """
+    path = sinks.run_directory(directory, run)
+    paths = {}
+
+    def write(name: str, df: DataFrame) -> DataFrame:
+        paths[name] = f"{path}/{name}"
+        return sinks.write_sorted(df, paths[name])
+
+    daily = write("daily", summarise.with_share_within(summarise.daily_summary(jobs), ["UserX"]))
+    overall = write("overall", summarise.with_share_within(summarise.overall_summary(daily), ["UserX"]))
+    write("memory_efficiency", distribution.memory_efficiency_histogram(jobs))
+    # As many rows as there are different factors, nearly one per job: not sorted.
+    paths["factor_values"] = f"{path}/factor_values"
+    sinks.write_table(distribution.factor_values(jobs), paths["factor_values"])
+    for name, df in _derived_tables(daily, overall, params, html).items():
+        write(name, df)
+    return paths
+
+
 def require_jobs(jobs: DataFrame, choice: JobChoice = ALL_JOBS) -> DataFrame:
     """Stop with a plain message when a report has no jobs. Runs a job that looks for one row."""
     if jobs.isEmpty():

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import datetime
+import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
@@ -21,10 +23,13 @@ def write_table(df: DataFrame, path: str, mode: str = "errorifexists", fmt: str
         df.write.mode(mode).format(fmt).save(path)
 
 
-def write_report(tables: Mapping[str, DataFrame], directory: str, mode: str = "errorifexists") -> dict[str, str]:
-    """Write every table of a report under ``directory``; returns table -> path."""
-    written = {}
-    for name, df in tables.items():
-        written[name] = f"{directory.rstrip('/')}/{name}"
-        write_table(df, written[name], mode)
-    return written
+def write_sorted(df: DataFrame, path: str, keys: Sequence[str] = ("UserX", DAY), fmt: str = "parquet") -> DataFrame:
+    """Write a small result table in the order of its keys, without folders by day, and read it back."""
+    df.orderBy(*[key for key in keys if key in df.columns]).write.mode("errorifexists").format(fmt).save(path)
+    return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
+
+
+def run_directory(directory: str, run: str | None = None) -> str:
+    """A directory for one run: the given name, or the time in UTC and a few random characters."""
+    name = run or f"{datetime.datetime.now(datetime.timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}"
+    return f"{directory.rstrip('/')}/{name}"
