@@ -229,9 +229,9 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     seen = sample.select("toxic", _best_udf(odds)("text").alias("b")).select("toxic", "b.*").toPandas()
     best, n, y = (seen[c].to_numpy(float) for c in ("best", "n_words", "toxic"))
     clean = y == 0
-    # Maximum likelihood of K given the rate: each clean text's best score has mean K n e^(-rate x) = 1.
-    expected = (n[clean] * np.exp(-rate * best[clean]))[best[clean] > 0].sum()
-    scale = max((best[clean] > 0).sum(), 1) / expected if expected > 0 else 1.0
+    # Maximum likelihood of K given the rate, where a clean text in which nothing scores is one whose best is at most 0.
+    expected = (n[clean] * np.exp(-rate * best[clean])).sum()
+    scale = ((best[clean] > 0).sum() + 0.5) / expected if expected > 0 else 1.0
     model = Model(odds, rate, scale, (0.0, 1.0))
     evidence = np.log1p(-np.minimum(model.log_evalue(best, n), 0.0))
     return Model(odds, rate, scale, _fit_curve(evidence, y))
