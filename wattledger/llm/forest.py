@@ -145,8 +145,8 @@ def near_duplicates(vectors: DataFrame, least: float, seed: int = SEED) -> DataF
 
     Rows with one vec_id are one vector: the one with the smallest label and
     embedding. Vectors that are null, empty, zero or hold null or non-finite
-    components, and those without a label or id, link with nothing. Equal vectors
-    link like all others. Links below ``least`` are never made; one above it is
+    components, and those without a label or id, link with nothing; the row of a
+    null id has no component. Equal vectors link like all others. Links below ``least`` are never made; one above it is
     missed if the two vectors share a leaf in none of the trees.
     """
     one = vectors.select("vec_id", "label", "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
@@ -166,9 +166,10 @@ def near_duplicates(vectors: DataFrame, least: float, seed: int = SEED) -> DataF
         reached.withColumnRenamed("node", "class"), "class", "left").select(
         "label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "class").alias("component_id"))
-    component = F.coalesce("component_id", "vec_id")
+    known = F.col("vec_id").isNotNull()
+    component = F.when(known, F.coalesce("component_id", "vec_id"))
     return keyed.join(named, ["label", "h1", "h2"], "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"),
+        "vec_id", F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), component.alias("component_id"),
         F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
