@@ -288,17 +288,14 @@ class Join:
         linked = first.filter("linked")
         cluster = stored(linked.groupBy(F.col("b").alias("class")).agg(
             F.min_by("a", F.struct("distance", "a")).alias("centre"), F.min("distance").alias("distance")), "clusters")
-        component = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
-
-        member = rows.join(cluster, "class", "left").join(component.withColumnRenamed("node", "class"), "class", "left").select(
-            "gram", "pos", "near", "least_n", "most_n", "class", F.coalesce("centre", "class").alias("centre"),
-            F.coalesce("distance", F.lit(0.0)).alias("distance"), F.coalesce("component", "class").alias("component"))
-        grouped = member.groupBy("gram", "centre", "component").agg(
+        member = rows.join(cluster, "class", "left").select(
+            "gram", "pos", "near", "least_n", "most_n", F.coalesce("centre", "class").alias("centre"))
+        grouped = member.groupBy("gram", "centre").agg(
             F.min("pos").alias("pos"), F.max("near").alias("near"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
-        several = grouped.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
+        several = grouped.groupBy("gram").agg(F.count("centre").alias("size")).filter("size > 1").select("gram")
         open_lists = stored(grouped.join(several, "gram"), "open-lists")
         crossing = open_lists.alias("x").join(open_lists.alias("y"), "gram").filter(
-            (F.col("x.centre") < F.col("y.centre")) & (F.col("x.component") != F.col("y.component")) & self._may_be_similar("x", "y"))
+            (F.col("x.centre") < F.col("y.centre")) & self._may_be_similar("x", "y"))
         # Centres farther apart than their members can bridge are out.
         reach = F.lit(1 - float(self.least) + 1e-9)
         pairs = self.sketched(crossing.select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")), sketches, "crossing")
@@ -312,10 +309,10 @@ class Join:
         known = second.unionByName(pairs.join(done, ["a", "b"]).select("a", "b", "distance", "linked"))
         edges = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
             second.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        opened = self._opened(known.filter("NOT linked"), cluster, components(edges), signatures)
+        opened = self._opened(known.filter("NOT linked"), cluster, signatures)
         return edges.unionByName(opened)
 
-    def _opened(self, centres: DataFrame, cluster: DataFrame, component: DataFrame, signatures: DataFrame) -> DataFrame:
+    def _opened(self, centres: DataFrame, cluster: DataFrame, signatures: DataFrame) -> DataFrame:
         """Links between members of clusters whose centres are not similar but near enough that members can be.
 
         Members y of a and z of b are written as their differences from a. y and z
@@ -325,13 +322,11 @@ class Join:
         """
         apart = 1 - float(self.least) + 1e-9
         shape = cluster.groupBy("centre").agg(F.max("distance").alias("radius"), F.count("class").alias("size"))
-        label = component.withColumnRenamed("node", "class")
         near = centres
         for side in ("a", "b"):
             near = near.join(shape.select(F.col("centre").alias(side), F.col("radius").alias(f"radius_{side}"), F.col("size").alias(f"size_{side}")), side, "left")
-            near = near.join(label.select(F.col("class").alias(side), F.col("component").alias(f"component_{side}")), side, "left")
         reach = F.coalesce("radius_a", F.lit(0.0)) + F.coalesce("radius_b", F.lit(0.0))
-        near = near.filter((reach > 0) & (F.col("distance") <= reach + apart) & (F.coalesce("component_a", "a") != F.coalesce("component_b", "b")))
+        near = near.filter((reach > 0) & (F.col("distance") <= reach + apart))
         swap = F.coalesce("size_a", F.lit(0)) < F.coalesce("size_b", F.lit(0))
         near = stored(near.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b")), "near")
         members = cluster.select("centre", "class")
