@@ -68,7 +68,7 @@ def near_copies(seed, n, words=60):
 
 
 @pytest.mark.parametrize("k, least, words, seed", [
-    (3, Fraction(9, 10), 60, 1), (3, Fraction(9, 10), 150, 2), (5, Fraction(8, 10), 60, 3), (5, Fraction(8, 10), 120, 4), (1, Fraction(1, 2), 20, 5),
+    (3, Fraction(9, 10), 120, 2), (5, Fraction(8, 10), 60, 3),
 ])
 def test_join_finds_what_brute_force_finds(spark, k, least, words, seed, monkeypatch):
     monkeypatch.setattr(setjoin, "FREQUENT_LEAST", 6)
