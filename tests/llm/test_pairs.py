@@ -117,6 +117,39 @@ def test_forest_against_all_pairs(spark, monkeypatch):
     assert sum(got[i].component_id == component[i] for i in ids) >= 0.98 * len(ids)
 
 
+def one_cluster(n, groups=1, dim=64):
+    """Vectors around one or a few centres: within a group most pairs link and many are close to the limit."""
+    rng = np.random.default_rng(7)
+    centres = rng.standard_normal((groups, dim)) / np.sqrt(dim)
+    x = np.float32(centres[rng.integers(groups, size=n)] + 0.0285 * rng.standard_normal((n, dim)))
+    return [(i, v, 0, 0, "x") for i, v in enumerate(x.tolist())], x.astype(float)
+
+
+@pytest.mark.parametrize("n, groups, tile", [(3000, 1, 400), (3000, 12, 400), (3000, 12, 4000)])
+def test_no_link_of_a_dense_group_is_lost(spark, monkeypatch, n, groups, tile):
+    monkeypatch.setattr(forest, "LEAF", 100)
+    monkeypatch.setattr(forest, "TILE_VALUES", tile * 64)
+    rows, x = one_cluster(n, groups)
+    unit = x / np.sqrt((x * x).sum(1, keepdims=True))
+    linked = unit @ unit.T >= 0.93
+    np.fill_diagonal(linked, False)
+    got = {r.vec_id: r for r in forest.near_duplicates(vectors(spark, rows), 0.93).collect()}
+    assert [got[i].n_links for i in range(n)] == linked.sum(1).tolist()
+    component = np.arange(n)
+    while (low := np.minimum(component, np.where(linked, component, n).min(1))).tolist() != component.tolist():
+        component = low
+    assert [got[i].component_id for i in range(n)] == component.tolist()
+
+
+def test_cells_take_groups_apart(spark, monkeypatch):
+    monkeypatch.setattr(forest, "LEAF", 100)
+    rows, _ = one_cluster(3000, 12)
+    keyed = vectors(spark, rows).selectExpr("vec_id", "embedding", "label", "xxhash64(embedding) AS h1", "hash(embedding) AS h2")
+    found = forest.cells(forest.classes_of(keyed), 0.93)
+    assert found.filter("home").count() == 3000 == found.filter("home").select("class").distinct().count()
+    assert found.select("cell").distinct().count() > 6 and found.count() < 2 * 3000
+
+
 def test_forest_of_odd_vectors(spark):
     v = [1.0, 2.0, 3.0]
     rows = [

@@ -1,14 +1,15 @@
-"""Near-duplicate vectors by a forest of random-projection trees.
+"""Near-duplicate vectors by cells that keep every linked pair together.
 
-Every tree splits its vectors again and again at the median of their products
-with a random direction, until at most LEAF are left. Vectors near the median go
-to both sides (spill), so a pair is rarely torn apart, and hardly in all trees.
-Vectors of one leaf are compared with each other exactly; a pair that meets in
-several leaves counts in the one with the smallest number.
+A large cell is dealt out to pivots: a vector is at home with its nearest pivot
+and visits every other one whose share may hold a vector linked to it, which is
+so if its distance to the plane halfway is at most the greatest distance of a
+linked pair. So each vector meets all that link with it in the cell where it is
+at home, whatever the sizes. Cells that no pivots take apart are compared whole,
+in tiles of bounded size, one task each; all products are exact.
 
-Equal vectors are one class with a count, so copies are never compared. A leaf
+Equal vectors are one class with a count, so copies are never compared. A tile
 returns one row per class: how many vectors it links, and the smallest class
-that links within the leaf reach.
+that links within the tile reach.
 """
 
 from __future__ import annotations
@@ -19,17 +20,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import textbytes as tb
 from .common import stored, table
 from .components import components
 
-TREES = 12
+# Classes of a cell that is not dealt out further.
 LEAF = 2048
-# Share of a node's vectors on either side of the median that go to both sides.
-SPILL = 0.1
-LEVELS = 48  # directions of a tree; deeper nodes use them again
+PIVOTS = 64  # of a cell, at most
+SAMPLE = 512  # vectors of a cell, about, that pivots are chosen from
+LEVELS = 40  # cells after so many steps are compared whole
+# What one more row of a cell costs, in compared pairs, and the share of the cost that pivots must save.
+ROW_COST = 500
+SAVED = 0.25
+PART = 20_000  # rows of a cell that one task deals out, about
+# Sides of a tile: at least LEAF classes, at most so many vector components; a cell has eight a side if that lies between.
+TILE_VALUES = 1 << 21
 SEED = 20_240_229
-_PAIRS = 20_000  # pairs whose leaves are compared at once
+_BLOCK = (512, 4096)  # rows and columns of a tile whose products are made at once
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
@@ -56,88 +62,155 @@ def classes_of(vectors: DataFrame) -> DataFrame:
     return stored(one.filter("raw IS NOT NULL"), "vector-classes")
 
 
-def _projections(classes: DataFrame, seed: int) -> DataFrame:
-    """(class, tree, node, at): a row for each tree, with the products with the directions of its levels.
+def _members(unit: np.ndarray, pivots: np.ndarray, gap: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nearest pivot, matrix of the pivots that a vector is with) of unit vectors.
 
-    Nodes start apart by label and number of components. A tiny deterministic
-    offset breaks ties, so that every split makes nodes smaller.
+    The plane halfway between two pivots holds the origin, since pivots have unit length. Vectors on either side
+    of it are no closer than either is to the plane.
     """
-
-    @F.arrow_udf("array<array<float>>")
-    def project(number: pa.Array, raw: pa.Array) -> pa.Array:
-        rows = [np.frombuffer(r.as_buffer(), "<f4") for r in raw]
-        out = np.zeros((len(rows), TREES * LEVELS), np.float32)
-        dims = np.array([len(r) for r in rows], np.int64)
-        for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            directions = np.random.default_rng([seed, int(dim)]).standard_normal((dim, TREES * LEVELS))
-            out[at] = _unit(np.array([rows[i] for i in at])) @ (directions / np.sqrt(dim))
-        salt = np.arange(TREES * LEVELS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        ids = number.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-        out += (tb.mix(ids[:, None] ^ salt) >> np.uint64(40)).astype(np.float32) * np.float32(1e-5 / (1 << 24))
-        inner = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) * TREES + 1) * LEVELS, pa.int32()), pa.array(out.reshape(-1)))
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * TREES, pa.int32()), inner)
-
-    trees = classes.select("class", "label", "dim", F.posexplode(project("class", "raw")).alias("tree", "at"))
-    return trees.select("class", F.xxhash64("tree", "label", "dim").alias("node"), "at")
-
-
-def leaves(classes: DataFrame, seed: int = SEED) -> DataFrame:
-    """(class, leaf): the leaves of every tree that a class is in."""
-    now, level, done = stored(_projections(classes, seed), "nodes-0"), 0, []
-    while True:
-        at = F.col("at")[level % LEVELS]
-        nodes = now.groupBy("node").agg(
-            F.count("class").alias("n"), F.percentile_approx(at, [0.5 - SPILL, 0.5 + SPILL], 2000).alias("cut"))
-        large = stored(nodes.filter(F.col("n") > LEAF).select("node", "cut"), f"splits-{level}")
+    value = unit @ pivots.T
+    home = value.argmax(1)
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+    beyond = value[np.arange(len(unit)), home][:, None] - value
+    return home, beyond <= (gap + 1e-6) * apart[home] + 1e-9
+
+
+def _pivots(unit: np.ndarray, gap: float, n: int) -> np.ndarray | None:
+    """Unit vectors to deal out a cell of n vectors like these; None if that saves too little."""
+    chosen, near = [0], np.full(len(unit), np.inf)
+    while len(chosen) < PIVOTS:  # the farthest from those chosen; a closer one than this parts nothing
+        near = np.minimum(near, 2 - 2 * unit @ unit[chosen[-1]])
+        far = int(near.argmax())
+        if near[far] <= (2 * gap) ** 2:
+            break
+        chosen.append(far)
+    least, best, k = (1 - SAVED) * (n + ROW_COST), None, 2
+    while k < 2 * len(chosen) and len(chosen) > 1:
+        pivots = unit[chosen[:k]]
+        nearest = (unit @ pivots.T).argmax(1)
+        sums = np.array([unit[nearest == i].sum(0) for i in range(len(pivots))])
+        size = np.sqrt((sums * sums).sum(1, keepdims=True))
+        pivots = np.where(size > 1e-6, sums / np.maximum(size, 1e-6), pivots)
+        home, members = _members(unit, pivots, gap)
+        share = members.mean(0)
+        cost = n * float(np.bincount(home, minlength=len(pivots)) @ share) / len(unit) + ROW_COST * float(share.sum())
+        if cost < least:
+            least, best = cost, pivots
+        k *= 2
+    return best
+
+
+def _vectors(raw: pd.Series) -> np.ndarray:
+    return _unit(np.array([np.frombuffer(r, "<f4") for r in raw]))
+
+
+def cells(classes: DataFrame, least: float, seed: int = SEED) -> DataFrame:
+    """(class, dim, cell, home): every class at home in one cell, and a visitor of all others with a class it may link with."""
+    gap = float(np.sqrt(max(2 - 2 * least, 0)))
+    raw = classes.select("class", "raw")
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("class", kind="stable")
+        pivots = _pivots(_vectors(rows["raw"]), gap, int(rows["n"].iloc[0]))
+        found = [] if pivots is None else [(rows["cell"].iloc[0], 1 + int(rows["n"].iloc[0]) // PART, pivots.tobytes())]
+        return pd.DataFrame(found, columns=["cell", "parts", "pivots"])
+
+    def deal(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"class": [], "dim": [], "cell": [], "pivot": [], "home": []})
+        unit = _vectors(rows["raw"])
+        nearest, members = _members(unit, np.frombuffer(chosen["pivots"].iloc[0]).reshape(-1, unit.shape[1]), gap)
+        row, pivot = np.nonzero(members)
+        return pd.DataFrame({
+            "class": rows["class"].to_numpy()[row], "dim": rows["dim"].to_numpy()[row], "cell": rows["cell"].to_numpy()[row],
+            "pivot": pivot, "home": rows["home"].to_numpy(bool)[row] & (nearest[row] == pivot),
+        })
+
+    now = classes.select("class", "dim", F.xxhash64("label", "dim").alias("cell"), F.lit(True).alias("home"))
+    done: list[DataFrame] = []
+    for level in range(LEVELS):
+        large = stored(now.groupBy("cell").agg(F.count("class").alias("n")).filter(F.col("n") > LEAF), f"large-{level}")
         if large.isEmpty():
-            done.append(now.select("class", F.col("node").alias("leaf")))
             break
-        done.append(now.join(large, "node", "left_anti").select("class", F.col("node").alias("leaf")))
-        left = F.when(at <= F.col("cut")[1], F.xxhash64("node", F.lit(0)))
-        right = F.when(at >= F.col("cut")[0], F.xxhash64("node", F.lit(1)))
-        split = now.join(large, "node").select("class", "at", F.explode(F.filter(F.array(left, right), lambda x: x.isNotNull())).alias("node"))
-        now, level = stored(split, f"nodes-{level + 1}"), level + 1
-    every = done[0]
-    for part in done[1:]:
-        every = every.unionByName(part)
-    return every
-
-
-def _least_common(mine: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """The smallest leaf that two classes have in common, pair by pair; rows are padded with different numbers."""
-    out = np.empty(len(i), np.int64)
-    for at in range(0, len(i), _PAIRS):
-        a, b = mine[i[at:at + _PAIRS]], mine[j[at:at + _PAIRS]]
-        common = np.zeros(a.shape, bool)
-        for k in range(b.shape[1]):
-            common |= a == b[:, k:k + 1]
-        out[at:at + _PAIRS] = np.where(common, a, np.iinfo(np.int64).max).min(1)
-    return out
+        drawn = now.join(large, "cell").filter(F.pmod(F.xxhash64("class", F.lit(seed + level)), F.col("n")) < SAMPLE).join(raw, "class")
+        split = stored(drawn.select("cell", "n", "class", "raw").groupBy("cell").applyInPandas(
+            choose, "cell bigint, parts bigint, pivots binary"), f"pivots-{level}")
+        if split.isEmpty():
+            break
+        parts = split.select("cell", "parts")
+        # Cells that pivots do not take apart would not be taken apart later either.
+        done.append(now.join(parts, "cell", "left_anti").select("class", "dim", "cell", "home"))
+        rows = now.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).join(raw, "class").drop("parts")
+        each = split.select("cell", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), "pivots")
+        dealt = rows.groupBy("cell", "part").cogroup(each.groupBy("cell", "part")).applyInPandas(
+            deal, "class bigint, dim int, cell bigint, pivot int, home boolean")
+        now = stored(dealt.select("class", "dim", F.xxhash64("cell", "pivot").alias("cell"), "home"), f"cells-{level}")
+    for part in done:
+        now = now.unionByName(part)
+    return now
+
+
+def _tiles(members: DataFrame) -> DataFrame:
+    """(class, cell, i, j, role): rows of each tile; role has bit 0 if the class's links count there, bit 1 if it is met there."""
+    sizes = members.groupBy("cell").agg(F.count("class").alias("n"), F.first("dim").alias("dim"))
+    side = F.greatest(F.lit(LEAF), F.least(F.ceil(F.col("n") / 8), F.floor(F.lit(TILE_VALUES) / F.col("dim"))))
+    groups = stored(sizes.select("cell", F.ceil(F.col("n") / side).cast("bigint").alias("groups")), "groups")
+    dealt = members.join(groups, "cell").withColumn("g", F.pmod(F.xxhash64("class", "cell"), F.col("groups")))
+    k, g, mine = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)), F.col("g"), F.col("home").cast("int")
+    spread = dealt.select("class", "cell", "g", "home", k.alias("k"))
+    tile = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.cast("int").alias("role"))
+    own = F.array(tile(g, g, mine + 2))
+    others = F.when(F.col("home"), F.array(tile(g, F.col("k"), F.lit(1)), tile(F.col("k"), g, F.lit(2)))).otherwise(
+        F.array(tile(F.col("k"), g, F.lit(2))))
+    return spread.select("class", "cell", F.explode(F.when(g == F.col("k"), own).otherwise(others)).alias("t")).select("class", "cell", "t.*")
 
 
 def _compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links within one leaf, without those that count in another."""
+    """By class of a tile, how many vectors it links there, and the smallest class that links within the tile reach."""
     rows = rows.sort_values("class", kind="stable")
-    cls, leaf = rows["class"].to_numpy(), int(rows["leaf"].iloc[0])
-    unit = _unit(np.array([np.frombuffer(r, "<f4") for r in rows["raw"]]))
-    linked = unit @ unit.T >= least
-    np.fill_diagonal(linked, False)
-    i, j = np.nonzero(np.triu(linked))
-    width = max(len(x) for x in rows["leaves"])
-    # Padding differs between rows and is no leaf's number in practice: it never equals another row's entry.
-    mine = np.array([np.concatenate([x, -np.arange(1, width - len(x) + 1) - width * k]) for k, x in enumerate(rows["leaves"])], np.int64)
-    own = _least_common(mine, i, j) == leaf
-    copies = rows["copies"].to_numpy()
-    n = np.bincount(i[own], copies[j[own]], len(cls)) + np.bincount(j[own], copies[i[own]], len(cls))
-    root = np.arange(len(cls))
-    while True:  # the smallest row that links reach
-        reached = np.minimum(root, np.where(linked, root[None, :], len(cls)).min(1)) if len(cls) else root
-        reached = reached[reached]
-        if (reached == root).all():
-            break
-        root = reached
-    return pd.DataFrame({"class": cls, "n": n.astype(np.int64), "root": cls[root]})
+    cls, copies, role = (rows[c].to_numpy() for c in ("class", "copies", "role"))
+    unit = _vectors(rows["raw"])
+    short = unit.astype(np.float32)
+    unsure = np.float32((unit.shape[1] + 8) * 2.0**-22)  # single precision may be wrong within this
+    mine, met = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    n, root = np.zeros(len(cls)), np.arange(len(cls))
+    for a in range(0, len(mine), _BLOCK[0]):
+        i = mine[a:a + _BLOCK[0]]
+        for b in range(0, len(met), _BLOCK[1]):
+            j = met[b:b + _BLOCK[1]]
+            value = short[i] @ short[j].T
+            linked = value >= least
+            u, v = np.nonzero(np.abs(value - np.float32(least)) <= unsure)
+            for at in range(0, len(u), 50_000):
+                x, y = u[at:at + 50_000], v[at:at + 50_000]
+                linked[x, y] = (unit[i[x]] * unit[j[y]]).sum(1) >= least
+            at = np.minimum(np.searchsorted(j, i), len(j) - 1)
+            linked[np.arange(len(i)), at] &= j[at] != i  # not with itself
+            some = linked.any(1)
+            if not some.any():
+                continue
+            i, linked = i[some], linked[some]
+            n[i] += linked @ copies[j].astype(float)
+            root = _joined(root, linked, i, j)
+    seen = (n > 0) | (root != np.arange(len(cls)))
+    return pd.DataFrame({"class": cls[seen], "n": n[seen].astype(np.int64), "root": cls[root[seen]]})
+
+
+def _joined(root: np.ndarray, linked: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots after the links between rows i and j: the smallest row of each set that links connect."""
+    while True:
+        mine, theirs = root[i], root[j]
+        if (mine == mine[0]).all() and (theirs[linked.any(0)] == mine[0]).all():
+            return root
+        low = np.minimum(mine, np.where(linked, theirs[None, :], len(root)).min(1))
+        parent = np.arange(len(root))
+        np.minimum.at(parent, mine, low)
+        np.minimum.at(parent, theirs, np.where(linked, low[:, None], len(root)).min(0))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        if (parent == np.arange(len(parent))).all():
+            return root
+        root = parent[root]
 
 
 def near_duplicates(vectors: DataFrame, least: float, seed: int = SEED) -> DataFrame:
@@ -146,20 +219,18 @@ def near_duplicates(vectors: DataFrame, least: float, seed: int = SEED) -> DataF
     Rows with one vec_id are one vector: the one with the smallest label and
     embedding. Vectors that are null, empty, zero or hold null or non-finite
     components, and those without a label or id, link with nothing; the row of a
-    null id has no component. Equal vectors link like all others. Links below ``least`` are never made; one above it is
-    missed if the two vectors share a leaf in none of the trees.
+    null id has no component. Equal vectors link like all others. All links are found, and none below ``least`` is made.
     """
     one = vectors.select("vec_id", "label", "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
     keyed = one.select("vec_id", "v.*").withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")})
     classes = classes_of(keyed)
-    places = stored(leaves(classes, seed), "leaves")
-    mine = places.groupBy("class").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
-    full = places.distinct().join(mine, "class").join(classes.select("class", "copies", "raw"), "class")
+    places = _tiles(stored(cells(classes, least, seed), "members"))
+    full = places.join(classes.select("class", "copies", "raw"), "class")
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
         return _compare(rows, least)
 
-    met = stored(full.groupBy("leaf").applyInPandas(compare, "class bigint, n bigint, root bigint"), "met")
+    met = stored(full.groupBy("cell", "i", "j").applyInPandas(compare, "class bigint, n bigint, root bigint"), "met")
     counts = met.groupBy("class").agg(F.sum("n").alias("n"))
     reached = components(met.filter("class <> root").select(F.col("class").alias("u"), F.col("root").alias("v")))
     named = classes.select("label", "h1", "h2", "class", "copies").join(counts, "class", "left").join(
