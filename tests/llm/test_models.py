@@ -101,6 +101,26 @@ def test_toxic_texts_are_found(spark):
             assert any(w in ("vile", "nasty", "rotten") or w.startswith("grim") for w in words[p.first:p.until])
 
 
+def test_scores_do_not_depend_on_the_bound_of_rows(spark, monkeypatch):
+    """Texts with one doubtful word are toxic in three of ten cases, however many clean rows are learned from."""
+    rows, labels = toxic_corpus(4, 900)
+    rng = random.Random(5)
+    clean = [i for i, _, bad in labels if not bad]
+    grey = set(rng.sample(clean, 240))
+    rows = [(i, f"{text} edgy edgy" if i in grey else text, lang) for i, text, lang in rows]
+    labels = [(i, q, int(rng.random() < 0.3) if i in grey else bad) for i, q, bad in labels]
+    docs, marks = helpers.documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+
+    def grey_mean():
+        got = toxicity.score_documents(docs, toxicity.train(docs, marks)).collect()
+        return float(np.mean([r.score for r in got if r.doc_id in grey]))
+
+    whole = grey_mean()
+    monkeypatch.setattr(toxicity, "TRAIN_PER_CLASS", 240)
+    assert sum(not bad for *_, bad in labels) > 2 * 240
+    assert abs(grey_mean() - whole) < 0.08
+
+
 def test_toxicity_of_odd_tables(spark):
     rows, labels = toxic_corpus(2, 200)
     marks = [*labels, (0, None, None), (None, 1, 1), (5, 1, 0), (5, 1, 1), (9999, 0, 1)]

@@ -194,26 +194,29 @@ def _rate(score: np.ndarray, share: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
-def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic regression on one feature by Newton's method, with a little ridge."""
+def _fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Logistic regression on one feature by Newton's method, with a little ridge; a row counts ``weight`` times."""
     if not len(y) or y.min() == y.max():
         return (-4.0 if not len(y) or y.max() == 0 else 4.0), 0.0
     w, features = np.zeros(2), np.stack([np.ones(len(x)), x], 1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
-        gradient = features.T @ (y - p) - 1e-3 * w
-        hessian = (features * (p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(2)
+        gradient = features.T @ (weight * (y - p)) - 1e-3 * w
+        hessian = (features * (weight * p * (1 - p))[:, None]).T @ features + 1e-3 * np.eye(2)
         w = w + np.linalg.solve(hessian, gradient)
     return float(w[0]), float(w[1])
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
-    """(doc_id, toxic): at most TRAIN_PER_CLASS rows of either class, by the smallest hashes of their ids.
+    """(doc_id, toxic, weight): at most TRAIN_PER_CLASS rows of either class, by the smallest hashes of their ids.
 
-    Rows without an id or a label are left out; an id that is labelled both ways is toxic.
+    weight is how many rows of its class each stands for, so that the classes keep
+    their share of all labels whatever the size of the table. Rows without an id or a label are left out; an id that is labelled both ways is toxic.
     """
     one = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    pick = [one.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_CLASS) for t in (0, 1)]
+    there = {r["toxic"]: r["count"] for r in one.groupBy("toxic").count().collect()}
+    weight = [max(1.0, there.get(t, 0) / TRAIN_PER_CLASS) for t in (0, 1)]
+    pick = [one.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_PER_CLASS).withColumn("weight", F.lit(weight[t])) for t in (0, 1)]
     return pick[0].unionByName(pick[1])
 
 
@@ -222,19 +225,19 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     corpus = _as_array(count_words(documents))
     # At most 2 * TRAIN_PER_CLASS short rows.
     picked = F.broadcast(training_labels(labels))
-    sample = stored(documents.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic"), "toxic-train")
+    sample = stored(documents.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic", "weight"), "toxic-train")
     toxic, other = (_as_array(count_words(sample.filter(F.col("toxic") == t))) for t in (1, 0))
     odds = log_odds(toxic, other, corpus)
     rate = _rate(*score_histogram(sample.filter("toxic = 0"), odds))
-    seen = sample.select("toxic", _best_udf(odds)("text").alias("b")).select("toxic", "b.*").toPandas()
-    best, n, y = (seen[c].to_numpy(float) for c in ("best", "n_words", "toxic"))
+    seen = sample.select("toxic", "weight", _best_udf(odds)("text").alias("b")).select("toxic", "weight", "b.*").toPandas()
+    best, n, y, weight = (seen[c].to_numpy(float) for c in ("best", "n_words", "toxic", "weight"))
     clean = y == 0
     # Maximum likelihood of K given the rate, where a clean text in which nothing scores is one whose best is at most 0.
     expected = (n[clean] * np.exp(-rate * best[clean])).sum()
     scale = ((best[clean] > 0).sum() + 0.5) / expected if expected > 0 else 1.0
     model = Model(odds, rate, scale, (0.0, 1.0))
     evidence = np.log1p(-np.minimum(model.log_evalue(best, n), 0.0))
-    return Model(odds, rate, scale, _fit_curve(evidence, y))
+    return Model(odds, rate, scale, _fit_curve(evidence, y, weight))
 
 
 def _best_udf(odds: np.ndarray):
