@@ -28,11 +28,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: null texts and texts without a letter go. Learned from the rows that name theirs."""
+    """Documents with a language: null texts, texts without a letter and those that are in no learned language go.
+
+    Learned from the rows that name theirs. A text is in none if its best value is below the language's margin,
+    which learned rows that were held out set; where those are too few, only the letters decide.
+    """
     model = language.train(docs)
     if model is None:  # nothing to tell languages by
         return docs.filter(language.has_letter())
-    return docs.filter(language.predicted(model)["lang_pred"] != language.UNKNOWN)
+    found = docs.withColumn("__found", language.predicted(model)).filter(F.col("__found.lang_pred") != language.UNKNOWN)
+    margin = F.create_map(*[F.lit(x) for pair in zip(model.languages, model.margins, strict=True) for x in pair])[F.col("__found.lang_pred")]
+    return found.filter(F.col("__found.score") >= F.least(margin, F.lit(1.0))).select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Every stage of the pipeline against a plain version on its own input."""
 
+import random
 from collections import Counter
 from fractions import Fraction
 
@@ -51,6 +52,16 @@ def test_only_texts_without_a_language_go(spark):
     assert language.UNKNOWN == "und"
 
 
+def test_texts_in_no_learned_language_go(spark):
+    rng = random.Random(6)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    noise = [(-1 - i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz   ") for _ in range(rng.randrange(50, 1500)))) for i in range(40)]
+    more = docs.unionByName(spark.createDataFrame(noise, "doc_id bigint, text string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in STAGES["language"](spark, more, SF_DIR).select("doc_id").collect()}
+    assert {i for i in kept if i >= 0} == {r.doc_id for r in docs.select("doc_id").collect()}
+    assert sum(i < 0 for i in kept) <= 4
+
+
 def test_one_of_each_group_stays(spark, documents):
     component = brute_join([(r.doc_id, r.text) for r in documents.collect()], 5, Fraction(8, 10))
     want = {i for i, _, c in component if i == c}

@@ -32,17 +32,25 @@ LANDMARKS_PER_LANGUAGE = 120
 MAX_LANGUAGES = 64
 TRAIN_ROWS = 2000
 RIDGE = 1e-3
+# One in so many learned rows is held out to set the margin, which takes at least LEAST_HELD_OUT such rows.
+HOLD_OUT = 4
+LEAST_HELD_OUT = 100
 _BATCH_ROWS = 128
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, a weight for each n-gram column and language, and a constant for each language."""
+    """Languages, a weight for each n-gram column and language, a constant for each language, and margins.
+
+    A text whose best value is below that language's margin is in none of them; all are 0 where too few rows are
+    learned from.
+    """
 
     languages: tuple[str, ...]
     weights: np.ndarray
     constant: np.ndarray
+    margins: tuple[float, ...] = ()
 
 
 def _gram_columns(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,14 +125,37 @@ def train(documents: DataFrame) -> Model | None:
     languages = tuple(dict.fromkeys(r["lang"] for r in rows))
     bits = np.array([np.frombuffer(r["grams"], np.uint8) for r in rows])
     y = np.array([[r["lang"] == k for k in languages] for r in rows], float)
-    marks = _normalized(bits[[i for i, r in enumerate(rows) if r["rank"] <= LANDMARKS_PER_LANGUAGE]])
+    is_mark = np.array([r["rank"] <= LANDMARKS_PER_LANGUAGE for r in rows])
+    marks = _normalized(bits[is_mark])
     kernel = np.concatenate([_normalized(bits[i:i + _BATCH_ROWS]) @ marks.T for i in range(0, len(bits), _BATCH_ROWS)]).astype(float)
     own = (marks @ marks.T).astype(float)
-    constant = y.mean(0)
-    weight = np.ones(len(rows)) / y.sum(0)[y.argmax(1)]  # languages count alike
+    alpha, constant = _solved(kernel, own, y)
+    held = np.array([r["rank"] % HOLD_OUT == 0 for r in rows])
+    share = _margin(kernel, own, y, held, held[is_mark])
+    margins = tuple((constant + share * (1 - constant)).tolist()) if share else (0.0,) * len(languages)
+    return Model(languages, marks.T @ alpha.astype(np.float32), constant, margins)
+
+
+def _solved(kernel: np.ndarray, own: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the landmarks and constants by language, from the kernel values of rows and of landmarks with the landmarks."""
+    constant = np.full(y.shape[1], 1 / y.shape[1])
+    weight = np.ones(len(y)) / np.maximum(y.sum(0), 1)[y.argmax(1)]  # languages count alike
     left = kernel.T @ (kernel * weight[:, None]) + RIDGE * own + 1e-9 * np.eye(len(own))
-    alpha = np.linalg.lstsq(left, kernel.T @ ((y - constant) * weight[:, None]), rcond=None)[0]
-    return Model(languages, marks.T @ alpha.astype(np.float32), constant)
+    return np.linalg.lstsq(left, kernel.T @ ((y - constant) * weight[:, None]), rcond=None)[0], constant
+
+
+def _margin(kernel: np.ndarray, own: np.ndarray, y: np.ndarray, held: np.ndarray, held_marks: np.ndarray) -> float:
+    """Half the lowest certainty of rows that were held out, or 0 without enough of them.
+
+    Certainty is a text's best value on the way from its language's constant, which texts like nothing get, to 1.
+    """
+    if held.sum() < LEAST_HELD_OUT or y.shape[1] < 2:
+        return 0.0
+    marks = np.flatnonzero(~held_marks)
+    alpha, constant = _solved(kernel[~held][:, marks], own[np.ix_(marks, marks)], y[~held])
+    value = kernel[held][:, marks] @ alpha + constant
+    best = value.argmax(1)
+    return max(0.0, float(((value.max(1) - constant[best]) / (1 - constant[best])).min()) / 2)
 
 
 def _normalized(bits: np.ndarray) -> np.ndarray:
