@@ -179,3 +179,12 @@ def test_language_of_odd_tables(spark):
     assert nothing is None and {r.lang_pred for r in language.identify(odd, nothing).collect()} == {language.UNKNOWN}
     empty = helpers.empty_documents(spark)
     assert language.train(empty) is None and language.identify(empty, None).count() == 0
+
+
+def test_every_labelled_language_is_learned(spark):
+    rows = [(3 * k + i, f"{chr(0x4E00 + 5 * k) * 6} {chr(0x4E01 + 5 * k) * (4 + i)}", f"l{k:02}") for k in range(70) for i in range(3)]
+    docs = helpers.documents(spark, rows)
+    model = language.train(docs)
+    assert len(model.languages) == 70
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}

@@ -28,9 +28,9 @@ LENGTHS = (2, 3, 4)
 # Different labelled texts per language, at most, by the smallest hashes; the first of them are landmarks.
 TRAIN_PER_LANGUAGE = 500
 LANDMARKS_PER_LANGUAGE = 120
-# Languages, at most: the most frequent ones of the training rows. More than four share out TRAIN_ROWS.
-MAX_LANGUAGES = 64
+# More than four languages share out TRAIN_ROWS, but each keeps LEAST_PER_LANGUAGE rows and one landmark.
 TRAIN_ROWS = 2000
+LEAST_PER_LANGUAGE = 30
 RIDGE = 1e-3
 # One in so many learned rows is held out to set the margin, which takes at least LEAST_HELD_OUT such rows.
 HOLD_OUT = 4
@@ -95,18 +95,17 @@ def has_letter(column: str = "text"):
 
 
 def training_rows(documents: DataFrame) -> DataFrame:
-    """(lang, rank, grams): at most TRAIN_PER_LANGUAGE rows of each of at most MAX_LANGUAGES languages.
+    """(lang, rank, grams): at most TRAIN_PER_LANGUAGE rows of every language.
 
     A text counts once however often it occurs. Rows without a language, or whose text has no letter, are left out.
     """
     keyed = documents.select("lang", "text", F.xxhash64("text").alias("key")).filter(F.col("lang").isNotNull() & has_letter())
     counts = keyed.groupBy("lang", "key").count()
-    top = counts.groupBy("lang").agg(F.sum("count").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).select("lang")
-    languages = [r["lang"] for r in top.collect()]
-    each = min(TRAIN_PER_LANGUAGE, TRAIN_ROWS // max(len(languages), 1))
+    n = counts.select("lang").distinct().count()
+    each = min(TRAIN_PER_LANGUAGE, max(LEAST_PER_LANGUAGE, TRAIN_ROWS // max(n, 1)))
     # The smallest hashes of a language: first of each hash range, so that no task sees a whole language.
     order = F.xxhash64("key")
-    salted = counts.filter(F.col("lang").isin(languages)).select("lang", "key", order.alias("order"), F.pmod(order, F.lit(64)).alias("salt"))
+    salted = counts.select("lang", "key", order.alias("order"), F.pmod(order, F.lit(64)).alias("salt"))
     near = salted.withColumn("r", F.row_number().over(Window.partitionBy("lang", "salt").orderBy("order", "key"))).filter(F.col("r") <= each)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("order", "key"))).filter(F.col("rank") <= each)
     picked = F.broadcast(ranked.select("lang", "key", "rank"))
@@ -117,7 +116,7 @@ def training_rows(documents: DataFrame) -> DataFrame:
 def train(documents: DataFrame) -> Model | None:
     """Learn from (doc_id, lang, text); None without any labelled row.
 
-    At most TRAIN_ROWS rows of 2^BITS bits reach the driver.
+    At most TRAIN_ROWS rows of 2^BITS bits reach the driver, or LEAST_PER_LANGUAGE for each language if that is more.
     """
     rows = sorted(training_rows(documents).collect(), key=lambda r: (r["lang"], r["rank"]))
     if not rows:
@@ -125,7 +124,8 @@ def train(documents: DataFrame) -> Model | None:
     languages = tuple(dict.fromkeys(r["lang"] for r in rows))
     bits = np.array([np.frombuffer(r["grams"], np.uint8) for r in rows])
     y = np.array([[r["lang"] == k for k in languages] for r in rows], float)
-    is_mark = np.array([r["rank"] <= LANDMARKS_PER_LANGUAGE for r in rows])
+    marks_each = min(LANDMARKS_PER_LANGUAGE, max(1, TRAIN_ROWS // len(languages)))
+    is_mark = np.array([r["rank"] <= marks_each for r in rows])
     marks = _normalized(bits[is_mark])
     kernel = np.concatenate([_normalized(bits[i:i + _BATCH_ROWS]) @ marks.T for i in range(0, len(bits), _BATCH_ROWS)]).astype(float)
     own = (marks @ marks.T).astype(float)
