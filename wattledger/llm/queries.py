@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, forest, language, packing, setjoin, token_counts, token_output, toxicity, url_filters, winnow
+from . import chat, forest, infill, language, merges, orchard, packing, setjoin, token_counts, token_output, toxicity, url_filters, winnow
 
 QUERIES = {
     "op1_embedding_near_dedup": forest.query,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_language_id": language.query,
     "op9_best_fit_packing": packing.query,
     "op10_decontamination": winnow.query,
+    "op11_fill_in_middle": infill.query,
+    "op12_vector_codes": orchard.query,
+    "op13_sentencepiece": merges.query,
 }
 
 # Windows of ten words, or all words of a shorter item, against every run of as many words.
@@ -124,7 +127,71 @@ SELECT p.page_id, CAST(coalesce(n, 0) AS BIGINT) AS n_entries, kind, key, action
 FROM pages p LEFT JOIN m ON m.page_id = p.page_id AND r = 1
 """
 
+# Units by a regular expression, segments by joining lists of them.
+_FILL_IN_MIDDLE = r"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), d AS (
+  SELECT doc_id, text, w, len(w) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(w) + 1) AS x, CAST('0x' || h[9:16] AS BIGINT) % (len(w) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || h[17:24] AS BIGINT) % 100 >= 90
+              THEN 'plain' WHEN CAST('0x' || h[25:32] AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u
+), s AS (
+  SELECT *, array_to_string(w[1:least(x, y)], '') AS p, array_to_string(w[least(x, y) + 1:greatest(x, y)], '') AS m,
+         array_to_string(w[greatest(x, y) + 1:n], '') AS q FROM d
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CAST(CASE WHEN form <> 'plain' THEN length(p) END AS BIGINT) AS prefix_chars,
+       CAST(CASE WHEN form <> 'plain' THEN length(m) END AS BIGINT) AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM s
+"""
+
+
+def _vector_codes(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Every distance of every part to every entry, the least one first; one pair of steps a round."""
+    def nearest(round_: int) -> str:
+        return f"""
+n{round_} AS MATERIALIZED (
+  SELECT id, label, part, p, arg_min(entry, d * {entries} + entry) AS entry, min(d) AS d FROM (
+    SELECT v.id, v.label, v.part, v.p, c.entry, list_sum(list_transform(list_zip(v.p, c.p), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM v JOIN c{round_} c USING (part)
+  ) GROUP BY id, label, part, p
+)"""
+
+    def means(round_: int) -> str:
+        return f"""
+c{round_ + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(m.p, c.p) AS p FROM c{round_} c LEFT JOIN (
+    SELECT part, entry, list(m ORDER BY i) AS p FROM (
+      SELECT part, entry, i, CAST((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS m
+      FROM (SELECT part, entry, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM n{round_}) GROUP BY part, entry, i
+    ) GROUP BY part, entry
+  ) m USING (part, entry)
+)"""
+
+    steps = ",".join(nearest(r) + "," + means(r) for r in range(rounds)) + "," + nearest(rounds)
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), v AS MATERIALIZED (
+  SELECT id, label, part, e[part * (len(e) // {parts}) + 1:(part + 1) * (len(e) // {parts})] AS p FROM k, range({parts}) t(part)
+), c0 AS (
+  SELECT part, dense_rank() OVER (ORDER BY id) - 1 AS entry, p FROM v WHERE id IN (SELECT id FROM k ORDER BY id LIMIT {entries})
+),{steps},
+r AS (
+  SELECT id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY id, label
+)
+SELECT id AS vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(p, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM r
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_fill_in_middle": _FILL_IN_MIDDLE,
+    "op12_vector_codes": _vector_codes(),
     "op6_url_filters": _URL_FILTERS,
     "op3_chat_format": _CHAT_FORMAT,
     "op4_ngram_jaccard_join": _JACCARD_JOIN,

@@ -44,11 +44,11 @@ def _printable_bytes() -> dict[int, int]:
 
 
 @cache
-def _exact_byte_values() -> np.ndarray:
+def exact_byte_values() -> np.ndarray:
     return tb.mix(np.arange(1001, 1257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-class _Pieces:
+class PieceCache:
     """Ids of the pieces seen so far: hashes in order, and where the ids of each stand."""
 
     def __init__(self) -> None:
@@ -91,7 +91,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.attached_space = attached_space
-        self.pieces = _Pieces()
+        self.pieces = PieceCache()
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(ids of a run of rows, offsets of the rows in them) for run after run; null is an empty text."""
@@ -150,10 +150,10 @@ class Encoder:
 
     def _hash(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, odd: np.ndarray) -> np.ndarray:
         if self.attached_space:
-            return tb.hashes(data, start, end, _exact_byte_values())
+            return tb.hashes(data, start, end, exact_byte_values())
         out = tb.hashes(data, start, end)
         if len(odd):
-            out[odd] = tb.hashes(data, start[odd], end[odd], _exact_byte_values())
+            out[odd] = tb.hashes(data, start[odd], end[odd], exact_byte_values())
         return out
 
     def _group(self, group: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
