@@ -10,6 +10,7 @@ from ..functions.sql import double
 from ..params import CPU, GPU, ClusterParams
 from ..schemas import JOBS_SCHEMA, conform
 from ..sources.dimensions import POWER_COLUMNS, partition_lookup
+from .steps import LACKS_GPUS
 
 MS_PER_HOUR = 3.6e6
 
@@ -30,10 +31,12 @@ def attach_hardware(jobs: DataFrame, params: ClusterParams) -> DataFrame:
 
 
 def default_gpus(jobs: DataFrame, gpus_logged: bool) -> DataFrame:
-    """One GPU per job on GPU partitions when the log cannot tell."""
-    if gpus_logged:
+    """One GPU per job on GPU partitions when the log cannot tell; in a mixed log, none of the files of the job's rows."""
+    if gpus_logged and LACKS_GPUS not in jobs.columns:
         return jobs
-    return jobs.withColumn("NGPUS_", F.expr(f"CASE PartitionTypeX WHEN '{GPU}' THEN 1L ELSE NGPUS_ END"))
+    untold = LACKS_GPUS if LACKS_GPUS in jobs.columns else "true"
+    told = jobs.withColumn("NGPUS_", F.expr(f"CASE WHEN PartitionTypeX = '{GPU}' AND {untold} THEN 1L ELSE NGPUS_ END"))
+    return told.drop(LACKS_GPUS)
 
 
 # CPU time, or all cores for the whole wallclock where no use was logged.

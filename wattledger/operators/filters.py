@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.parsing import parent_job_id
-from ..functions.sql import name
+from ..functions.parsing import job_id, parent_job_id
+from ..functions.sql import name, string
+from ..schemas import LOG_LACKS
 
 
 def parse_period(start: str, end: str) -> tuple[datetime.date, datetime.date]:
@@ -74,3 +75,26 @@ def with_ids_from(jobs: DataFrame, ids: DataFrame, id_column: str) -> DataFrame:
     """
     wanted = ids.select(F.col(name(id_column)).cast("string").alias("_wanted_id"))
     return jobs.join(wanted, F.expr(f"{parent_job_id('single_jobID')} = _wanted_id"), "left_semi")
+
+
+def rows_of_jobs_naming(logs: DataFrame, directory: str | None = None, account: str | None = None) -> DataFrame:
+    """Log rows of the jobs that can pass ``in_directory`` and ``charged_to``: some row of theirs names the value.
+
+    A job's directory and account are the first logged ones, so a job passes only if
+    one of its rows has the text. A first read of three columns collects the ids of
+    such jobs; the semi-join with them cuts the log before it is typed and rolled up.
+    Which of the jobs really pass is still decided after the roll-up. The ids carry
+    no hint: Spark sends them to every task if their measured size allows.
+    The empty account also stands for logs without accounts, which no row names.
+    """
+    wanted = {} if directory is None else {"WorkDir": directory}
+    if account is not None and "Account" in logs.columns and (account or LOG_LACKS not in logs.columns):
+        wanted["Account"] = account
+    if not wanted:
+        return logs
+    names = [f"coalesce({column} = {string(value)}, false)" for column, value in wanted.items()]
+    flags = [f"_names_{n}" for n in range(len(names))]
+    found = logs.filter(" OR ".join(names)).selectExpr(
+        f"{job_id('JobID')} AS _named", *[f"{text} AS {flag}" for text, flag in zip(names, flags, strict=True)])
+    ids = found.groupBy("_named").agg(*[F.bool_or(flag).alias(flag) for flag in flags]).filter(" AND ".join(flags)).select("_named")
+    return logs.join(ids, F.expr(f"{job_id('JobID')} <=> _named"), "left_semi")

@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
-from ..functions.sql import string
+from ..functions.sql import name, string
 from ..params import CPU, GPU, ClusterParams
+from ..schemas import LOG_LACKS
+from ..sources.dimensions import partition_lookup
 from . import derive, rollup, steps
 
 # Rule -> severity.
@@ -39,8 +41,10 @@ _BARE_NUMBER = "^[0-9.]+$"
 _BAD_REQUEST_UNIT = "^[0-9.]+[A-Za-z&&[^KMG]][nc]$"
 
 
-def _row_rules(columns: Sequence[str], params: ClusterParams) -> dict[str, str]:
+def _row_rules(logs: DataFrame, params: ClusterParams) -> dict[str, str]:
     """Rules on log rows: rule -> the offending text of a row, NULL when the row is fine."""
+    columns = logs.columns
+
     def unreadable(column: str, parsed: str) -> str:
         return f"CASE WHEN {parsed} IS NULL THEN '{column}=' || coalesce({column}, 'NULL') END"
 
@@ -48,6 +52,8 @@ def _row_rules(columns: Sequence[str], params: ClusterParams) -> dict[str, str]:
     use = P.max_rss_gb("MaxRSS", params.default_unit_rss or "K")
     request = P.requested_memory_gb("ReqMem", "1L", "1L")
     durations = [unreadable(c, P.duration_ms(c)) for c in ("Elapsed", "TotalCPU", "CPUTime") if c in columns]
+    if LOG_LACKS in columns:  # a field that the file does not have is not unreadable
+        durations[2:] = [f"CASE WHEN NOT {steps.lacks(logs, 'CPUTime')} THEN {durations[2]} END"]
     rules = {
         "R1": f"CASE WHEN MaxRSS IS NOT NULL AND {use} IS NULL THEN 'MaxRSS=' || MaxRSS "
         f"WHEN {bad_unit} THEN 'ReqMem=' || ReqMem END",
@@ -84,7 +90,7 @@ def _flagged_jobs(logs: DataFrame, params: ClusterParams, custom_success: Sequen
     of the same roll-up as the jobs. They are computed next to the typed columns,
     on the raw text.
     """
-    findings = {f"_{rule}": text for rule, text in _row_rules(logs.columns, params).items()}
+    findings = {f"_{rule}": text for rule, text in _row_rules(logs, params).items()}
     typed = steps.clean_steps(logs, params, custom_success, keep=[f"{t} AS {c}" for c, t in findings.items()])
     aggregates = {
         **{c: f"max({c})" for c in ("TotalCPUtime_", "CPUwallclocktime_", "WallclockTimeX", "NGPUS_")},
@@ -92,6 +98,7 @@ def _flagged_jobs(logs: DataFrame, params: ClusterParams, custom_success: Sequen
         **{c: rollup.first_logged(c) for c in ("UIDX", "UserX")},
         **rollup.partition_texts(),
         **{c: f"min({c})" for c in findings},
+        **{c: f"bool_and({c})" for c in (steps.LACKS_GPUS,) if c in typed.columns},
     }
     jobs = typed.groupBy("single_jobID").agg(*[F.expr(f"{text} AS {c}") for c, text in aggregates.items()])
     return derive.default_gpus(derive.attach_hardware(jobs, params), steps.has_gpu_counts(logs))
@@ -128,11 +135,49 @@ def violations(
             f"CASE WHEN NOT {own} THEN detail END AS user",
         ).groupBy("rule", "severity", "jobID", "detail").agg(F.count_distinct("user").alias("n")).filter(f"{own} OR n > 1").selectExpr(
             "rule", "severity", "jobID", f"CASE WHEN {own} THEN detail ELSE 'users=' || n END AS detail")
-    if strict:
-        message = F.concat(F.lit("data quality: "), F.col("rule"), F.lit(" "), F.col("jobID"), F.lit(" "), F.col("detail"))
-        # In a filter, which decides about rows, so no choice of columns can leave it out.
-        out = out.filter(F.when(F.col("severity") == "error", F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
-    return out
+    return _stopping(out) if strict else out
+
+
+# The rules that a job table can be judged by, which has times of use instead of counts.
+_TABLE_RULES = {
+    "R5": "CASE WHEN _known IS NULL OR PartitionTypeX IS NULL OR PartitionTypeX <> _known THEN 'PartitionX=' || coalesce(PartitionX, 'NULL') "
+    "|| CASE WHEN PartitionTypeX <> _known THEN ' PartitionTypeX=' || PartitionTypeX ELSE '' END END",
+    "R8": f"CASE WHEN PartitionTypeX = '{GPU}' AND coalesce(TotalGPUtime2useX, 0L) = 0 AND WallclockTimeX > 0 "
+    "THEN 'TotalGPUtime2useX=' || coalesce(CAST(TotalGPUtime2useX AS STRING), 'NULL') END",
+    "R9": f"CASE WHEN PartitionTypeX = '{CPU}' AND TotalGPUtime2useX <> 0 THEN 'TotalGPUtime2useX=' || TotalGPUtime2useX END",
+    "R11": _JOB_RULES["R11"],
+}
+
+
+def job_violations(jobs: DataFrame, params: ClusterParams, id_column: str | None = None, strict: bool = False) -> DataFrame:
+    """(rule, severity, jobID, detail) of a job table, such as another scheduler delivers it, in place of a log.
+
+    R5 also covers a type of partition that is not the cluster's; R8 and R9 go by GPU
+    time, since a job table has no GPU counts. Without ``id_column`` the id is NULL.
+    A broadcast lookup and a projection: no shuffle.
+    """
+    dim = partition_lookup(jobs.sparkSession, params).selectExpr("partition AS _partition", "type AS _known")
+    found = jobs.join(dim, F.expr("PartitionX = _partition"), "left")
+    job = f"CAST({name(id_column)} AS STRING)" if id_column else "CAST(NULL AS STRING)"
+    return _listed(found, _TABLE_RULES, job, strict)
+
+
+def _listed(jobs: DataFrame, rules: dict[str, str], job: str, strict: bool) -> DataFrame:
+    """One row per rule whose text is not NULL."""
+    entries = [
+        f"CASE WHEN ({text}) IS NOT NULL THEN struct('{rule}' AS rule, '{RULES[rule]}' AS severity, {text} AS detail) END"
+        for rule, text in rules.items()
+    ]
+    out = jobs.selectExpr(f"{job} AS jobID", f"inline(array_compact(array({', '.join(entries)})))").select(
+        "rule", "severity", "jobID", "detail")
+    return _stopping(out) if strict else out
+
+
+def _stopping(found: DataFrame) -> DataFrame:
+    """Fail the action at the first violation of severity error."""
+    message = F.concat_ws(" ", F.lit("data quality:"), "rule", "jobID", "detail")
+    # In a filter, which decides about rows, so no choice of columns can leave it out.
+    return found.filter(F.when(F.col("severity") == "error", F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
 def several_users(jobs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..schemas import LOG_SEQ
+from .steps import LACKS_ACCOUNT, LACKS_GPUS
 
 _LARGEST = (
     "TotalCPUtime_", "CPUwallclocktime_", "WallclockTimeX", "ReqMemX", "UsedMem_",
@@ -59,8 +60,61 @@ def rollup_jobs(steps: DataFrame) -> DataFrame:
         **{c: f"min({c})" for c in _SMALLEST},
         **{c: first_logged(c) for c in _FIRST},
         **partition_texts(),
+        **{c: f"bool_and({c})" for c in (LACKS_ACCOUNT, LACKS_GPUS) if c in steps.columns},
     }
-    return steps.groupBy("single_jobID").agg(*[F.expr(text).alias(c) for c, text in aggregates.items()])
+    return mixed_account(steps.groupBy("single_jobID").agg(*[F.expr(text).alias(c) for c, text in aggregates.items()]))
+
+
+def mixed_account(jobs: DataFrame) -> DataFrame:
+    """Account '' for jobs none of whose rows is from a file with accounts, in a log of files of different age."""
+    if LACKS_ACCOUNT not in jobs.columns:
+        return jobs
+    return jobs.withColumn("Account_", F.expr(f"CASE WHEN {LACKS_ACCOUNT} THEN '' ELSE Account_ END")).drop(LACKS_ACCOUNT)
+
+
+# State column -> how two states of a job become one. First and last values carry their place in the log.
+_MERGE = {
+    **{c: "max" for c in _LARGEST},
+    **{c: "min" for c in _SMALLEST},
+    **{c: "min" for c in _FIRST},
+    "PartitionX": "min",
+    "n_partitions_": "sum",
+    "last_partition_": "max",
+    LACKS_ACCOUNT: "bool_and",
+    LACKS_GPUS: "bool_and",
+}
+
+
+def rollup_state(steps: DataFrame) -> DataFrame:
+    """``rollup_jobs`` of a slice of the log in a form that can be merged with that of other slices.
+
+    One row per job, of bounded size: largest and smallest values, counts, and every
+    first or last text together with its position. Whether the slice's log tells
+    accounts and GPUs is part of it, so slices of different age can be merged.
+    """
+    def placed(condition: str, column: str) -> str:
+        return f"CASE WHEN {condition} THEN struct({LOG_SEQ} AS position, {column} AS value) END"
+
+    sources = {
+        **{c: placed(f"{c} IS NOT NULL", c) for c in _FIRST},
+        "PartitionX": placed("PartitionX <> ''", "PartitionX"),
+        "n_partitions_": "CASE WHEN PartitionX <> '' THEN 1L ELSE 0L END",
+        "last_partition_": placed("PartitionX <> ''", "PartitionX"),
+        **{c: "false" for c in (LACKS_ACCOUNT, LACKS_GPUS) if c not in steps.columns},
+    }
+    aggregates = [F.expr(f"{how}({sources.get(c, c)})").alias(c) for c, how in _MERGE.items()]
+    return steps.groupBy("single_jobID").agg(*aggregates)
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per job from any number of them, in any order and however often merged before."""
+    return states.groupBy("single_jobID").agg(*[F.expr(f"{how}({c})").alias(c) for c, how in _MERGE.items()])
+
+
+def jobs_of_states(states: DataFrame) -> DataFrame:
+    """What ``rollup_jobs`` gives for all rows that merged states were made of; one state per job."""
+    values = {**{c: f"{c}.value" for c in (*_FIRST, "last_partition_")}, "PartitionX": "coalesce(PartitionX.value, '')"}
+    return mixed_account(states.selectExpr("single_jobID", *[f"{values.get(c, c)} AS {c}" for c in _MERGE]))
 
 
 def finished_jobs(jobs: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sql import string
 from .enrich import FOOTPRINT_VARIANTS
 
 # Name in the summary -> column of the enriched job that is summed up.
@@ -47,12 +48,66 @@ SUMMARY_COLUMNS = (
 
 def _grouped(df: DataFrame, by: Sequence[str], aggregates: dict[str, str]) -> DataFrame:
     """Group by any number of keys; none means the whole set. A NULL key is a group of its own."""
-    out = df.groupBy(*by).agg(*[F.expr(f"{text} AS {column}") for column, text in aggregates.items()])
-    return out.selectExpr(
+    return _with_rates(df.groupBy(*by).agg(*[F.expr(f"{text} AS {column}") for column, text in aggregates.items()]))
+
+
+def _with_rates(summary: DataFrame) -> DataFrame:
+    return summary.selectExpr(
         "*", "try_divide(n_success, n_jobs) AS success_rate", "1D - try_divide(n_success, n_jobs) AS failure_rate"
     )
 
 
+# Aggregates over enriched jobs.
+_OF_JOBS = {
+    "n_jobs": "count(UserX)",
+    "first_job_period": "min(SubmitDatetimeX)",
+    "last_job_period": "max(SubmitDatetimeX)",
+    **{column: _sum(column, source) for column, source in _SUMS.items()},
+    "memoryOverallocationFactor": "avg(memOverallocationFactorX)",
+}
+
+# Which of several groupings a row of ``summarise_sets`` belongs to, and the name of that of the whole set.
+GROUPING = "grouping"
+WHOLE = "all"
+
+
+def summarise_sets(jobs: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """``summarise_jobs`` for several lists of keys at once, with one shuffle.
+
+    Every job is sent once per list into the partial aggregation of its task; what is
+    shuffled is one row per group and task. ``grouping`` has the keys of a row's list,
+    joined by commas, or 'all' for the empty list; keys of other lists are NULL.
+    The whole set is always among them, since its row has the totals that shares need.
+    """
+    lists = [tuple(keys) for keys in sets]
+    lists += [()] * (() not in lists)
+    if len({frozenset(keys) for keys in lists}) < len(lists):
+        raise ValueError("a list of keys is given twice")
+    keys = list(dict.fromkeys(key for each in lists for key in each))
+    if GROUPING in keys:
+        raise ValueError(f"{GROUPING!r} cannot be a key")
+    # A key is aggregated away in a row if its bit is set, the first key having the highest.
+    number = {each: sum(1 << (len(keys) - 1 - n) for n, key in enumerate(keys) if key not in each) for each in lists}
+    cases = " ".join(f"WHEN {bits} THEN {string(','.join(each) or WHOLE)}" for each, bits in number.items())
+    if not keys:
+        summary = summarise_jobs(jobs)
+        return summary.select(F.lit(WHOLE).alias(GROUPING), *summary.columns)
+    grouped = jobs.groupingSets([[F.col(k) for k in each] for each in lists], *keys)
+    summary = grouped.agg(
+        F.grouping_id().alias("_set"), *[F.expr(f"{text} AS {column}") for column, text in _OF_JOBS.items()])
+    return _with_rates(summary.selectExpr(f"CASE _set {cases} END AS {GROUPING}", *[c for c in summary.columns if c != "_set"]))
+
+
+def with_share_in_sets(summary: DataFrame) -> DataFrame:
+    """Share of each row of ``summarise_sets`` in the carbon footprint of the whole set.
+
+    The total is the row of the whole set, a scalar subquery over the same table.
+    Hand in a stored one, of which this reads one row more.
+    """
+    total = summary.filter(F.col(GROUPING) == WHOLE).select(F.max("carbonFootprint")).scalar()
+    return summary.withColumn("share_carbonFootprint", F.try_divide(F.col("carbonFootprint"), total))
+
+
 def summarise_jobs(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """28 aggregates of enriched jobs per group, with success and failure rates.
 
@@ -60,13 +115,7 @@ def summarise_jobs(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     user they are a group of their own, so no job is lost. Plain partial
     aggregates: a hot user or day is combined before the shuffle.
     """
-    return _grouped(jobs, by, {
-        "n_jobs": "count(UserX)",
-        "first_job_period": "min(SubmitDatetimeX)",
-        "last_job_period": "max(SubmitDatetimeX)",
-        **{column: _sum(column, source) for column, source in _SUMS.items()},
-        "memoryOverallocationFactor": "avg(memOverallocationFactorX)",
-    })
+    return _grouped(jobs, by, _OF_JOBS)
 
 
 def summarise_summaries(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:

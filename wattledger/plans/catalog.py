@@ -17,11 +17,13 @@ from ..functions import parsing as P
 from ..functions.sql import name, quoted, string
 from ..operators import derive, distribution, enrich, filters, quality, report, rollup, steps, summarise
 from ..params import ClusterParams
-from ..schemas import JOBS_SCHEMA, LOG_SEQ, RAW_FIELDS
-from ..session import tune
-from ..sources.dimensions import partition_dim
+from ..schemas import JOBS_SCHEMA, LOG_LACKS, LOG_SEQ, RAW_FIELDS
+from ..session import scratch_path, tune
+from ..sources.dimensions import if_small, partition_dim
 from ..sources.jobs import jobs_from_table
-from ..sources.logs import parse_lines, to_line
+from ..sources.logs import land_logs, parse_lines, read_landed, read_mixed_logs, to_line
+from ..sources.sinks import stored
+from ..sources.states import read_slices
 from ..sources.orders_log import ORDERS_CLUSTER, orders_log
 from . import pipeline
 
@@ -37,10 +39,10 @@ def rounded(value: str, decimals: int) -> str:
     return f"floor({value} * 1e{decimals}D + 0.5017D) / 1e{decimals}D"
 
 
-def _rounded(df: DataFrame, decimals: int = 6) -> DataFrame:
-    """Round every double column."""
+def _rounded(df: DataFrame, decimals: int = 6, **other: int) -> DataFrame:
+    """Round every double column, the named ones to other decimals."""
     return df.selectExpr(*[
-        f"{rounded(name(f.name), decimals)} AS {name(f.name)}" if isinstance(f.dataType, T.DoubleType) else name(f.name)
+        f"{rounded(name(f.name), other.get(f.name, decimals))} AS {name(f.name)}" if isinstance(f.dataType, T.DoubleType) else name(f.name)
         for f in df.schema
     ])
 
@@ -102,13 +104,65 @@ def legacy_logs(i):
     ))
 
 
+# Number of the job that a log row belongs to.
+_JOB_NUMBER = f"CAST(replace({P.job_id('JobID')}, '_', '') AS BIGINT)"
+
+
+def _mixed_files(i) -> str:
+    """The log as files of three ages: fields missing, in another order, one more. Jobs have rows in two of them."""
+    path = scratch_path(i.spark, "mixed-logs")
+    age = f"({_JOB_NUMBER} + CASE WHEN {LOG_SEQ} >= 2 THEN 1 ELSE 0 END) % 3"
+    for n, rows in enumerate((
+        i.logs,
+        i.logs.select(LOG_SEQ, *[name(f) for f in reversed(RAW_FIELDS) if f not in ("CPUTime", "AllocTRES")]),
+        i.logs.drop("Account").withColumn("Cluster", F.lit("c1")),
+    )):
+        land_logs(rows.filter(f"{age} = {n}"), f"{path}/{n}", fmt="csv", by_day=False)
+    return f"{path}/*"
+
+
+@_query
+def scan_mixed_logs(i):
+    return read_mixed_logs(i.spark, _mixed_files(i)).withColumn(LOG_LACKS, F.concat_ws(",", LOG_LACKS))
+
+
+@_query
+def jobs_mixed_logs(i):
+    logs = read_mixed_logs(i.spark, _mixed_files(i), in_order=True)
+    return _rounded(pipeline.jobs_full(logs, i.params).select(
+        "single_jobID", "CPUwallclocktime_", "NGPUS_", "Account_", "PartitionTypeX",
+        "TotalGPUtime2useX", "CPUhoursChargedX", "GPUhoursChargedX",
+    ))
+
+
+@_query
+def landed_period(i):
+    # Some jobs' steps were submitted up to 40 days later or earlier.
+    moved = " ".join(
+        f"WHEN {LOG_SEQ} >= 2 AND {_JOB_NUMBER} % 9 = {rest} THEN CAST({move}(CAST(left(Submit, 10) AS DATE), CAST({_JOB_NUMBER} % 41 AS INT)) AS STRING) "
+        "|| substring(Submit, 11)" for rest, move in ((4, "date_add"), (5, "date_sub")))
+    path = scratch_path(i.spark, "landed")
+    land_logs(i.logs.withColumn("Submit", F.expr(f"CASE {moved} ELSE Submit END")), path)
+    logs = read_landed(i.spark, path, *PERIOD)
+    jobs = pipeline.jobs_full(logs, i.params, pipeline.JobChoice(*PERIOD))
+    return _rounded(jobs.select("single_jobID", "SubmitDatetimeX", "WallclockTimeX", "UsedMem2_", "TotalCPUtime2useX", "UserX"), 9)
+
+
+def _other_scheduler(jobs: DataFrame) -> DataFrame:
+    """A job table as another scheduler may deliver it: other types, another order, more columns."""
+    return jobs.selectExpr("single_jobID", *[f"CAST({c} AS STRING) AS {c}" for c in reversed(JOBS_SCHEMA.names)])
+
+
 @_query
 def jobs_from_other_table(i):
-    # As another scheduler may deliver it: other types, another order, more columns.
-    foreign = i.full().selectExpr(
-        "single_jobID", *[f"CAST({c} AS STRING) AS {c}" for c in reversed(JOBS_SCHEMA.names)]
-    )
-    return _rounded(jobs_from_table(foreign))
+    return _rounded(jobs_from_table(_other_scheduler(i.full())))
+
+
+@_query
+def daily_from_table(i):
+    # The job table has no power draws: they are looked up.
+    jobs = jobs_from_table(_other_scheduler(i.full()))
+    return _rounded(summarise.daily_summary(enrich.enrich_jobs(jobs, i.params)))
 
 
 @_query
@@ -116,7 +170,7 @@ def partition_dimension(i):
     used = i.logs.selectExpr(f"{P.first_partition('`Partition`')} AS partition").groupBy("partition").agg(
         F.count(F.lit(1)).alias("n_rows")
     )
-    return used.join(F.broadcast(partition_dim(i.spark, i.params)), "partition")
+    return used.join(if_small(partition_dim(i.spark, i.params), i.params), "partition")
 
 
 # Fields of the log
@@ -196,6 +250,17 @@ def job_rollup(i):
     return _rounded(i.rolled(), 9)
 
 
+@_query
+def rollup_incremental(i):
+    # Three slices, whose rows belong to the same jobs, kept one by one and merged.
+    path = scratch_path(i.spark, "states")
+    for n in (2, 0, 1):
+        pipeline.add_slice(i.logs.filter(f"crc32(CAST(JobID || {LOG_SEQ} AS BINARY)) % 3 = {n}"), i.params, path, f"s{n}")
+    some = rollup.merge_states(read_slices(i.spark, path, ["s2", "s1"]))
+    every = rollup.merge_states(some.unionByName(read_slices(i.spark, path, ["s0"])))
+    return _rounded(rollup.jobs_of_states(every).drop(steps.LACKS_GPUS), 9)
+
+
 @_query
 def finished_jobs(i):
     return rollup.finished_jobs(i.rolled()).select("single_jobID", "StateX", "UserX")
@@ -308,10 +373,24 @@ def share(i):
     return _rounded(out.select("UserX", "SubmitDate", "share_carbonFootprint"))
 
 
+SETS = (("UserX", "SubmitDate"), ("Account_",), ("PartitionX",))
+
+
+def _sets(i) -> DataFrame:
+    """All groupings from one pass over the jobs, with shares of the whole set."""
+    summary = stored(summarise.summarise_sets(i.enriched(keep=("Account_",)), SETS), "summary-sets")
+    return summarise.with_share_in_sets(summary)
+
+
+@_query
+def summary_sets(i):
+    return _rounded(_sets(i), 2, share_carbonFootprint=6).withColumn("SubmitDate", F.col("SubmitDate").cast("string"))
+
+
 @_query
 def share_by_account(i):
-    by = summarise.summarise_jobs(i.enriched(keep=("Account_",)), ["Account_"])
-    return _rounded(summarise.with_share_of_all(by).select("Account_", "share_carbonFootprint"))
+    by_account = _sets(i).filter(F.col(summarise.GROUPING) == "Account_").drop(summarise.GROUPING, "UserX", "SubmitDate", "PartitionX")
+    return _rounded(by_account, 3, share_carbonFootprint=6)
 
 
 # Distributions and chart tables
@@ -439,6 +518,17 @@ def dq_by_rule(i):
     return quality.violations_by_rule(quality.violations(dirty(i.logs), i.params))
 
 
+@_query
+def dq_jobs(i):
+    # A table with some GPU time on CPU partitions and some types that are not the cluster's.
+    n = "CAST(replace(single_jobID, '_', '') AS BIGINT)"
+    jobs = _other_scheduler(pipeline.jobs_full(dirty(i.logs), i.params)).withColumns({
+        "TotalGPUtime2useX": F.expr(f"CASE WHEN {n} % 25 = 3 THEN '1000' WHEN {n} % 25 = 5 THEN '0' ELSE TotalGPUtime2useX END"),
+        "PartitionTypeX": F.expr(f"CASE WHEN {n} % 50 = 1 THEN 'CPU' ELSE PartitionTypeX END"),
+    })
+    return quality.job_violations(jobs_from_table(jobs, ("single_jobID",)), i.params, "single_jobID")
+
+
 @_query
 def dq_summary(i):
     return quality.summary(pipeline.jobs_full(dirty(i.logs), i.params))

@@ -133,8 +133,9 @@ def _state(custom: tuple[str, ...] = ()) -> str:
     )
 
 
-def _steps(custom: tuple[str, ...] = (), logs: str = "logs", legacy: bool = False, extra: str = "") -> str:
-    core = f"{_ms('Elapsed')} * try_cast(NCPUS as bigint)" if legacy else _ms("CPUTime")
+def _steps(custom: tuple[str, ...] = (), logs: str = "logs", legacy: bool = False, extra: str = "", mixed: bool = False) -> str:
+    by_hand = f"{_ms('Elapsed')} * try_cast(NCPUS as bigint)"
+    core = f"case when g = 1 then {by_hand} else {_ms('CPUTime')} end" if mixed else f"{_ms('Elapsed')} * try_cast(NCPUS as bigint)" if legacy else _ms("CPUTime")
     gpus = "cast(0 as bigint)" if legacy else _GPUS
     account = "''" if legacy else "Account"
     return f"""
@@ -175,8 +176,9 @@ partitions as (
 )"""
 
 
-def _jobs(legacy: bool = False) -> str:
-    gpus = "case when p.type = 'GPU' then cast(1 as bigint) else r.NGPUS_ end" if legacy else "r.NGPUS_"
+def _jobs(legacy: bool = False, mixed: bool = False) -> str:
+    untold = "and r.no_gpus" if mixed else ""
+    gpus = f"case when p.type = 'GPU' {untold} then cast(1 as bigint) else r.NGPUS_ end" if legacy or mixed else "r.NGPUS_"
     return f"""
 finished as (
   select r.* exclude (StateX, NGPUS_), cast(case when r.StateX = -1 then 1 else r.StateX end as integer) as StateX,
@@ -380,6 +382,25 @@ _LABELS = {
     "memoryOverallocationFactor": _fixed("memoryOverallocationFactor", 1),
 }
 
+# Logs of other shapes
+
+_NUMBER_OF_JOB = "cast(replace(split_part(JobID, '.', 1), '_', '') as bigint)"
+_MIXED = f"""
+aged as (select *, ({_NUMBER_OF_JOB} + case when log_seq >= 2 then 1 else 0 end) % 3 as g from logs),
+mixed as (
+  select * replace (case when g <> 1 then CPUTime end as CPUTime, case when g <> 1 then AllocTRES end as AllocTRES,
+    case when g <> 2 then Account end as Account)
+  from aged
+)"""
+_SPREAD = f"""
+spread as (
+  select * replace (case when log_seq >= 2 and {_NUMBER_OF_JOB} % 9 in (4, 5) then
+    cast(cast(substr(Submit, 1, 10) as date) + cast(case when {_NUMBER_OF_JOB} % 9 = 4 then 1 else -1 end * ({_NUMBER_OF_JOB} % 41) as integer) as string)
+    || substr(Submit, 11) else Submit end as Submit)
+  from logs
+)"""
+
+
 # Data quality
 
 _DIRTY = """
@@ -462,6 +483,24 @@ def oracle_sql() -> dict[str, str]:
     by_account = _summary("by_account", "enriched", ("Account_",))
     by_partition = _summary("by_partition", "enriched", ("PartitionX",))
     whole_daily = _summary("daily", "enriched", ("SubmitDate",))
+    mixed = (
+        _ORDERS, _MIXED, _steps(logs="mixed", mixed=True, extra=", g = 2 as no_account, g = 1 as no_gpus"),
+        _rolled(", bool_and(no_account) as no_account, bool_and(no_gpus) as no_gpus"), _PARTITIONS, _jobs(mixed=True))
+    spread = (_ORDERS, _SPREAD, _steps(logs="spread"), _rolled(), _PARTITIONS, _jobs())
+    sets = {"UserX,SubmitDate": ("UserX", "SubmitDate"), "Account_": ("Account_",), "PartitionX": ("PartitionX",), "all": ()}
+    set_rows = " union all ".join(
+        "select '{}' as grouping, {}, {}, {}, {} as share_carbonFootprint from s{}".format(
+            label, ", ".join(f"cast({k if k in keys else 'null'} as string) as {k}" for k in ("UserX", "SubmitDate", "Account_", "PartitionX")),
+            ", ".join(_SUMMARY_OTHERS), ", ".join(f"{_r(c, 2)} as {c}" for c in _SUMMARY_DOUBLES),
+            _r("carbonFootprint / (select carbonFootprint from s3)"), n)
+        for n, (label, keys) in enumerate(sets.items()))
+    table_rules = {
+        "R5": "case when p.type is null or t.type is null or t.type <> p.type then 'PartitionX=' || t.PartitionX "
+        "|| case when t.type <> p.type then ' PartitionTypeX=' || t.type else '' end end",
+        "R8": "case when t.type = 'GPU' and coalesce(gpu, 0) = 0 and WallclockTimeX > 0 then 'TotalGPUtime2useX=' || coalesce(cast(gpu as string), 'NULL') end",
+        "R9": "case when t.type = 'CPU' and gpu <> 0 then 'TotalGPUtime2useX=' || cast(gpu as string) end",
+        "R11": "case when UIDX is null or UserX is null then 'UID=' || coalesce(UIDX, 'NULL') || ' User=' || coalesce(UserX, 'NULL') end",
+    }
     legacy = (_ORDERS, _steps(legacy=True), _rolled(), _PARTITIONS, _jobs(legacy=True))
     custom = (_ORDERS, _steps(("TIMEOUT", "OUT_OF_MEMORY")), _rolled(), _PARTITIONS, _jobs())
     split = "from overall"
@@ -483,6 +522,27 @@ def oracle_sql() -> dict[str, str]:
             "jobs", ("single_jobID", "CPUwallclocktime_", "NGPUS_", "Account_", "PartitionTypeX", "TotalGPUtime2useX"),
             ("CPUhoursChargedX", "GPUhoursChargedX"),
         ),
+        "scan_mixed_logs": _with(_ORDERS, _MIXED) + f"""
+select {fields}, case g when 0 then '' when 1 then 'CPUTime,AllocTRES' else 'Account' end as log_lacks, case when g = 2 then 'c1' end as Cluster from mixed""",
+        "jobs_mixed_logs": _with(*mixed) + _pick(
+            "jobs", ("single_jobID", "CPUwallclocktime_", "NGPUS_", "case when no_account then '' else Account_ end as Account_", "PartitionTypeX", "TotalGPUtime2useX"),
+            ("CPUhoursChargedX", "GPUhoursChargedX"),
+        ),
+        "landed_period": _with(*spread) + _pick(
+            "jobs", ("single_jobID", "SubmitDatetimeX", "WallclockTimeX", "TotalCPUtime2useX", "UserX"), ("UsedMem2_",), 9,
+            "where SubmitDatetimeX >= timestamp '1996-03-01' and SubmitDatetimeX < timestamp '1997-07-01'",
+        ),
+        "rollup_incremental": _with(_ORDERS, _steps(), _rolled()) + _pick("rolled", rolled_plain, ("ReqMemX", "UsedMem_"), 9),
+        "daily_from_table": _with(*_TO_DAILY) + _pick("daily", ("UserX", "SubmitDate", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES),
+        "summary_sets": _with(*_TO_ENRICHED, *[_summary(f"s{n}", "enriched", keys) for n, keys in enumerate(sets.values())]) + "\n" + set_rows,
+        "dq_jobs": _with(*_DIRTY_JOBS, """
+t as (
+  select * exclude (PartitionTypeX), case when n % 25 = 3 then 1000 when n % 25 = 5 then 0 else TotalGPUtime2useX end as gpu,
+    case when n % 50 = 1 then 'CPU' else PartitionTypeX end as type
+  from (select *, cast(replace(single_jobID, '_', '') as bigint) as n from jobs)
+)""") + "\nselect * from (" + " union all ".join(
+            f"select '{rule}' as rule, '{'warning' if rule == 'R11' else 'error'}' as severity, single_jobID as jobID, {text} as detail "
+            'from t left join partitions p on t.PartitionX = p."partition"' for rule, text in table_rules.items()) + ") where detail is not null",
         "jobs_from_table": _over_jobs([c for c in _JOB_COLUMNS if c not in _JOB_DOUBLES], _JOB_DOUBLES),
         "partition_dim": _with(_ORDERS, _PARTITIONS) + f"""
 select p.*, u.n_rows from partitions p
@@ -531,8 +591,8 @@ join (select {_PART} as part, count(*) as n_rows from logs group by 1) u on p."p
         "share": _with(*_TO_DAILY) + f"""
 select UserX, SubmitDate, {_r('carbonFootprint / sum(carbonFootprint) over (partition by UserX)')} as share_carbonFootprint
 from daily""",
-        "share_by_account": _with(*_TO_ENRICHED, by_account) + f"""
-select Account_, {_r('carbonFootprint / sum(carbonFootprint) over ()')} as share_carbonFootprint from by_account""",
+        "share_by_account": _with(*_TO_ENRICHED, by_account) + _pick("by_account", (
+            "Account_", *_SUMMARY_OTHERS, f"{_r('carbonFootprint / sum(carbonFootprint) over ()')} as share_carbonFootprint"), _SUMMARY_DOUBLES, 3),
         "factor_lists": _with(*_TO_JOBS) + f"""
 select scope, UserX, {_r('factor')} as memOverallocationFactorX, count(*) as n_jobs from (
   select 'user' as scope, UserX, {factor} as factor from jobs where UserX is not null

@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import derive, distribution, enrich, filters, report, rollup, steps, summarise
 from ..params import ClusterParams
-from ..sources import sinks
+from ..sources import sinks, states
 
 # Step columns that jobs may be grouped by, besides the public ones.
 GROUPING_COLUMNS = ("single_jobID", "Account_")
@@ -17,7 +17,12 @@ GROUPING_COLUMNS = ("single_jobID", "Account_")
 
 @dataclass(frozen=True)
 class JobChoice:
-    """Which jobs a report is about; the default is all of them."""
+    """Which jobs a report is about; the default is all of them.
+
+    ``narrow``: look up the jobs of a directory or an account first, so that only
+    their rows are typed and rolled up, at the price of reading three columns of the
+    log once more. Turn it off where most jobs are chosen anyway.
+    """
 
     start: str | None = None
     end: str | None = None
@@ -27,6 +32,7 @@ class JobChoice:
     id_table: DataFrame | None = None
     id_column: str | None = None
     success_states: Sequence[str] = ()
+    narrow: bool = True
 
     def __post_init__(self):
         if (self.start is None) != (self.end is None):
@@ -53,6 +59,8 @@ ALL_JOBS = JobChoice()
 
 def jobs_full(logs: DataFrame, params: ClusterParams, choice: JobChoice = ALL_JOBS) -> DataFrame:
     """Finished jobs with every cleaned and derived column."""
+    if choice.narrow:
+        logs = filters.rows_of_jobs_naming(logs, choice.directory, choice.account)
     typed = steps.clean_steps(logs, params, choice.success_states)
     if choice.id_table is not None:
         typed = filters.with_ids_from(typed, choice.id_table, choice.id_column)
@@ -61,6 +69,28 @@ def jobs_full(logs: DataFrame, params: ClusterParams, choice: JobChoice = ALL_JO
     return choose_jobs(jobs, choice)
 
 
+def add_slice(logs: DataFrame, params: ClusterParams, path: str, name: str, success_states: Sequence[str] = ()) -> None:
+    """Roll up one slice of a log, such as a day's rows, and keep the state of its jobs under ``path``.
+
+    Only this slice is read. Run again, for instance after a failure, it takes the place of what it wrote.
+    """
+    typed = steps.clean_steps(steps.with_lacks(logs), params, success_states)
+    states.write_slice(rollup.rollup_state(typed), path, name)
+
+
+def jobs_of_slices(spark: SparkSession, path: str, params: ClusterParams, choice: JobChoice = ALL_JOBS, names: Sequence[str] | None = None) -> DataFrame:
+    """``jobs_full`` from the slices kept under ``path``, all or the named ones, without the log.
+
+    Rows of a job may be in any of them. Success states were decided when the slices
+    were made, so ``choice`` does not change them.
+    """
+    merged = rollup.merge_states(states.read_slices(spark, path, names))
+    jobs = derive.derive_jobs(rollup.finished_jobs(rollup.jobs_of_states(merged)), params)
+    if choice.id_table is not None:
+        jobs = filters.with_ids_from(jobs, choice.id_table, choice.id_column)
+    return choose_jobs(jobs, choice)
+
+
 def choose_jobs(jobs: DataFrame, choice: JobChoice) -> DataFrame:
     if choice.start is not None:
         jobs = filters.in_period(jobs, choice.start, choice.end)

@@ -24,6 +24,9 @@ OPTIONAL_RAW_FIELDS = ("CPUTime", "Account", "AllocTRES")
 # Position of a row in the log. Any orderable type will do.
 LOG_SEQ = "log_seq"
 
+# Optional fields that the file of a row lacks, where files of different age are read together.
+LOG_LACKS = "log_lacks"
+
 RAW_SCHEMA = T.StructType([T.StructField(f, T.StringType()) for f in RAW_FIELDS])
 
 # One row per finished job: the hand-over between cleaning and footprint

@@ -31,8 +31,11 @@ def partition_dim(spark: SparkSession, params: ClusterParams) -> DataFrame:
 
 def partition_lookup(spark: SparkSession, params: ClusterParams) -> DataFrame:
     """The columns that jobs are joined with; broadcast, its size being known here."""
-    dim = partition_dim(spark, params).select("partition", "type", "tdp", "tdp_cpu")
-    small = len(params.partitions) <= MAX_BROADCAST_PARTITIONS and all(
-        len(p.name) <= _MAX_NAME for p in params.partitions
-    )
+    return if_small(partition_dim(spark, params).select("partition", "type", "tdp", "tdp_cpu"), params)
+
+
+def if_small(dim: DataFrame, params: ClusterParams) -> DataFrame:
+    """A dimension with a row per partition, marked for broadcast if there are few enough of them."""
+    texts = [text or "" for p in params.partitions for text in (p.name, p.model, p.model_cpu)]
+    small = len(params.partitions) <= MAX_BROADCAST_PARTITIONS and all(len(text) <= _MAX_NAME for text in texts)
     return F.broadcast(dim) if small else dim

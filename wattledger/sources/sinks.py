@@ -8,6 +8,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
+from ..session import scratch_path
+
 DAY = "SubmitDate"
 
 
@@ -29,6 +31,16 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str] = ("UserX", DAY),
     return df.sparkSession.read.schema(df.schema).format(fmt).load(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the folder that all executors share and read it back.
+
+    It is computed once, Spark knows its size from then on, and its lineage ends there.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_directory(directory: str, run: str | None = None) -> str:
     """A directory for one run: the given name, or the time in UTC and a few random characters."""
     name = run or f"{datetime.datetime.now(datetime.timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:6]}"
