@@ -192,3 +192,42 @@ def test_merging_twice_changes_nothing(spark, tmp_path, params, make_log):
     assert sorted(map(str, rollup.jobs_of_states(state).select(want.columns).collect())) == sorted(map(str, want.collect()))
     with pytest.raises(ValueError, match="name"):
         write_slice(state, str(tmp_path), "a/b")
+
+
+# Several clusters
+
+def test_clusters_have_their_own_parameters_and_job_ids(spark, params, make_log):
+    from pyspark.sql import functions as F
+
+    from wattledger.params import Clusters, Partition
+
+    other = params.with_(partitions=(Partition("cpu-std", "CPU", 24.0),), pue=2.0, carbon_intensity=10.0, granularity_memory_request=2.0, default_unit_rss="M")
+    log = make_log({"JobID": "1", "MaxRSS": "3000"}, {"JobID": "2", "Partition": "gpu-a"}, step(1, Elapsed="02:00:00"))
+    both = log.withColumn("Cluster", F.lit("a")).unionByName(log.withColumn("Cluster", F.lit("b"))).unionByName(log.withColumn("Cluster", F.lit(None).cast("string")))
+    clusters = Clusters({"a": params, "b": other, "unused": params})
+    got = pipeline.enriched_jobs(both, clusters, keep=("single_jobID",))
+    assert not [c for c in got.columns if c.startswith("_")]
+    for name, one in (("a", params), ("b", other)):
+        want = pipeline.enriched_jobs(log, one, keep=("single_jobID",))
+        mine = got.filter(F.col("Cluster") == name).select(want.columns)
+        assert sorted(map(str, mine.collect())) == sorted(map(str, want.collect()))
+    unknown = got.filter("Cluster IS NULL").collect()
+    assert len(unknown) == 2 and all(r.energy is None and r.PartitionTypeX is None for r in unknown)
+    with pytest.raises(ValueError, match="Cluster"):
+        pipeline.enriched_jobs(log, clusters)
+    with pytest.raises(ValueError, match="names"):
+        Clusters({})
+
+
+def test_slices_of_several_clusters(spark, tmp_path, params, make_log):
+    from pyspark.sql import functions as F
+
+    from wattledger.params import Clusters
+
+    clusters = Clusters({"a": params, "b": params.with_(granularity_memory_request=2.0)})
+    log = make_log({"JobID": "1"}, step(1, MaxRSS="3G")).withColumn("Cluster", F.lit("a"))
+    both = log.unionByName(log.withColumn("Cluster", F.lit("b")))
+    for n in (0, 1):
+        pipeline.add_slice(both.filter(f"{LOG_SEQ} = {n}"), clusters, str(tmp_path / "s"), f"s{n}")
+    got = pipeline.jobs_of_slices(spark, str(tmp_path / "s"), clusters).select("Cluster", "NeededMemX").collect()
+    assert sorted(map(tuple, got)) == [("a", 6.0), ("b", 4.0)]

@@ -2,9 +2,10 @@
 
 import pytest
 
-from wattledger.operators import enrich, quality, summarise
+from wattledger.operators import distribution, enrich, quality, summarise
 from wattledger.plans import pipeline
 from wattledger.schemas import JOBS_SCHEMA, LOG_SEQ, RAW_FIELDS
+from wattledger.sources import sinks
 from wattledger.sources.jobs import jobs_from_table
 
 SETS = [("UserX", "SubmitDate"), ("Account_",)]
@@ -83,3 +84,79 @@ def test_strict_stops_without_an_id(table, params):
         quality.job_violations(foreign(table), params, strict=True).count()
     fine = foreign(table.filter("single_jobID = '1'"))
     assert quality.job_violations(fine, params, strict=True).count() == 0 and quality.job_violations(fine.limit(0), params).count() == 0
+
+
+# Distribution in the days
+
+def test_quantiles_lie_in_their_bins(spark, jobs):
+    import math
+    import random
+
+    rng = random.Random(1)
+    values = [1.0] * 20 + [round(1 / rng.uniform(0.01, 1), 4) for _ in range(300)] + [100.0, 20.0, 20.0001, 1 / 0.95]
+    rows = [(None if i % 7 == 0 else f"u{i % 2}", v) for i, v in enumerate(values)] + [("u0", None), ("none", None)]
+    base = jobs.limit(1).drop("UserX", "memOverallocationFactorX", "SubmitDate")
+    factors = spark.createDataFrame([(u, v, f"2024-03-{1 + i % 9:02d}") for i, (u, v) in enumerate(rows)], "UserX string, memOverallocationFactorX double, SubmitDate string")
+    table = base.crossJoin(factors)
+    days = distribution.daily_with_bins(table).cache()
+    want = distribution.memory_efficiency_histogram(table)
+    assert sorted(map(str, distribution.histogram_of_days(days).select(want.columns).collect())) == sorted(map(str, want.collect()))
+    shares = (0.01, 0.5, 0.9, 0.99, 1.0)
+    for by in (("UserX",), ()):
+        for r in distribution.factor_quantiles(days, by, shares).collect():
+            mine = sorted(v for u, v in rows if v is not None and (not by or u == r.UserX))
+            true = mine[math.ceil(r.quantile * len(mine)) - 1]
+            # The bound: within the bin, so less than five percent of the request in efficiency.
+            assert r.factor_low - 1e-9 <= true and (r.factor_high is None or true <= r.factor_high + 1e-9) and r.n_jobs == len(mine)
+            assert abs(100 / r.factor - 100 / true) < 5
+    assert distribution.factor_quantiles(days, quantiles=shares).filter("UserX = 'none'").count() == 0
+    with pytest.raises(ValueError, match="above 0"):
+        distribution.factor_quantiles(days, quantiles=[0.0])
+
+
+def test_factor_values_take_one_shuffle(spark):
+    jobs = spark.range(10).selectExpr("CAST(id % 3 AS STRING) AS UserX", "CAST(id AS DOUBLE) AS memOverallocationFactorX")
+    text = distribution.factor_values(jobs)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_count" in text[text.index("Exchange hashpartitioning"):]
+
+
+# Runs
+
+class Stopped(Exception):
+    pass
+
+
+@pytest.mark.parametrize("stop_at", ["daily", "overall", "factor_values", "labels"])
+def test_a_run_that_stops_is_taken_up_again(spark, tmp_path, jobs, params, monkeypatch, stop_at):
+    directory = str(tmp_path / "report")
+    record = sinks.record_table
+
+    def stopping(table, run, name):
+        if name == stop_at:
+            raise Stopped
+        return record(table, run, name)
+
+    monkeypatch.setattr(sinks, "record_table", stopping)
+    with pytest.raises(Stopped):
+        pipeline.write_report(jobs, params, directory, run="one")
+    with pytest.raises(LookupError, match="no finished run"):
+        sinks.read_run(spark, directory)
+    recorded = []
+    monkeypatch.setattr(sinks, "record_table", lambda table, run, name: recorded.append(name) or record(table, run, name))
+    before = set(sinks.finished_tables(spark, f"{directory}/one"))
+    paths = pipeline.write_report(jobs, params, directory, run="one", resume=True)
+    assert before | set(recorded) == set(paths) and not before & set(recorded) and stop_at in recorded
+    tables = sinks.read_run(spark, directory, "one")
+    assert set(tables) == set(paths) and tables["daily"].count() == sinks.finished_runs(spark, directory)["one"]["daily"] == jobs.select("UserX", "SubmitDate").distinct().count()
+
+
+def test_only_whole_runs_are_read(spark, tmp_path, jobs, params):
+    directory = str(tmp_path / "with space")
+    assert sinks.finished_runs(spark, directory) == {}
+    pipeline.write_report(jobs, params, directory, run="a")
+    pipeline.write_report(jobs.limit(3), params, directory, run="b")
+    sinks.record_table(jobs.limit(1), f"{directory}/c", "daily")
+    assert list(sinks.finished_runs(spark, directory)) == ["a", "b"]
+    assert sinks.read_run(spark, directory)["usage_summary"].agg({"n_jobs": "sum"}).first()[0] <= 3
+    with pytest.raises(LookupError, match="'c'"):
+        sinks.read_run(spark, directory, "c")

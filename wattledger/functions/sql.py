@@ -5,7 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 
+class Expr(str):
+    """Text of an expression, such as a column's name, where a plain value is expected: used as it is."""
+
+
 def string(value: str | None) -> str:
+    if isinstance(value, Expr):
+        return str(value)
     if value is None:
         return "CAST(NULL AS STRING)"
     escaped = value.replace("\\", "\\\\").replace("'", "\\'")
@@ -18,6 +24,8 @@ def quoted(values: Iterable[str]) -> str:
 
 
 def double(value: float | None) -> str:
+    if isinstance(value, Expr):
+        return str(value)
     return "CAST(NULL AS DOUBLE)" if value is None else f"{float(value)!r}D"
 
 

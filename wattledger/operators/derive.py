@@ -7,27 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 from ..functions.sql import double
-from ..params import CPU, GPU, ClusterParams
+from ..params import CPU, GPU, ClusterParams, Clusters
 from ..schemas import JOBS_SCHEMA, conform
-from ..sources.dimensions import POWER_COLUMNS, partition_lookup
+from ..sources.dimensions import POWER_COLUMNS, lookup_keys, partition_lookup, with_parameters, without_parameters
 from .steps import LACKS_GPUS
 
 MS_PER_HOUR = 3.6e6
 
 
-def attach_hardware(jobs: DataFrame, params: ClusterParams) -> DataFrame:
+def attach_hardware(jobs: DataFrame, params: ClusterParams | Clusters) -> DataFrame:
     """PartitionTypeX and the power draws by one equi-lookup; NULL for a partition the cluster does not have.
 
     A job whose rows name several partitions has none.
     """
+    keys = lookup_keys(params)
     dim = partition_lookup(jobs.sparkSession, params).selectExpr(
-        "partition AS PartitionX", "type AS PartitionTypeX",
+        *[f"{key} AS _in_{key}" for key in keys], "partition AS _named", "type AS PartitionTypeX",
         *[f"{column} AS {hidden}" for column, hidden in POWER_COLUMNS.items()],
     )
-    if "n_partitions_" not in jobs.columns:
-        return jobs.join(dim, "PartitionX", "left")
-    known = dim.withColumnRenamed("PartitionX", "_named")
-    return jobs.join(known, F.expr("PartitionX = _named AND n_partitions_ = 1"), "left").drop("_named")
+    same = ["PartitionX = _named", *[f"{key} = _in_{key}" for key in keys], *["n_partitions_ = 1"] * ("n_partitions_" in jobs.columns)]
+    return jobs.join(dim, F.expr(" AND ".join(same)), "left").drop("_named", *[f"_in_{key}" for key in keys])
 
 
 def default_gpus(jobs: DataFrame, gpus_logged: bool) -> DataFrame:
@@ -68,13 +67,13 @@ def needed_memory(used: str, granularity: float) -> str:
     )
 
 
-def derive_jobs(jobs: DataFrame, params: ClusterParams, gpus_logged: bool = True) -> DataFrame:
+def derive_jobs(jobs: DataFrame, params: ClusterParams | Clusters, gpus_logged: bool = True) -> DataFrame:
     """Add partition type, time to use, hours charged, memory needed and its factor.
 
     A broadcast lookup and projections: no shuffle beyond the roll-up's.
     """
-    typed = default_gpus(attach_hardware(jobs, params), gpus_logged)
-    return (
+    typed = with_parameters(default_gpus(attach_hardware(jobs, params), gpus_logged), params)
+    derived = (
         typed.selectExpr(
             "*",
             f"{USED_MEMORY} AS UsedMem2_",
@@ -87,6 +86,7 @@ def derive_jobs(jobs: DataFrame, params: ClusterParams, gpus_logged: bool = True
         .selectExpr("*", f"{needed_memory('UsedMem2_', params.granularity_memory_request)} AS NeededMemX")
         .selectExpr("*", f"{OVERALLOCATION_FACTOR} AS memOverallocationFactorX")
     )
+    return without_parameters(derived, params)
 
 
 def job_contract(jobs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:

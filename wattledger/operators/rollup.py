@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ def partition_rows(steps: DataFrame) -> DataFrame:
     return steps.filter("PartitionX <> ''").select("single_jobID", F.col(LOG_SEQ).alias("position"), "PartitionX")
 
 
-def rollup_jobs(steps: DataFrame) -> DataFrame:
-    """One row per ``single_jobID``.
+def rollup_jobs(steps: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """One row per ``single_jobID``, or per id ``within`` a cluster where each has ids of its own.
 
     The only shuffle of the raw rows. All aggregates have a bounded state and
     are combined on the map side, so a job that holds a large part of all rows
@@ -62,7 +64,7 @@ def rollup_jobs(steps: DataFrame) -> DataFrame:
         **partition_texts(),
         **{c: f"bool_and({c})" for c in (LACKS_ACCOUNT, LACKS_GPUS) if c in steps.columns},
     }
-    return mixed_account(steps.groupBy("single_jobID").agg(*[F.expr(text).alias(c) for c, text in aggregates.items()]))
+    return mixed_account(steps.groupBy(*within, "single_jobID").agg(*[F.expr(text).alias(c) for c, text in aggregates.items()]))
 
 
 def mixed_account(jobs: DataFrame) -> DataFrame:
@@ -85,7 +87,7 @@ _MERGE = {
 }
 
 
-def rollup_state(steps: DataFrame) -> DataFrame:
+def rollup_state(steps: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """``rollup_jobs`` of a slice of the log in a form that can be merged with that of other slices.
 
     One row per job, of bounded size: largest and smallest values, counts, and every
@@ -103,18 +105,18 @@ def rollup_state(steps: DataFrame) -> DataFrame:
         **{c: "false" for c in (LACKS_ACCOUNT, LACKS_GPUS) if c not in steps.columns},
     }
     aggregates = [F.expr(f"{how}({sources.get(c, c)})").alias(c) for c, how in _MERGE.items()]
-    return steps.groupBy("single_jobID").agg(*aggregates)
+    return steps.groupBy(*within, "single_jobID").agg(*aggregates)
 
 
-def merge_states(states: DataFrame) -> DataFrame:
+def merge_states(states: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """One state per job from any number of them, in any order and however often merged before."""
-    return states.groupBy("single_jobID").agg(*[F.expr(f"{how}({c})").alias(c) for c, how in _MERGE.items()])
+    return states.groupBy(*within, "single_jobID").agg(*[F.expr(f"{how}({c})").alias(c) for c, how in _MERGE.items()])
 
 
-def jobs_of_states(states: DataFrame) -> DataFrame:
+def jobs_of_states(states: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """What ``rollup_jobs`` gives for all rows that merged states were made of; one state per job."""
     values = {**{c: f"{c}.value" for c in (*_FIRST, "last_partition_")}, "PartitionX": "coalesce(PartitionX.value, '')"}
-    return mixed_account(states.selectExpr("single_jobID", *[f"{values.get(c, c)} AS {c}" for c in _MERGE]))
+    return mixed_account(states.selectExpr(*within, "single_jobID", *[f"{values.get(c, c)} AS {c}" for c in _MERGE]))
 
 
 def finished_jobs(jobs: DataFrame) -> DataFrame:

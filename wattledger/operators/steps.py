@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 
 from ..functions import parsing as P
 from ..functions.sql import quoted, string
-from ..params import ClusterParams
+from ..params import ClusterParams, Clusters
 from ..schemas import LOG_LACKS, LOG_SEQ, OPTIONAL_RAW_FIELDS, RAW_FIELDS, require_columns
+from ..sources.dimensions import lookup_keys, with_parameters
 
 # Whether the file of a row lacked a field whose default can only be decided for a whole job; in mixed logs only.
 LACKS_ACCOUNT, LACKS_GPUS = "lacks_Account_", "lacks_AllocTRES_"
 
 
 def clean_steps(
-    logs: DataFrame, params: ClusterParams, custom_success: Sequence[str] = (), keep: Sequence[str] = ()
+    logs: DataFrame, params: ClusterParams | Clusters, custom_success: Sequence[str] = (), keep: Sequence[str] = ()
 ) -> DataFrame:
     """Type every field of the log and add the id of the job each row belongs to.
 
@@ -25,10 +26,11 @@ def clean_steps(
     recognised by their columns: core time becomes wallclock x cores, GPUs 0,
     account ''. In a log of files of different age that is decided by row: core
     time at once, GPUs and account once all rows of a job are together, since
-    another row's file may tell. ``keep`` are further expressions over the raw row.
+    another row's file may tell. Of several clusters, every row keeps its cluster. ``keep`` are further expressions over the raw row.
     """
     require_columns(logs, [f for f in RAW_FIELDS if f not in OPTIONAL_RAW_FIELDS] + [LOG_SEQ], "the log")
     has = set(logs.columns)
+    logs = with_parameters(logs, params)
     nodes, cores, wallclock = P.integer("NNodes"), P.integer("NCPUS"), P.duration_ms("Elapsed")
     core_wallclock = f"try_multiply({wallclock}, {cores})"
     if "CPUTime" in has:
@@ -55,7 +57,7 @@ def clean_steps(
     }
     if LOG_LACKS in has:
         fields |= {LACKS_ACCOUNT: lacks(logs, "Account"), LACKS_GPUS: lacks(logs, "AllocTRES")}
-    return logs.selectExpr(LOG_SEQ, *[f"{text} AS {column}" for column, text in fields.items()], *keep)
+    return logs.selectExpr(LOG_SEQ, *lookup_keys(params), *[f"{text} AS {column}" for column, text in fields.items()], *keep)
 
 
 def lacks(logs: DataFrame, field: str) -> str:

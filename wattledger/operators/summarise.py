@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,14 +109,15 @@ def with_share_in_sets(summary: DataFrame) -> DataFrame:
     return summary.withColumn("share_carbonFootprint", F.try_divide(F.col("carbonFootprint"), total))
 
 
-def summarise_jobs(jobs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def summarise_jobs(jobs: DataFrame, by: Sequence[str] = (), further: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
     """28 aggregates of enriched jobs per group, with success and failure rates.
 
     Jobs without a user are part of every sum but not of ``n_jobs``; grouped by
     user they are a group of their own, so no job is lost. Plain partial
-    aggregates: a hot user or day is combined before the shuffle.
+    aggregates: a hot user or day is combined before the shuffle. ``further`` are more
+    aggregates of a fixed size, name -> expression.
     """
-    return _grouped(jobs, by, _OF_JOBS)
+    return _grouped(jobs, by, {**_OF_JOBS, **further})
 
 
 def summarise_summaries(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -133,9 +135,9 @@ def summarise_summaries(summary: DataFrame, by: Sequence[str] = ()) -> DataFrame
     })
 
 
-def daily_summary(jobs: DataFrame, by: Sequence[str] = ("UserX",)) -> DataFrame:
+def daily_summary(jobs: DataFrame, by: Sequence[str] = ("UserX",), further: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
     """One row per submit day and ``by``."""
-    return summarise_jobs(jobs, [*by, "SubmitDate"])
+    return summarise_jobs(jobs, [*by, "SubmitDate"], further)
 
 
 def overall_summary(daily: DataFrame, by: Sequence[str] = ("UserX",)) -> DataFrame:

@@ -7,7 +7,9 @@ or as a small dimension table.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
+
+from .functions.sql import Expr
 
 CPU = "CPU"
 GPU = "GPU"
@@ -130,6 +132,51 @@ class ClusterParams:
         )
 
 
+# Column that names the cluster a log row or job belongs to, where several are worked on together.
+CLUSTER = "Cluster"
+_HIDDEN = "_of_cluster_"
+
+
+@dataclass(frozen=True)
+class Clusters:
+    """Parameters of several clusters by name, for logs whose rows name theirs in the column ``Cluster``.
+
+    Stands wherever ``ClusterParams`` does in cleaning, derivation and enrichment. Its
+    values are not numbers but names of columns, which ``sources.dimensions.with_parameters``
+    joins to the rows from a table with one row per cluster.
+    """
+
+    by_name: Mapping[str, ClusterParams]
+
+    def __post_init__(self):
+        if not self.by_name or not all(isinstance(name, str) and name for name in self.by_name):
+            raise ValueError("clusters need names")
+
+    @staticmethod
+    def values(params: ClusterParams) -> dict[str, float | str | None]:
+        """Hidden column -> value of one cluster."""
+        plain = {name: getattr(params, name) for name in _BY_CLUSTER}
+        constants = {f.name: float(getattr(params.constants, f.name)) for f in fields(Constants)}
+        return {f"{_HIDDEN}{name}": value for name, value in {**plain, **constants}.items()}
+
+    @property
+    def columns(self) -> tuple[str, ...]:
+        return tuple(self.values(next(iter(self.by_name.values()))))
+
+    @property
+    def constants(self) -> Constants:
+        return Constants(**{f.name: Expr(f"{_HIDDEN}{f.name}") for f in fields(Constants)})
+
+    def __getattr__(self, name: str) -> Expr:
+        if name in _BY_CLUSTER:
+            return Expr(f"{_HIDDEN}{name}")
+        raise AttributeError(name)
+
+
+# Parameters of a cluster that the formulas ask for, besides the constants.
+_BY_CLUSTER = ("pue", "carbon_intensity", "granularity_memory_request", "default_unit_rss")
+
+
 def _require_number(value, what: str, minimum: float) -> None:
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         raise ValueError(f"{what} must be a number, not {value!r}")

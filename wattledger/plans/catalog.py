@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import parsing as P
 from ..functions.sql import name, quoted, string
 from ..operators import derive, distribution, enrich, filters, quality, report, rollup, steps, summarise
-from ..params import ClusterParams
+from ..params import CLUSTER, ClusterParams, Clusters, Constants, Partition
 from ..schemas import JOBS_SCHEMA, LOG_LACKS, LOG_SEQ, RAW_FIELDS
 from ..session import scratch_path, tune
 from ..sources.dimensions import if_small, partition_dim
@@ -339,6 +339,25 @@ def filter_account(i):
     return i.full(account=ACCOUNT).select("single_jobID", "Account_")
 
 
+# Several clusters
+
+SOUTH = ClusterParams(
+    partitions=(Partition("cpu-std", "CPU", 24.0), Partition("gpu-a", "GPU", 600.0, tdp_cpu=20.0)),
+    pue=1.2, carbon_intensity=52.5, granularity_memory_request=4.0, default_unit_rss="M",
+    constants=Constants(electricity_cost=0.21),
+)
+
+
+@_query
+def daily_by_cluster(i):
+    # Both clusters count their jobs from the same number on, so ids are unique within a cluster only.
+    logs = i.logs.withColumns({
+        CLUSTER: F.expr(f"CASE {_JOB_NUMBER} % 2 WHEN 0 THEN 'north' ELSE 'south' END"),
+        "JobID": F.expr(f"({_JOB_NUMBER} DIV 2) || substring(JobID, length({P.job_id('JobID')}) + 1)"),
+    })
+    return _rounded(pipeline.daily_footprint(logs, Clusters({"north": i.params, "south": SOUTH})))
+
+
 # Summaries
 
 @_query
@@ -407,6 +426,17 @@ def mem_efficiency_hist(i):
     return distribution.memory_efficiency_histogram(i.table())
 
 
+@_query
+def mem_efficiency_of_days(i):
+    return distribution.histogram_of_days(distribution.daily_with_bins(i.enriched()))
+
+
+@_query
+def factor_quantiles(i):
+    daily = distribution.daily_with_bins(i.enriched())
+    return _rounded(distribution.factor_quantiles(daily, quantiles=(0.25, 0.5, 0.9, 1.0)))
+
+
 @_query
 def daily_rates_long(i):
     return _rounded(distribution.daily_rates(i.daily()))

@@ -501,6 +501,17 @@ def oracle_sql() -> dict[str, str]:
         "R9": "case when t.type = 'CPU' and gpu <> 0 then 'TotalGPUtime2useX=' || cast(gpu as string) end",
         "R11": "case when UIDX is null or UserX is null then 'UID=' || coalesce(UIDX, 'NULL') || ' User=' || coalesce(UserX, 'NULL') end",
     }
+    cluster = f"case when {_NUMBER_OF_JOB} % 2 = 0 then 'north' else 'south' end"
+    by_cluster = _with(
+        _ORDERS, _steps(extra=f", {cluster} as Cluster").replace("''), 'K')", f"''), case when {cluster} = 'north' then 'K' else 'M' end)"),
+        _rolled(", min(Cluster) as Cluster"), _PARTITIONS,
+        _jobs().replace("p.tdp, p.tdp_cpu", "p.tdp * f as tdp, p.tdp_cpu * f as tdp_cpu, pue, ci, step, tariff")
+        .replace("and r.n_partitions_ = 1", "and r.n_partitions_ = 1 and not (r.Cluster = 'south' and p.\"partition\" = 'cpu-himem') join sites using (Cluster)")
+        .replace("6e0", "step").replace("\nfinished as", """
+sites as (select * from (values ('north', 1e0, 1.5e0, 231.12e0, 6e0, 0.34e0), ('south', 2e0, 1.2e0, 52.5e0, 4e0, 0.21e0)) as t(Cluster, f, pue, ci, step, tariff)),
+finished as"""),
+        _ENRICHED.replace("1.5e0", "pue").replace("231.12e0", "ci").replace("0.34e0", "tariff"),
+        _summary("daily", "enriched", ("Cluster", "UserX", "SubmitDate")))
     legacy = (_ORDERS, _steps(legacy=True), _rolled(), _PARTITIONS, _jobs(legacy=True))
     custom = (_ORDERS, _steps(("TIMEOUT", "OUT_OF_MEMORY")), _rolled(), _PARTITIONS, _jobs())
     split = "from overall"
@@ -516,6 +527,10 @@ def oracle_sql() -> dict[str, str]:
     }
     wasted = {m: f"{m} - {m}_memoryNeededOnly" for m in ("carbonFootprint", "treeMonths", "cost")}
 
+    hist = _with(*_TO_JOBS) + f"""
+select UserX, bin, count(*) as n_jobs, (bin - 1) * 5e0 as bin_from, bin * 5e0 as bin_to
+from (select UserX, {efficiency_bin} as bin from jobs where memOverallocationFactorX is not null) group by UserX, bin"""
+
     return {
         "scan_logs": _over_logs(fields),
         "legacy_logs": _with(*legacy) + _pick(
@@ -580,6 +595,9 @@ join (select {_PART} as part, count(*) as n_rows from logs group by 1) u on p."p
         ),
         "filter_account": _over_jobs(("single_jobID", "Account_"), where="where Account_ = 'machinery'"),
         "daily": _with(*_TO_DAILY) + _pick("daily", ("UserX", "SubmitDate", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES),
+        "daily_by_cluster": by_cluster + _pick("daily", (
+            "Cluster", "UserX", "SubmitDate", *_SUMMARY_OTHERS,
+            f"{_r('carbonFootprint / sum(carbonFootprint) over (partition by Cluster, UserX)')} as share_carbonFootprint"), _SUMMARY_DOUBLES),
         "overall": _with(*_TO_OVERALL) + _pick("overall", ("UserX", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES, 3),
         "by_account": _with(*_TO_ENRICHED, by_account) + _pick("by_account", ("Account_", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES, 3),
         "by_partition": _with(*_TO_ENRICHED, by_partition) + _pick(
@@ -598,9 +616,19 @@ select scope, UserX, {_r('factor')} as memOverallocationFactorX, count(*) as n_j
   select 'user' as scope, UserX, {factor} as factor from jobs where UserX is not null
   union all select 'overall', null, {factor} from jobs)
 group by all""",
-        "mem_efficiency_hist": _with(*_TO_JOBS) + f"""
-select UserX, bin, count(*) as n_jobs, (bin - 1) * 5e0 as bin_from, bin * 5e0 as bin_to
-from (select UserX, {efficiency_bin} as bin from jobs where memOverallocationFactorX is not null) group by UserX, bin""",
+        "mem_efficiency_hist": hist,
+        "mem_efficiency_of_days": hist,
+        # Jobs by falling efficiency bin: the bin of the job whose rank is the quantile's, and its place in the bin.
+        "factor_quantiles": _with(*_TO_JOBS, f"""
+placed as (
+  select UserX, bin, row_number() over (partition by UserX order by bin desc) as r, count(*) over (partition by UserX) as n,
+    row_number() over (partition by UserX, bin order by single_jobID) as within, count(*) over (partition by UserX, bin) as m
+  from (select UserX, single_jobID, {efficiency_bin} as bin from jobs where memOverallocationFactorX is not null)
+)""") + f"""
+select UserX, q as quantile, n as n_jobs, {_r('100e0 / (bin * 5e0 - 5e0 * (ceil(q * n) - (bin_end - m) - 0.5e0) / m)')} as factor,
+  {_r('100e0 / (bin * 5e0)')} as factor_low, {_r('100e0 / nullif((bin - 1) * 5e0, 0)')} as factor_high
+from (select distinct UserX, bin, n, m, max(r) over (partition by UserX, bin) as bin_end from placed), (values (0.25e0), (0.5e0), (0.9e0), (1e0)) as t(q)
+where ceil(q * n) <= bin_end and ceil(q * n) > bin_end - m""",
         "daily_rates_long": _with(*_TO_DAILY) + f"""
 select UserX, SubmitDate, 'failure_rate' as variable, {_r('failure_rate')} as value from daily
 union all select UserX, SubmitDate, 'success_rate', {_r('success_rate')} from daily""",

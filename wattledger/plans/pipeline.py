@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import derive, distribution, enrich, filters, report, rollup, steps, summarise
-from ..params import ClusterParams
+from ..params import ClusterParams, Clusters
 from ..sources import sinks, states
+from ..sources.dimensions import lookup_keys
 
 # Step columns that jobs may be grouped by, besides the public ones.
 GROUPING_COLUMNS = ("single_jobID", "Account_")
@@ -57,35 +58,41 @@ class JobChoice:
 ALL_JOBS = JobChoice()
 
 
-def jobs_full(logs: DataFrame, params: ClusterParams, choice: JobChoice = ALL_JOBS) -> DataFrame:
-    """Finished jobs with every cleaned and derived column."""
+def jobs_full(logs: DataFrame, params: ClusterParams | Clusters, choice: JobChoice = ALL_JOBS) -> DataFrame:
+    """Finished jobs with every cleaned and derived column.
+
+    With the parameters of several clusters, a job is known by its cluster and its id.
+    """
     if choice.narrow:
         logs = filters.rows_of_jobs_naming(logs, choice.directory, choice.account)
     typed = steps.clean_steps(logs, params, choice.success_states)
     if choice.id_table is not None:
         typed = filters.with_ids_from(typed, choice.id_table, choice.id_column)
-    finished = rollup.finished_jobs(rollup.rollup_jobs(typed))
+    finished = rollup.finished_jobs(rollup.rollup_jobs(typed, lookup_keys(params)))
     jobs = derive.derive_jobs(finished, params, steps.has_gpu_counts(logs))
     return choose_jobs(jobs, choice)
 
 
-def add_slice(logs: DataFrame, params: ClusterParams, path: str, name: str, success_states: Sequence[str] = ()) -> None:
+def add_slice(logs: DataFrame, params: ClusterParams | Clusters, path: str, name: str, success_states: Sequence[str] = ()) -> None:
     """Roll up one slice of a log, such as a day's rows, and keep the state of its jobs under ``path``.
 
     Only this slice is read. Run again, for instance after a failure, it takes the place of what it wrote.
     """
     typed = steps.clean_steps(steps.with_lacks(logs), params, success_states)
-    states.write_slice(rollup.rollup_state(typed), path, name)
+    states.write_slice(rollup.rollup_state(typed, lookup_keys(params)), path, name)
 
 
-def jobs_of_slices(spark: SparkSession, path: str, params: ClusterParams, choice: JobChoice = ALL_JOBS, names: Sequence[str] | None = None) -> DataFrame:
+def jobs_of_slices(
+    spark: SparkSession, path: str, params: ClusterParams | Clusters, choice: JobChoice = ALL_JOBS, names: Sequence[str] | None = None
+) -> DataFrame:
     """``jobs_full`` from the slices kept under ``path``, all or the named ones, without the log.
 
     Rows of a job may be in any of them. Success states were decided when the slices
     were made, so ``choice`` does not change them.
     """
-    merged = rollup.merge_states(states.read_slices(spark, path, names))
-    jobs = derive.derive_jobs(rollup.finished_jobs(rollup.jobs_of_states(merged)), params)
+    keys = lookup_keys(params)
+    merged = rollup.merge_states(states.read_slices(spark, path, names), keys)
+    jobs = derive.derive_jobs(rollup.finished_jobs(rollup.jobs_of_states(merged, keys)), params)
     if choice.id_table is not None:
         jobs = filters.with_ids_from(jobs, choice.id_table, choice.id_column)
     return choose_jobs(jobs, choice)
@@ -103,23 +110,25 @@ def choose_jobs(jobs: DataFrame, choice: JobChoice) -> DataFrame:
 
 
 def jobs_table(
-    logs: DataFrame, params: ClusterParams, choice: JobChoice = ALL_JOBS, keep: Sequence[str] = ()
+    logs: DataFrame, params: ClusterParams | Clusters, choice: JobChoice = ALL_JOBS, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """The public job table, plus ``keep`` for other groupings."""
-    return derive.job_contract(jobs_full(logs, params, choice), tuple(keep))
+    """The public job table, plus ``keep`` for other groupings, and the cluster if there are several."""
+    further = [key for key in lookup_keys(params) if key not in keep]
+    return derive.job_contract(jobs_full(logs, params, choice), (*keep, *further))
 
 
 def enriched_jobs(
-    logs: DataFrame, params: ClusterParams, choice: JobChoice = ALL_JOBS, keep: Sequence[str] = ()
+    logs: DataFrame, params: ClusterParams | Clusters, choice: JobChoice = ALL_JOBS, keep: Sequence[str] = ()
 ) -> DataFrame:
     """Jobs with energy, carbon, cost and equivalents."""
     return enrich.enrich_jobs(jobs_table(logs, params, choice, keep), params)
 
 
-def daily_footprint(logs: DataFrame, params: ClusterParams, choice: JobChoice = ALL_JOBS) -> DataFrame:
-    """One row per user and submit day, with the day's share in the user's footprint."""
-    daily = summarise.daily_summary(enriched_jobs(logs, params, choice))
-    return summarise.with_share_within(daily, ["UserX"])
+def daily_footprint(logs: DataFrame, params: ClusterParams | Clusters, choice: JobChoice = ALL_JOBS) -> DataFrame:
+    """One row per user and submit day, with the day's share in the user's footprint; users are those of a cluster."""
+    by = [*lookup_keys(params), "UserX"]
+    daily = summarise.daily_summary(enriched_jobs(logs, params, choice), by)
+    return summarise.with_share_within(daily, by)
 
 
 def _derived_tables(daily: DataFrame, overall: DataFrame, params: ClusterParams, html: bool) -> dict[str, DataFrame]:
@@ -135,47 +144,68 @@ def _derived_tables(daily: DataFrame, overall: DataFrame, params: ClusterParams,
     }
 
 
+def _summaries(jobs: DataFrame) -> DataFrame:
+    """The days of a report, with the distribution of memory efficiency and the shares."""
+    return summarise.with_share_within(distribution.daily_with_bins(jobs), ["UserX"])
+
+
 def report_tables(jobs: DataFrame, params: ClusterParams, html: bool = False) -> dict[str, DataFrame]:
     """All result tables of a report from enriched jobs.
 
     The tables share their input; ``write_report`` computes what they share once.
     """
-    daily = summarise.with_share_within(summarise.daily_summary(jobs), ["UserX"])
+    daily = _summaries(jobs)
     # Each user's report is about that user alone, whose share is therefore 1.
     overall = summarise.with_share_within(summarise.overall_summary(daily), ["UserX"])
     return {
         "daily": daily,
         "overall": overall,
         "factor_values": distribution.factor_values(jobs),
-        "memory_efficiency": distribution.memory_efficiency_histogram(jobs),
+        "memory_efficiency": distribution.histogram_of_days(daily),
+        "factor_quantiles": distribution.factor_quantiles(daily),
         **_derived_tables(daily, overall, params, html),
     }
 
 
 def write_report(
-    jobs: DataFrame, params: ClusterParams, directory: str, html: bool = False, run: str | None = None
+    jobs: DataFrame, params: ClusterParams, directory: str, html: bool = False, run: str | None = None, resume: bool = False
 ) -> dict[str, str]:
     """Write every table of a report under a new directory of this run; returns table -> path.
 
-    Reads the job table three times: for the days, the factors and the histogram.
-    Hand in a stored one (see ``sources.sinks.write_table``). Everything else
-    comes from the days as written. Tables are in the order of their keys.
+    Reads the job table twice: for the days and for the list of factors. Hand in a
+    stored one (see ``sources.sinks.write_table``). Everything else comes from the
+    days as written. Tables are in the order of their keys. A manifest is written
+    last; ``sinks.read_run`` takes only runs that have one. With ``resume`` a run that
+    was interrupted goes on: tables that it finished are taken as they are, one that
+    it was writing is written anew.
     """
+    spark = jobs.sparkSession
     path = sinks.run_directory(directory, run)
+    done = sinks.finished_tables(spark, path) if resume else {}
     paths = {}
 
-    def write(name: str, df: DataFrame) -> DataFrame:
+    def write(name: str, df: DataFrame, sort: bool = True) -> DataFrame:
         paths[name] = f"{path}/{name}"
-        return sinks.write_sorted(df, paths[name])
-
-    daily = write("daily", summarise.with_share_within(summarise.daily_summary(jobs), ["UserX"]))
+        if name in done:
+            return spark.read.schema(df.schema).parquet(paths[name])
+        mode = "overwrite" if resume else "errorifexists"
+        if sort:
+            out = sinks.write_sorted(df, paths[name], mode=mode)
+        else:
+            sinks.write_table(df, paths[name], mode=mode)
+            out = spark.read.schema(df.schema).parquet(paths[name])
+        done[name] = sinks.record_table(out, path, name)
+        return out
+
+    daily = write("daily", _summaries(jobs))
     overall = write("overall", summarise.with_share_within(summarise.overall_summary(daily), ["UserX"]))
-    write("memory_efficiency", distribution.memory_efficiency_histogram(jobs))
+    write("memory_efficiency", distribution.histogram_of_days(daily))
+    write("factor_quantiles", distribution.factor_quantiles(daily))
     # As many rows as there are different factors, nearly one per job: not sorted.
-    paths["factor_values"] = f"{path}/factor_values"
-    sinks.write_table(distribution.factor_values(jobs), paths["factor_values"])
+    write("factor_values", distribution.factor_values(jobs), sort=False)
     for name, df in _derived_tables(daily, overall, params, html).items():
         write(name, df)
+    sinks.write_manifest(spark, path, done)
     return paths
 
 
