@@ -231,3 +231,28 @@ def test_slices_of_several_clusters(spark, tmp_path, params, make_log):
         pipeline.add_slice(both.filter(f"{LOG_SEQ} = {n}"), clusters, str(tmp_path / "s"), f"s{n}")
     got = pipeline.jobs_of_slices(spark, str(tmp_path / "s"), clusters).select("Cluster", "NeededMemX").collect()
     assert sorted(map(tuple, got)) == [("a", 6.0), ("b", 4.0)]
+
+
+# Buckets
+
+def test_roll_up_of_a_bucketed_log_needs_no_shuffle(spark, make_log, params):
+    import uuid
+
+    from wattledger.operators import steps
+    from wattledger.sources.logs import land_bucketed
+
+    rows = [row for j in range(40) for row in ({"JobID": f"{j}_1"}, step(f"{j}_1", MaxRSS=f"{j}M"))]
+    log, table = make_log(*rows, {"JobID": None}), f"landed_{uuid.uuid4().hex}"
+    land_bucketed(log.repartition(3), table, 4)
+    try:
+        stored = spark.table(table)
+        assert stored.rdd.getNumPartitions() == 4 and sorted(map(str, stored.select(log.columns).collect())) == sorted(map(str, log.collect()))
+        rolled = rollup.rollup_jobs(steps.clean_steps(stored, params))
+        assert "Exchange" not in plan(rolled)
+        want = rollup.rollup_jobs(steps.clean_steps(log, params))
+        assert sorted(map(str, rolled.collect())) == sorted(map(str, want.collect()))
+        assert pipeline.jobs_full(stored, params).count() == 41
+        with pytest.raises(ValueError, match="bucket"):
+            land_bucketed(log, f"{table}_0", 0)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")

@@ -65,3 +65,30 @@ def test_several_users_come_with_the_violations(make_log, params):
     assert not quality.violations(make_log({"JobID": "1"}), params, users=True).filter("rule = 'R12'").count()
     plan = quality.violations(log, params, users=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(single_jobID") == 1
+
+
+def test_quality_is_counted_while_jobs_are_written(spark, tmp_path, make_log, params):
+    from wattledger.plans import pipeline
+    from wattledger.sources.jobs import refused_jobs, trusted_jobs
+
+    logs = make_log(
+        {"JobID": "1"}, step(1, MaxRSS="3G"), {"JobID": "2", "ReqMem": "12X"}, {"JobID": "3", "UID": None}, {"JobID": "4", "State": "RUNNING"},
+        {"JobID": "5", "State": "RUNNING", "NCPUS": "x"}, {"JobID": "6", "Partition": "nope"}, {"JobID": "7", "State": "TIMEOUT"})
+    path = str(tmp_path / "jobs")
+    counts = pipeline.write_jobs_with_quality(logs, params, path, success_states=["TIMEOUT"])
+    by_rule = {r.rule: r.n_jobs for r in quality.violations_by_rule(quality.violations(logs, params, ["TIMEOUT"])).collect()}
+    assert counts.pop("n_jobs") == 7 and {r: n for r, n in counts.items() if n} == by_rule == {"R2": 1, "R5": 1, "R11": 1, "R14": 1}
+    good = trusted_jobs(spark, path)
+    want = pipeline.jobs_table(logs, params, pipeline.JobChoice(success_states=["TIMEOUT"]), keep=("single_jobID",)).filter("single_jobID IN (1, 3, 7)")
+    columns = [c for c in want.columns if not c.startswith("_")]
+    assert sorted(map(str, good.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+    assert {(r.single_jobID, r.broken_rules[0].rule) for r in refused_jobs(spark, path).collect()} == {("2", "R2"), ("5", "R14"), ("6", "R5")}
+    assert "PartitionFilters: [isnotnull(trusted" in good._jdf.queryExecution().executedPlan().toString()
+
+
+def test_findings_take_one_read_and_one_shuffle(spark, params):
+    from wattledger.schemas import LOG_SEQ, RAW_FIELDS
+
+    log = spark.range(1000).selectExpr(f"id AS {LOG_SEQ}", *[f"CAST(id % 3 AS STRING) AS `{f}`" for f in RAW_FIELDS])
+    text = quality.with_findings(log, params)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") == 1 and text.count("Range (0, 1000") == 1

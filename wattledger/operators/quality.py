@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
@@ -180,6 +180,38 @@ def _stopping(found: DataFrame) -> DataFrame:
     return found.filter(F.when(F.col("severity") == "error", F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
 
+# Rules that a job breaks, as a column of a job table, and whether one of them is an error.
+BROKEN, TRUSTED = "broken_rules", "trusted"
+
+
+def with_findings(logs: DataFrame, params: ClusterParams, custom_success: Sequence[str] = ()) -> DataFrame:
+    """Finished and unfinished jobs with what their rows say and every rule they break.
+
+    The roll-up to jobs and the findings on their rows come from one aggregation, so a
+    job table and its quality cost one read and one shuffle of the log. ``broken_rules``
+    holds (rule, severity, detail), at most one per rule; ``trusted`` is false if one of
+    them is an error.
+    """
+    findings = {f"_{rule}": text for rule, text in _row_rules(logs, params).items()}
+    typed = steps.clean_steps(logs, params, custom_success, keep=[f"{t} AS {c}" for c, t in findings.items()])
+    rolled = rollup.rollup_jobs(typed, further={c: f"min({c})" for c in findings})
+    jobs = derive.derive_jobs(rolled, params, steps.has_gpu_counts(logs))
+    rules = {rule[1:]: rule for rule in findings}
+    rules |= {rule: f"CASE WHEN StateX <> {P.STATE_UNFINISHED} THEN {text} END" for rule, text in _JOB_RULES.items()}
+    entries = [
+        f"CASE WHEN ({text}) IS NOT NULL THEN struct('{rule}' AS rule, '{RULES[rule]}' AS severity, {text} AS detail) END"
+        for rule, text in rules.items()
+    ]
+    found = jobs.selectExpr("*", f"array_compact(array({', '.join(entries)})) AS {BROKEN}").drop(*findings)
+    return found.selectExpr("*", f"NOT exists({BROKEN}, x -> x.severity = 'error') AS {TRUSTED}")
+
+
+def observed(jobs: DataFrame, observation: Observation) -> DataFrame:
+    """The same jobs; while they are written or counted, the number of jobs that break each rule is counted along."""
+    counts = [F.expr(f"count_if(exists({BROKEN}, x -> x.rule = '{rule}'))").alias(rule) for rule in RULES if rule != "R12"]
+    return jobs.observe(observation, F.count(F.lit(1)).alias("n_jobs"), *counts)
+
+
 def several_users(jobs: DataFrame) -> DataFrame:
     """Rule R12 over the whole set: one row when jobs of more than one user are present."""
     users = jobs.groupBy().agg(F.count_distinct("UserX").alias("n")).filter(F.col("n") > 1)

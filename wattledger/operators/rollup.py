@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,12 +51,14 @@ def partition_rows(steps: DataFrame) -> DataFrame:
     return steps.filter("PartitionX <> ''").select("single_jobID", F.col(LOG_SEQ).alias("position"), "PartitionX")
 
 
-def rollup_jobs(steps: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+def rollup_jobs(steps: DataFrame, within: Sequence[str] = (), further: Mapping[str, str] = MappingProxyType({})) -> DataFrame:
     """One row per ``single_jobID``, or per id ``within`` a cluster where each has ids of its own.
 
     The only shuffle of the raw rows. All aggregates have a bounded state and
     are combined on the map side, so a job that holds a large part of all rows
-    sends one row per task. Array elements are jobs of their own.
+    sends one row per task. Array elements are jobs of their own. ``further`` are more
+    aggregates of a fixed size, name -> expression. A log that is stored by job
+    (``sources.logs.land_bucketed``) is not shuffled at all.
     """
     aggregates = {
         **{c: f"max({c})" for c in _LARGEST},
@@ -63,6 +66,7 @@ def rollup_jobs(steps: DataFrame, within: Sequence[str] = ()) -> DataFrame:
         **{c: first_logged(c) for c in _FIRST},
         **partition_texts(),
         **{c: f"bool_and({c})" for c in (LACKS_ACCOUNT, LACKS_GPUS) if c in steps.columns},
+        **further,
     }
     return mixed_account(steps.groupBy(*within, "single_jobID").agg(*[F.expr(text).alias(c) for c, text in aggregates.items()]))
 
@@ -121,5 +125,9 @@ def jobs_of_states(states: DataFrame, within: Sequence[str] = ()) -> DataFrame:
 
 def finished_jobs(jobs: DataFrame) -> DataFrame:
     """Drop jobs with an unfinished step, count the caller's own success states as success."""
+    return recoded(jobs.filter(f"StateX <> {P.STATE_UNFINISHED}"))
+
+
+def recoded(jobs: DataFrame) -> DataFrame:
     state = f"CASE StateX WHEN {P.STATE_CUSTOM_SUCCESS} THEN {P.STATE_SUCCESS} ELSE StateX END"
-    return jobs.filter(f"StateX <> {P.STATE_UNFINISHED}").withColumn("StateX", F.expr(state))
+    return jobs.withColumn("StateX", F.expr(state))

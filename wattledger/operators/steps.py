@@ -37,7 +37,8 @@ def clean_steps(
         logged = P.duration_ms("CPUTime")
         core_wallclock = f"CASE WHEN {lacks(logs, 'CPUTime')} THEN {core_wallclock} ELSE {logged} END" if LOG_LACKS in has else logged
     fields = {
-        "single_jobID": P.job_id("JobID"),
+        # A log that is stored by job has the id already, and Spark knows that its rows lie together by it.
+        "single_jobID": "single_jobID" if "single_jobID" in has else P.job_id("JobID"),
         "ReqMemX": P.requested_memory_gb("ReqMem", nodes, cores),
         "UsedMem_": P.max_rss_gb("MaxRSS", params.default_unit_rss),
         "WallclockTimeX": wallclock,

@@ -7,6 +7,7 @@ return; the operators do not.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,8 @@ from ..params import CLUSTER, ClusterParams, Clusters, Constants, Partition
 from ..schemas import JOBS_SCHEMA, LOG_LACKS, LOG_SEQ, RAW_FIELDS
 from ..session import scratch_path, tune
 from ..sources.dimensions import if_small, partition_dim
-from ..sources.jobs import jobs_from_table
-from ..sources.logs import land_logs, parse_lines, read_landed, read_mixed_logs, to_line
+from ..sources.jobs import jobs_from_table, trusted_jobs
+from ..sources.logs import land_bucketed, land_logs, parse_lines, read_landed, read_mixed_logs, to_line
 from ..sources.sinks import stored
 from ..sources.states import read_slices
 from ..sources.orders_log import ORDERS_CLUSTER, orders_log
@@ -250,6 +251,13 @@ def job_rollup(i):
     return _rounded(i.rolled(), 9)
 
 
+@_query
+def rollup_bucketed(i):
+    table = f"landed_{uuid.uuid4().hex}"
+    land_bucketed(i.logs, table, 8)
+    return _rounded(rollup.rollup_jobs(steps.clean_steps(i.spark.table(table), i.params)), 9)
+
+
 @_query
 def rollup_incremental(i):
     # Three slices, whose rows belong to the same jobs, kept one by one and merged.
@@ -548,6 +556,22 @@ def dq_by_rule(i):
     return quality.violations_by_rule(quality.violations(dirty(i.logs), i.params))
 
 
+@_query
+def dq_observed(i):
+    # Counted while the job table is written; rules that nothing breaks have no row.
+    path = scratch_path(i.spark, "jobs-with-quality")
+    counts = pipeline.write_jobs_with_quality(dirty(i.logs), i.params, path)
+    rows = [f"struct('{rule}' AS rule, '{quality.RULES[rule]}' AS severity, {n}L AS n_jobs)" for rule, n in counts.items() if rule in quality.RULES]
+    return i.spark.range(1).selectExpr(f"inline(array({', '.join(rows)}))").filter("n_jobs > 0")
+
+
+@_query
+def jobs_trusted(i):
+    path = scratch_path(i.spark, "jobs-with-quality")
+    pipeline.write_jobs_with_quality(dirty(i.logs), i.params, path)
+    return _rounded(trusted_jobs(i.spark, path).select("single_jobID", *JOBS_SCHEMA.names))
+
+
 @_query
 def dq_jobs(i):
     # A table with some GPU time on CPU partitions and some types that are not the cluster's.

@@ -547,7 +547,13 @@ select {fields}, case g when 0 then '' when 1 then 'CPUTime,AllocTRES' else 'Acc
             "jobs", ("single_jobID", "SubmitDatetimeX", "WallclockTimeX", "TotalCPUtime2useX", "UserX"), ("UsedMem2_",), 9,
             "where SubmitDatetimeX >= timestamp '1996-03-01' and SubmitDatetimeX < timestamp '1997-07-01'",
         ),
-        "rollup_incremental": _with(_ORDERS, _steps(), _rolled()) + _pick("rolled", rolled_plain, ("ReqMemX", "UsedMem_"), 9),
+        **{name: _with(_ORDERS, _steps(), _rolled()) + _pick("rolled", rolled_plain, ("ReqMemX", "UsedMem_"), 9)
+           for name in ("rollup_incremental", "rollup_bucketed")},
+        "dq_observed": _with(*_violations(default_unit=True)) + """
+select rule, severity, count(*) as n_jobs from violations group by rule, severity""",
+        "jobs_trusted": _with(*_violations(default_unit=True)[:4], *_violations(default_unit=True)[4:], _jobs()) + _pick(
+            "jobs", ["single_jobID", *[c for c in _JOB_COLUMNS if c not in _JOB_DOUBLES]], _JOB_DOUBLES,
+            where="where single_jobID not in (select jobID from violations where severity = 'error' and jobID is not null)"),
         "daily_from_table": _with(*_TO_DAILY) + _pick("daily", ("UserX", "SubmitDate", *_SUMMARY_OTHERS), _SUMMARY_DOUBLES),
         "summary_sets": _with(*_TO_ENRICHED, *[_summary(f"s{n}", "enriched", keys) for n, keys in enumerate(sets.values())]) + "\n" + set_rows,
         "dq_jobs": _with(*_DIRTY_JOBS, """

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
-from ..operators import derive, distribution, enrich, filters, report, rollup, steps, summarise
+from ..functions import parsing as P
+from ..operators import derive, distribution, enrich, filters, quality, report, rollup, steps, summarise
 from ..params import ClusterParams, Clusters
 from ..sources import sinks, states
 from ..sources.dimensions import lookup_keys
@@ -73,6 +74,25 @@ def jobs_full(logs: DataFrame, params: ClusterParams | Clusters, choice: JobChoi
     return choose_jobs(jobs, choice)
 
 
+def write_jobs_with_quality(
+    logs: DataFrame, params: ClusterParams, path: str, success_states: Sequence[str] = ()
+) -> dict[str, int]:
+    """Write the job table of a log under ``path`` and count what is wrong with it on the way; returns rule -> jobs.
+
+    One read of the log, one shuffle and one write. Finished jobs that break no rule of
+    severity error go to ``path``/trusted=true, the others, with every rule they break,
+    to ``path``/trusted=false. Unfinished jobs are counted, since rules on rows cover
+    them, and not written unless they break a rule. ``sources.jobs.trusted_jobs`` reads
+    the first.
+    """
+    counted = Observation("quality")
+    jobs = quality.observed(quality.with_findings(logs, params, success_states), counted)
+    recoded = rollup.recoded(jobs).filter(f"StateX <> {P.STATE_UNFINISHED} OR NOT {quality.TRUSTED}")
+    contract = derive.job_contract(recoded, ("single_jobID", "Account_", "WorkingDir_", quality.BROKEN, quality.TRUSTED))
+    contract.write.mode("errorifexists").partitionBy(quality.TRUSTED).parquet(path)
+    return counted.get
+
+
 def add_slice(logs: DataFrame, params: ClusterParams | Clusters, path: str, name: str, success_states: Sequence[str] = ()) -> None:
     """Roll up one slice of a log, such as a day's rows, and keep the state of its jobs under ``path``.
 

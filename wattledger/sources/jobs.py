@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..schemas import JOBS_SCHEMA, conform
 
@@ -15,3 +15,13 @@ def jobs_from_table(table: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     may come from any source Spark reads.
     """
     return conform(table, JOBS_SCHEMA, "the job table", keep)
+
+
+def trusted_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """Jobs without an error from a table that ``plans.pipeline.write_jobs_with_quality`` wrote; only their files are read."""
+    return spark.read.parquet(path).filter("CAST(trusted AS BOOLEAN)").drop("trusted", "broken_rules")
+
+
+def refused_jobs(spark: SparkSession, path: str) -> DataFrame:
+    """The others, with the rules they break."""
+    return spark.read.parquet(path).filter("NOT CAST(trusted AS BOOLEAN)").drop("trusted")

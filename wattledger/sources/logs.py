@@ -210,6 +210,26 @@ def day_spans(landed: DataFrame) -> DataFrame:
 _SPANS = f"job string, first_day date, last_day date, {SUBMIT_DAY} date"
 
 
+# Column that a bucketed log is dealt out by.
+JOB = "single_jobID"
+
+
+def land_bucketed(logs: DataFrame, table: str, buckets: int) -> None:
+    """Keep a copy of the log as a table in ``buckets`` buckets by job, each sorted by job and position.
+
+    The log is shuffled once, here. Rows of a job lie in one file, so a roll-up of the
+    table needs no shuffle, however often it is made. A job that holds a large part of
+    all rows makes one bucket as much larger; ``land_logs`` is for such logs. The table
+    must not exist yet. Rows of several clusters share a bucket if their job ids agree.
+    """
+    if buckets < 1:
+        raise ValueError("a table needs at least one bucket")
+    keyed = logs.withColumn(JOB, F.expr(job_id("JobID")))
+    # Dealt out as the buckets are, so every task writes one file per bucket it holds.
+    dealt = keyed.repartition(buckets, JOB)
+    dealt.write.bucketBy(buckets, JOB).sortBy(JOB).format("parquet").saveAsTable(table)
+
+
 def submit_day() -> Column:
     """Day of the raw Submit text, NULL when the text is not readable."""
     return F.expr(f"to_date({submit_timestamp('Submit')})")
