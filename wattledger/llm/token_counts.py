@@ -35,7 +35,7 @@ UNKNOWN_PENALTY = 10.0
 ZIPF_SHIFT = 2.7
 # A worker forgets its words when it holds this many; results do not depend on it.
 CACHE_WORDS = 3_000_000
-_GROUP_BYTES = 8 << 20
+_GROUP_BYTES = 1 << 20
 _IS_SPACE = np.arange(256) == 0x20
 _MARK_BYTES = MARK.encode()
 

@@ -20,7 +20,7 @@ from . import textbytes as tb
 
 # A worker forgets its pieces when it holds this many (about 60 bytes each); results do not depend on it.
 CACHE_PIECES = 2_000_000
-_GROUP_BYTES = 8 << 20
+_GROUP_BYTES = 1 << 20
 # A word is cut off from such a mark next to it: both patterns below end a run of letters there, and begin one.
 _MARK = np.isin(np.arange(256), np.frombuffer(b".,;:!?|", np.uint8))
 _LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
