@@ -30,13 +30,16 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .common import bit_filter, in_filter, stored, table
-from .components import components
+from .components import closer, components
 
 # Buckets for the frequencies of n-grams: about one for 128 n-grams of the corpus, between these powers of two. Tasks get
 # a bit for each. Frequent n-grams come last in the global order; any order gives the same links.
 LEAST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 27
-# A bucket is frequent with this many times the mean, and at least this many, n-grams.
-FREQUENT_TIMES, FREQUENT_LEAST = 2, 48
+# A bucket is frequent with so many standard deviations more n-grams than the median bucket, as if n-grams fell into
+# buckets at random, and with at least this many.
+FREQUENT_DEVIATIONS, FREQUENT_LEAST = 4, 32
+# Differences from a centre that exceed the allowed one by about this much more or less are treated alike.
+EXCESS_BAND = 8
 # Lists of sets of about one size with more members than this are compared with a second centre.
 SECOND_CENTRE = 16
 _SET_FILTER_BITS = 1 << 24
@@ -91,6 +94,12 @@ def _held(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return y[at] == x
 
 
+def _in_component(rows: DataFrame, joined: DataFrame, column: str) -> DataFrame:
+    """Rows with the least class that ``joined`` links a class to, or itself; what has one of these is connected."""
+    named = joined.groupBy(F.col("u").alias(column)).agg(F.min("v").alias("component"))
+    return rows.join(named, column, "left").withColumn("component", F.coalesce("component", column))
+
+
 class Join:
     """Documents of (doc_id, text), n-grams of k words, and the least similarity as an exact fraction."""
 
@@ -131,9 +140,10 @@ class Join:
                 part = there[at:at + (1 << 18)]
                 yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(n[part])], ["bucket", "n"])
 
-        counts = self.documents.select("text").mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n"))
-        least = max(FREQUENT_LEAST, FREQUENT_TIMES * total / buckets)
-        # Less than 1 / FREQUENT_TIMES of the buckets.
+        counts = stored(self.documents.select("text").mapInArrow(count, "bucket int, n int").groupBy("bucket").agg(F.sum("n").alias("n")), "buckets")
+        # The mean would grow with a few very frequent n-grams, and then hide others.
+        median = counts.agg(F.percentile_approx("n", 0.5)).first()[0] or 0
+        least = max(FREQUENT_LEAST, median + FREQUENT_DEVIATIONS * math.sqrt(median))
         return bit_filter(counts.filter(F.col("n") > least).select(F.col("bucket").cast("bigint")), "bucket", buckets)
 
     def index(self, signatures: DataFrame) -> DataFrame:
@@ -288,14 +298,17 @@ class Join:
         linked = first.filter("linked")
         cluster = stored(linked.groupBy(F.col("b").alias("class")).agg(
             F.min_by("a", F.struct("distance", "a")).alias("centre"), F.min("distance").alias("distance")), "clusters")
+        # Only connection is asked for: what the first links are seen to connect, in one round, need not meet again.
+        joined = closer(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
         member = rows.join(cluster, "class", "left").select(
             "gram", "pos", "near", "least_n", "most_n", F.coalesce("centre", "class").alias("centre"))
         grouped = member.groupBy("gram", "centre").agg(
             F.min("pos").alias("pos"), F.max("near").alias("near"), F.min("least_n").alias("least_n"), F.max("most_n").alias("most_n"))
-        several = grouped.groupBy("gram").agg(F.count("centre").alias("size")).filter("size > 1").select("gram")
+        grouped = _in_component(grouped, joined, "centre")
+        several = grouped.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
         open_lists = stored(grouped.join(several, "gram"), "open-lists")
         crossing = open_lists.alias("x").join(open_lists.alias("y"), "gram").filter(
-            (F.col("x.centre") < F.col("y.centre")) & self._may_be_similar("x", "y"))
+            (F.col("x.component") != F.col("y.component")) & (F.col("x.centre") < F.col("y.centre")) & self._may_be_similar("x", "y"))
         # Centres farther apart than their members can bridge are out.
         reach = F.lit(1 - float(self.least) + 1e-9)
         pairs = self.sketched(crossing.select(F.col("x.centre").alias("a"), F.col("y.centre").alias("b")), sketches, "crossing")
@@ -307,10 +320,13 @@ class Join:
         done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "distance", "linked").distinct()
         second = self.compared(pairs.join(done, ["a", "b"], "left_anti"), signatures, "centres")
         known = second.unionByName(pairs.join(done, ["a", "b"]).select("a", "b", "distance", "linked"))
-        edges = linked.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-            second.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-        opened = self._opened(known.filter("NOT linked"), cluster, signatures)
-        return edges.unionByName(opened)
+        # The same for clusters, by all links so far.
+        joined = closer(joined.unionByName(second.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))))
+        apart = known.filter("NOT linked")
+        for side in ("a", "b"):
+            apart = _in_component(apart, joined, side).withColumnRenamed("component", f"component_{side}")
+        opened = self._opened(apart.filter("component_a <> component_b"), cluster, signatures)
+        return joined.unionByName(opened)
 
     def _opened(self, centres: DataFrame, cluster: DataFrame, signatures: DataFrame) -> DataFrame:
         """Links between members of clusters whose centres are not similar but near enough that members can be.
@@ -336,17 +352,28 @@ class Join:
         both = mine.unionByName(others.withColumn("inside", F.lit(False)))
         delta = self.differences(both, signatures, "deltas").join(both, ["a", "b"])
         direct = delta.filter("NOT inside AND linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-        # Similar sets of n and m differ in at most (n + m) * share.
+        # Similar sets of n and m differ in at most (n + m) * share, so of what differs from a they have at least half of
+        # what both have in excess in common. Rows of about one excess make a band; how much must be common is known by
+        # the two bands of a pair, and the rest of a difference, rarest first, is long enough for them to meet in.
         p, q = self.least.numerator, self.least.denominator
         excess = F.size("delta") - F.col("n") * ((q - p) / (p + q))
-        rest = delta.filter("inside OR NOT linked").select("a", "b", "inside", "delta", excess.alias("excess"))
-        lowest = rest.groupBy("a").agg(F.min(F.when(F.col("inside"), F.col("excess"))).alias("low_in"), F.min(F.when(~F.col("inside"), F.col("excess"))).alias("low_out"))
-        other = F.when(F.col("inside"), F.col("low_out")).otherwise(F.col("low_in"))
-        common = F.greatest(F.lit(1), F.ceil((F.col("excess") + other) / 2 - 1e-6).cast("int"))
-        part = rest.join(lowest, "a").select("a", "b", "inside", F.explode(
-            F.slice("delta", F.lit(1), F.greatest(F.size("delta") - common + 1, F.lit(0)))).alias("gram"))
-        pairs = part.filter("inside").alias("y").join(part.filter("NOT inside").alias("z"), ["a", "gram"]).select(
-            F.col("y.b").alias("a"), F.col("z.b").alias("b")).filter("a <> b")
+        rest = stored(delta.filter("inside OR NOT linked").select(
+            "a", "b", "inside", "delta", excess.alias("excess"), F.floor(excess / EXCESS_BAND).alias("band")), "differences")
+        # One order for all that meet at a: by how many of the differences hold an n-gram.
+        flat = rest.select("a", "b", "inside", F.explode("delta").alias("gram"))
+        held = flat.groupBy("a", "gram").agg(F.count("b").alias("times"))
+        ordered = flat.join(held, ["a", "gram"]).groupBy("a", "b", "inside").agg(
+            F.sort_array(F.collect_list(F.struct("times", "gram"))).alias("ordered"))
+        bands = stored(rest.groupBy("a", "inside", "band").agg(F.min("excess").alias("lowest")), "bands")
+        met = bands.select("a", (~F.col("inside")).alias("inside"), F.col("band").alias("other_band"), F.col("lowest").alias("other_lowest"))
+        own = bands.select("a", "inside", "band", F.col("lowest").alias("own_lowest"))
+        common = F.greatest(F.lit(1), F.ceil((F.col("own_lowest") + F.col("other_lowest")) / 2 - 1e-6).cast("int"))
+        size = F.size("ordered") - common + 1
+        part = rest.drop("delta").join(ordered, ["a", "b", "inside"]).join(own, ["a", "inside", "band"]).join(met, ["a", "inside"]).filter(
+            size > 0).select("a", "b", "inside", "band", "other_band", F.explode(F.slice("ordered", F.lit(1), size)).alias("g"))
+        inner = part.filter("inside").select("a", F.col("b").alias("y"), F.col("band").alias("i"), F.col("other_band").alias("j"), "g.gram")
+        outer = part.filter("NOT inside").select("a", F.col("b").alias("z"), F.col("band").alias("j"), F.col("other_band").alias("i"), "g.gram")
+        pairs = inner.join(outer, ["a", "gram", "i", "j"]).select(F.col("y").alias("a"), F.col("z").alias("b")).filter("a <> b")
         return direct.unionByName(self.compared(pairs, signatures, "members").filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
