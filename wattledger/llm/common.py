@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,13 +11,29 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
+# Bytes of rows that a Python worker gets at a time, beside Spark's bound on their number; one longer row is a batch of
+# its own. Workers and the JVM hold a batch each, so this, not the length of texts, bounds their memory.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Set the bound above for the session, unless it has a smaller one. Results do not depend on it."""
+    now = spark.conf.get(_BATCH_SETTING, None)
+    size = re.fullmatch(r"(\d+)b?", (now or "").lower())
+    if size is None or not 0 < int(size[1]) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write a DataFrame to the folder all executors share and read it back: it is computed once, its lineage ends here."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = scratch_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
