@@ -57,9 +57,9 @@ def bit_filter(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """
     bit = F.col(column).bitwiseAND(bits - 1)
     words = df.groupBy(F.shiftright(bit, 6).alias("word")).agg(
-        F.bit_or(F.expr(f"shiftleft(1L, cast((`{column}` & {bits - 1}) & 63 as int))")).alias("bits")).toPandas()
+        F.bit_or(F.expr(f"shiftleft(1L, cast((`{column}` & {bits - 1}) & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
     return out.view(np.uint8)
 
 

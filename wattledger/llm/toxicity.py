@@ -91,9 +91,9 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 def _as_array(counts: DataFrame) -> np.ndarray:
     """Counts by bucket on the driver; bounded by the number of buckets."""
-    rows = counts.toPandas()
+    rows = counts.toArrow()
     out = np.zeros(_N_BUCKETS)
-    out[rows["bucket"].to_numpy(np.int64)] = rows["n"].to_numpy()
+    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return out
 
 
@@ -176,8 +176,9 @@ def score_histogram(texts: DataFrame, odds: np.ndarray) -> tuple[np.ndarray, np.
                 step, n = np.unique(np.rint(_scored(odds, data, offsets)[1] * 100).astype(np.int64), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n, pa.int64())], ["step", "n"])
 
-    rows = texts.select("text").mapInArrow(count, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).toPandas()
-    return rows["step"].to_numpy(float) / 100, rows["n"].to_numpy(float) / max(rows["n"].sum(), 1)
+    rows = texts.select("text").mapInArrow(count, "step bigint, n bigint").groupBy("step").agg(F.sum("n").alias("n")).toArrow()
+    step, n = rows["step"].to_numpy(), rows["n"].to_numpy()
+    return step / 100, n / max(n.sum(), 1)
 
 
 def _rate(score: np.ndarray, share: np.ndarray) -> float:
@@ -229,8 +230,8 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     toxic, other = (_as_array(count_words(sample.filter(F.col("toxic") == t))) for t in (1, 0))
     odds = log_odds(toxic, other, corpus)
     rate = _rate(*score_histogram(sample.filter("toxic = 0"), odds))
-    seen = sample.select("toxic", "weight", _best_udf(odds)("text").alias("b")).select("toxic", "weight", "b.*").toPandas()
-    best, n, y, weight = (seen[c].to_numpy(float) for c in ("best", "n_words", "toxic", "weight"))
+    seen = sample.select("toxic", "weight", _best_udf(odds)("text").alias("b")).select("toxic", "weight", "b.*").toArrow()
+    best, n, y, weight = (seen[c].to_numpy().astype(float) for c in ("best", "n_words", "toxic", "weight"))
     clean = y == 0
     # Maximum likelihood of K given the rate, where a clean text in which nothing scores is one whose best is at most 0.
     expected = (n[clean] * np.exp(-rate * best[clean])).sum()

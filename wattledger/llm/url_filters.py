@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 
 # Kinds of entries, from general to specific.
 KINDS = ("domain", "host", "prefix", "url")
@@ -75,7 +75,8 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     entry. Rows with one id are judged on their own; repeated rows stay repeated.
     """
     captures = captures.select("id", "url", "fetched")
-    active = keys_of(parsed(captures.distinct())).join(intervals(entries), ["kind", "key"]).filter("since <= fetched AND fetched < until")
+    # Stored, so that both sides of the join are plain shuffles, which Spark can split where one key has many captures.
+    active = keys_of(parsed(captures.distinct())).join(stored(intervals(entries), "intervals"), ["kind", "key"]).filter("since <= fetched AND fetched < until")
     order = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     # One row per capture and task before the shuffle.
     best = active.groupBy("id", "url", "fetched").agg(
