@@ -1,5 +1,6 @@
 """Toxic passages and languages: parts against brute force, the whole by held-out accuracy."""
 
+import math
 import random
 from collections import Counter
 
@@ -55,6 +56,27 @@ def test_best_segment_of_each_row(rows):
     assert toxicity.best_segments(tb.Words(empty, empty, row, empty, first), score).tolist() == pytest.approx([brute_best(r) for r in rows])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(SCORES, max_size=6), st.sampled_from([0.002, 0.3]))
+def test_evidence_of_all_passages(rows, scale):
+    rows = [[v + 0.001 * (i + 1) ** 1.5 * (1 if v > 0 else -1) for i, v in enumerate(r)] for r in rows]
+    model = toxicity.Model(np.zeros(1, np.float32), 0.7, scale, (0.0, 1.0))
+    first = np.cumsum([0, *map(len, rows)])
+    empty = np.zeros(0, np.int64)
+    found = tb.Words(empty, empty, np.repeat(np.arange(len(rows)), [len(r) for r in rows]), empty, first)
+    evidence, passages = toxicity.passages_of(model, found, np.array([x for r in rows for x in r], float))
+    for r, values in enumerate(rows):
+        level = math.log(scale * max(len(values), 1))
+        above = [(a, b, s) for a, b, s in brute_segments(values) if 0.7 * s > level]
+        assert [(a, b) for a, b, _ in passages[r]] == [(a, b) for a, b, _ in above]
+        best, total = 0.0, 0.0
+        for n, x in enumerate(sorted((0.7 * s - level for *_, s in above), reverse=True), 1):
+            total += x
+            chance = math.exp(-total) * total ** (n - 1) / math.factorial(n) / math.factorial(n - 1) * 2 ** (n - 1)
+            best = max(best, -math.log(chance))
+        assert evidence[r] == pytest.approx(best, abs=1e-9)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.none() | st.text(alphabet="aB é.\n☃", max_size=20), max_size=6))
 def test_words_of_any_text(texts):
@@ -142,6 +164,15 @@ def test_query_of_toxicity(spark):
     assert got.count() == docs == got.filter("score BETWEEN 0 AND 1 AND predicted = cast(score >= 0.5 AS int)").count()
 
 
+def test_toxic_documents_of_the_table(spark):
+    """Held-out rows: at least 80 of 97 toxic ones are found, with at most 9 clean ones among them."""
+    sf_dir = "/root/testdata/sf0.1"
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    held = toxicity.query(spark, sf_dir).filter("held_out").join(marks, "doc_id").collect()
+    found = Counter((r.toxic, r.predicted) for r in held)
+    assert found[1, 1] >= 80 and found[0, 1] <= 9 and found[1, 1] + found[1, 0] == 97
+
+
 def test_labels_and_ids_are_no_input(spark):
     rows, labels = toxic_corpus(3, 200)
     docs, marks = helpers.documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")

@@ -6,8 +6,10 @@ standard errors, less a small drift, so that ordinary text loses. Rare forms of
 stem share their first bytes: of the log-odds of a word and of its prefixes the
 strongest counts. A linear scan finds all maximal scoring segments of a text. The best score of a clean text of
 n words follows an extreme-value distribution, P(S > x) = 1 - exp(-K n e^(-lambda x)),
-which turns scores into significance whatever the length of a text; the
-probability of a label is a logistic curve over that.
+which turns scores into significance whatever the length of a text. All passages of a text
+count: the sum of its r best normalised scores has an extreme-value law of its own, and the r with
+the strongest evidence stands. The probability of a label is a logistic curve over that. The law's
+parameters and the curve come from labelled rows that the log-odds they are seen with were not learned from.
 
 Words and prefixes are hashed to 2^BUCKET_BITS buckets each, which bounds the model.
 """
@@ -33,6 +35,7 @@ PRIOR_WORDS = 20_000.0  # weight of the prior, in words, besides half a word for
 CERTAINTY = 2.5  # standard errors that a log-odds is shrunk by
 DRIFT = 0.08  # what every word loses
 SIGNIFICANCE = 0.01  # of a passage
+FOLDS = 3  # parts of the labelled texts: each is scored by the log-odds of the others
 _N_BUCKETS = (1 + len(PREFIXES)) << BUCKET_BITS
 
 
@@ -45,12 +48,11 @@ class Model:
     scale: float
     curve: tuple[float, float]
 
-    def log_evalue(self, best: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        """log of the number of segments that score as high in clean text of this length; 0 without any."""
-        return np.where(best > 0, np.log(self.scale * np.maximum(n_words, 1)) - self.rate * best, 0.0)
+    def expected(self, n_words: np.ndarray) -> np.ndarray:
+        """Normalised score that one segment of clean text of this length exceeds: log(K n)."""
+        return np.log(self.scale * np.maximum(n_words, 1))
 
-    def probability(self, best: np.ndarray, n_words: np.ndarray) -> np.ndarray:
-        evidence = -np.minimum(self.log_evalue(best, n_words), 0.0)
+    def probability(self, evidence: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.curve[0] + self.curve[1] * np.log1p(evidence), -30, 30)))
 
 
@@ -153,6 +155,30 @@ def segments(heads: np.ndarray, total: np.ndarray, end: int) -> list[tuple[int,
     return [(int(a), int(b), float(up - low)) for a, b, low, up, _ in out]
 
 
+def sum_evidence(values: np.ndarray) -> float:
+    """-log of the probability that clean text has passages like these, given as normalised scores above 0.
+
+    By chance the r highest sum to x with a probability of about e^-x x^(r-1) / (r! (r-1)!). The r with the least one
+    counts; since the result chooses it, each passage after the first has to be twice as unlikely.
+    """
+    total = np.cumsum(np.sort(values)[::-1])
+    r = np.arange(1, len(total) + 1)
+    ways = np.cumsum(np.log(r))
+    return max(0.0, float((total - (r - 1) * np.log(2 * total) + 2 * ways - np.log(r)).max(initial=0.0)))
+
+
+def passages_of(model: Model, found: tb.Words, score: np.ndarray) -> tuple[np.ndarray, list[list[tuple[int, int, float]]]]:
+    """By row, the evidence of all its passages that clean text has less than once, and those passages in order."""
+    best, expected = best_segments(found, score), model.expected(np.diff(found.first))
+    evidence, passages = np.zeros(len(best)), [[] for _ in best]
+    for r in np.flatnonzero((best > 0) & (model.rate * best > expected)):
+        a, b = found.first[r], found.first[r + 1]
+        heads, total = _run_sums(score[a:b], found.row[a:b])
+        passages[r] = [s for s in segments(heads, total, b - a) if model.rate * s[2] > expected[r]]
+        evidence[r] = sum_evidence(model.rate * np.array([s[2] for s in passages[r]]) - expected[r])
+    return evidence, passages
+
+
 def log_odds(toxic: np.ndarray, other: np.ndarray, corpus: np.ndarray) -> np.ndarray:
     """Shrunk log-odds by bucket, 0 where the labelled texts say too little or a class has none."""
     out = np.zeros(len(corpus), np.float32)
@@ -225,20 +251,29 @@ def train(documents: DataFrame, labels: DataFrame) -> Model:
     """Learn from (doc_id, text) and (doc_id, toxic); word shares come from all documents, labels from a bounded sample."""
     corpus = _as_array(count_words(documents))
     # At most 2 * TRAIN_PER_CLASS short rows.
-    picked = F.broadcast(training_labels(labels))
-    sample = stored(documents.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic", "weight"), "toxic-train")
-    toxic, other = (_as_array(count_words(sample.filter(F.col("toxic") == t))) for t in (1, 0))
-    odds = log_odds(toxic, other, corpus)
-    rate = _rate(*score_histogram(sample.filter("toxic = 0"), odds))
-    seen = sample.select("toxic", "weight", _best_udf(odds)("text").alias("b")).select("toxic", "weight", "b.*").toArrow()
-    best, n, y, weight = (seen[c].to_numpy().astype(float) for c in ("best", "n_words", "toxic", "weight"))
-    clean = y == 0
+    picked = F.broadcast(training_labels(labels).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS))))
+    sample = stored(documents.select("doc_id", "text").join(picked, "doc_id").select("text", "toxic", "weight", "fold"), "toxic-train")
+    folds = [sample.filter(F.col("fold") == f) for f in range(FOLDS)]
+    counts = [[_as_array(count_words(rows.filter(F.col("toxic") == t))) for t in (1, 0)] for rows in folds]
+    toxic, other = (sum(c[t] for c in counts) for t in (0, 1))
+    parts, seen = [], []
+    for rows, (a, b) in zip(folds, counts, strict=True):
+        parts.append(_calibrated(rows, log_odds(toxic - a, other - b, corpus)))
+        seen.append(rows.select("toxic", "weight", _evidence_udf(parts[-1])("text").alias("evidence")).toArrow())
+    evidence, y, weight = (np.concatenate([rows[c].to_numpy().astype(float) for rows in seen]) for c in ("evidence", "toxic", "weight"))
+    rate, scale = (float(np.exp(np.mean([np.log(getattr(m, name)) for m in parts]))) for name in ("rate", "scale"))
+    return Model(log_odds(toxic, other, corpus), rate, scale, _fit_curve(np.log1p(evidence), y, weight))
+
+
+def _calibrated(rows: DataFrame, odds: np.ndarray) -> Model:
+    """The extreme-value law of these log-odds in the clean ones of rows (text, toxic) that they were not learned from."""
+    clean = rows.filter("toxic = 0")
+    rate = _rate(*score_histogram(clean, odds))
+    found = clean.select(_best_udf(odds)("text").alias("b")).select("b.*").toArrow()
+    best, n = (found[c].to_numpy().astype(float) for c in ("best", "n_words"))
     # Maximum likelihood of K given the rate, where a clean text in which nothing scores is one whose best is at most 0.
-    expected = (n[clean] * np.exp(-rate * best[clean])).sum()
-    scale = ((best[clean] > 0).sum() + 0.5) / expected if expected > 0 else 1.0
-    model = Model(odds, rate, scale, (0.0, 1.0))
-    evidence = np.log1p(-np.minimum(model.log_evalue(best, n), 0.0))
-    return Model(odds, rate, scale, _fit_curve(evidence, y, weight))
+    expected = (n * np.exp(-rate * best)).sum()
+    return Model(odds, rate, ((best > 0).sum() + 0.5) / expected if expected > 0 else 1.0, (0.0, 1.0))
 
 
 def _best_udf(odds: np.ndarray):
@@ -254,6 +289,15 @@ def _best_udf(odds: np.ndarray):
     return best
 
 
+def _evidence_udf(model: Model):
+    @F.arrow_udf("double")
+    def evidence(text: pa.Array) -> pa.Array:
+        parts = [passages_of(model, *_scored(model.odds, data, offsets))[0] for _, data, offsets in tb.slices(text)]
+        return pa.array(np.concatenate([np.zeros(0), *parts]))
+
+    return evidence
+
+
 def score_udf(model: Model):
     """text -> struct(score, n_words, n_passages, passages): passages are (first word, word after the last, score).
 
@@ -264,19 +308,17 @@ def score_udf(model: Model):
         scores, words, bounds, firsts, untils, values = [np.zeros(0)], [np.zeros(0, np.int64)], [0], [], [], []
         for _, data, offsets in tb.slices(text):
             found, score = _scored(model.odds, data, offsets)
-            best, n = best_segments(found, score), np.diff(found.first)
-            scores.append(model.probability(best, n))
+            n = np.diff(found.first)
+            evidence, above = passages_of(model, found, score)
+            scores.append(model.probability(evidence))
             words.append(n)
-            needed = (np.log(model.scale * np.maximum(n, 1)) - np.log(SIGNIFICANCE)) / model.rate
-            for r in range(len(n)):
-                if best[r] >= needed[r] and best[r] > 0:
-                    a, b = found.first[r], found.first[r + 1]
-                    heads, total = _run_sums(score[a:b], found.row[a:b])
-                    for first, until, value in segments(heads, total, b - a):
-                        if value >= needed[r]:
-                            firsts.append(first)
-                            untils.append(until)
-                            values.append(value)
+            needed = (model.expected(n) - np.log(SIGNIFICANCE)) / model.rate
+            for r, row in enumerate(above):
+                for first, until, value in row:
+                    if value >= needed[r]:
+                        firsts.append(first)
+                        untils.append(until)
+                        values.append(value)
                 bounds.append(len(firsts))
         passages = pa.StructArray.from_arrays(
             [pa.array(firsts, pa.int32()), pa.array(untils, pa.int32()), pa.array(values, pa.float64())], ["first", "until", "score"])
