@@ -9,7 +9,7 @@ import helpers
 import numpy as np
 import pytest
 
-from wattledger.llm import forest, setjoin, winnow
+from wattledger.llm import forest, setjoin, trees, winnow
 from wattledger.llm.components import components
 
 
@@ -112,9 +112,24 @@ def test_forest_against_all_pairs(spark, monkeypatch):
     got = {r.vec_id: r for r in forest.near_duplicates(vectors(spark, rows), 0.93).collect()}
     assert got.keys() == ids
     n = Counter(a for a, _ in links)
-    found = sum(r.n_links for r in got.values())
-    assert all(r.n_links <= n[i] for i, r in got.items()) and found >= 0.98 * len(links)
-    assert sum(got[i].component_id == component[i] for i in ids) >= 0.98 * len(ids)
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got.values()} == {(i, n[i], component[i], component[i] == i) for i in ids}
+    # The trees alone: no link twice, nearly all of them.
+    alone = forest.near_duplicates(vectors(spark, rows), 0.93, complete=False).collect()
+    assert all(r.n_links <= n[r.vec_id] for r in alone) and sum(r.n_links for r in alone) >= 0.95 * len(links)
+
+
+def test_trees_have_one_home_each(spark, monkeypatch):
+    monkeypatch.setattr(trees, "PART", 500)
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in np.float32(rng.standard_normal(24))], int(i >= 3000), 0, "x") for i in range(3030)]
+    keyed = vectors(spark, rows).selectExpr("vec_id", "embedding", "label", "xxhash64(embedding) AS h1", "hash(embedding) AS h2")
+    found = trees.leaves(forest.classes_of(keyed), 0.93, 40, 1).toPandas()
+    large, small = found[found["class"] < 3000], found[found["class"] >= 3000]
+    assert small["home"].all() and set(zip(small["tree"], small["node"], strict=True)) == {(0, 1)} and len(small) == 30
+    assert large[large["home"]].groupby(["class", "tree"]).size().tolist() == [1] * (3000 * trees.TREES)
+    assert not large.duplicated(["class", "tree", "node"]).any()
+    # More than one round of splits, into leaves near the size asked for.
+    assert large["node"].max() >= 2 << trees.STEP and large.groupby(["tree", "node"]).size().median() <= 60
 
 
 def one_cluster(n, groups=1, dim=64):

@@ -1,4 +1,8 @@
-"""Near-duplicate vectors by cells that keep every linked pair together.
+"""Near-duplicate vectors by a forest of random projection trees, and by cells that complete it.
+
+The vectors of a label go down the trees of ``trees``; each meets all others of its leaves, and what a tree before
+has counted is not counted again. A forest finds a link with high probability only, so vectors that trees have taken
+apart also meet in cells that keep every linked pair together, which adds the links that no leaf held.
 
 A large cell is dealt out to pivots: a vector is at home with its nearest pivot
 and visits every other one whose share may hold a vector linked to it, which is
@@ -20,10 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import trees
 from .common import stored, table
 from .components import components
+from .trees import vectors as _vectors
 
-# Classes of a cell that is not dealt out further.
+# Classes of a leaf or cell that is not split or dealt out further.
 LEAF = 2048
 PIVOTS = 64  # of a cell, at most
 SAMPLE = 512  # vectors of a cell, about, that pivots are chosen from
@@ -36,11 +42,8 @@ PART = 20_000  # rows of a cell that one task deals out, about
 TILE_VALUES = 1 << 21
 SEED = 20_240_229
 _BLOCK = (512, 4096)  # rows and columns of a tile whose products are made at once
-
-
-def _unit(raw: np.ndarray) -> np.ndarray:
-    raw = raw.astype(np.float64)
-    return raw / np.sqrt((raw * raw).sum(1, keepdims=True))
+# Numbers of trees are below this one, which stands for the cells that complete them.
+_AFTER_TREES = 256
 
 
 def classes_of(vectors: DataFrame) -> DataFrame:
@@ -100,10 +103,6 @@ def _pivots(unit: np.ndarray, gap: float, n: int) -> np.ndarray | None:
     return best
 
 
-def _vectors(raw: pd.Series) -> np.ndarray:
-    return _unit(np.array([np.frombuffer(r, "<f4") for r in raw]))
-
-
 def cells(classes: DataFrame, least: float, seed: int = SEED) -> DataFrame:
     """(class, dim, cell, home): every class at home in one cell, and a visitor of all others with a class it may link with."""
     gap = float(np.sqrt(max(2 - 2 * least, 0)))
@@ -151,24 +150,43 @@ def cells(classes: DataFrame, least: float, seed: int = SEED) -> DataFrame:
 
 
 def _tiles(members: DataFrame) -> DataFrame:
-    """(class, cell, i, j, role): rows of each tile; role has bit 0 if the class's links count there, bit 1 if it is met there."""
+    """(class, cell, tree, i, j, role): rows of each tile; role has bit 0 if the class's links count there, bit 1 if it is met there."""
     sizes = members.groupBy("cell").agg(F.count("class").alias("n"), F.first("dim").alias("dim"))
     side = F.greatest(F.lit(LEAF), F.least(F.ceil(F.col("n") / 8), F.floor(F.lit(TILE_VALUES) / F.col("dim"))))
     groups = stored(sizes.select("cell", F.ceil(F.col("n") / side).cast("bigint").alias("groups")), "groups")
     dealt = members.join(groups, "cell").withColumn("g", F.pmod(F.xxhash64("class", "cell"), F.col("groups")))
     k, g, mine = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)), F.col("g"), F.col("home").cast("int")
-    spread = dealt.select("class", "cell", "g", "home", k.alias("k"))
+    spread = dealt.select("class", "cell", "tree", "g", "home", k.alias("k"))
     tile = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.cast("int").alias("role"))
     own = F.array(tile(g, g, mine + 2))
     others = F.when(F.col("home"), F.array(tile(g, F.col("k"), F.lit(1)), tile(F.col("k"), g, F.lit(2)))).otherwise(
         F.array(tile(F.col("k"), g, F.lit(2))))
-    return spread.select("class", "cell", F.explode(F.when(g == F.col("k"), own).otherwise(others)).alias("t")).select("class", "cell", "t.*")
+    return spread.select("class", "cell", "tree", F.explode(F.when(g == F.col("k"), own).otherwise(others)).alias("t")).select(
+        "class", "cell", "tree", "t.*")
+
+
+def _counted(homes: list[np.ndarray], places: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of a row of ``homes`` and one of ``places`` a tree before has counted: a home is one of the places."""
+    leaves, at = np.unique(np.concatenate(homes), return_inverse=True)
+    met = np.concatenate(places)
+    there = np.minimum(np.searchsorted(leaves, met), len(leaves) - 1)
+    column, same = np.repeat(np.arange(len(places)), [len(p) for p in places]), leaves[there] == met
+    holds = np.zeros((len(leaves), len(places)), bool)
+    holds[there[same], column[same]] = True
+    out = np.zeros((len(homes), len(places)), bool)
+    for tree in at.reshape(len(homes), -1).T:  # each vector has one home in each tree
+        out |= holds[tree]
+    return out
 
 
 def _compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
-    """By class of a tile, how many vectors it links there, and the smallest class that links within the tile reach."""
+    """By class of a tile, how many vectors it links there that no tree before has counted, and the smallest class reached.
+
+    ``homes`` and ``places`` are a class's leaves in the trees before: those where it is at home, and all.
+    """
     rows = rows.sort_values("class", kind="stable")
     cls, copies, role = (rows[c].to_numpy() for c in ("class", "copies", "role"))
+    homes, places = rows["homes"].tolist(), rows["places"].tolist()
     unit = _vectors(rows["raw"])
     short = unit.astype(np.float32)
     unsure = np.float32((unit.shape[1] + 8) * 2.0**-22)  # single precision may be wrong within this
@@ -190,8 +208,10 @@ def _compare(rows: pd.DataFrame, least: float) -> pd.DataFrame:
             if not some.any():
                 continue
             i, linked = i[some], linked[some]
-            n[i] += linked @ copies[j].astype(float)
             root = _joined(root, linked, i, j)
+            if len(homes[i[0]]):
+                linked &= ~_counted([homes[x] for x in i], [places[x] for x in j])
+            n[i] += linked @ copies[j].astype(float)
     seen = (n > 0) | (root != np.arange(len(cls)))
     return pd.DataFrame({"class": cls[seen], "n": n[seen].astype(np.int64), "root": cls[root[seen]]})
 
@@ -213,24 +233,38 @@ def _joined(root: np.ndarray, linked: np.ndarray, i: np.ndarray, j: np.ndarray)
         root = parent[root]
 
 
-def near_duplicates(vectors: DataFrame, least: float, seed: int = SEED) -> DataFrame:
+def _met(members: DataFrame, classes: DataFrame, leaves: DataFrame, least: float, name: str) -> DataFrame:
+    """(class, n, root): what ``_compare`` finds in all tiles of the members (class, dim, cell, tree, home)."""
+    before = lambda c: F.coalesce(F.filter(c, lambda x: F.pmod(x, F.lit(_AFTER_TREES)) < F.col("tree")), F.array().cast("array<bigint>"))
+    full = _tiles(members).join(classes.select("class", "copies", "raw"), "class").join(leaves, "class", "left").select(
+        "class", "cell", "i", "j", "role", "copies", "raw", before("homes").alias("homes"), before("places").alias("places"))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        return _compare(rows, least)
+
+    return stored(full.groupBy("cell", "i", "j").applyInPandas(compare, "class bigint, n bigint, root bigint"), name)
+
+
+def near_duplicates(vectors: DataFrame, least: float, seed: int = SEED, complete: bool = True) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of (vec_id, embedding, label): vectors of one label with a cosine of at least ``least``.
 
     Rows with one vec_id are one vector: the one with the smallest label and
     embedding. Vectors that are null, empty, zero or hold null or non-finite
     components, and those without a label or id, link with nothing; the row of a
-    null id has no component. Equal vectors link like all others. All links are found, and none below ``least`` is made.
+    null id has no component. Equal vectors link like all others. All links are found, and none below ``least`` is made;
+    without ``complete`` only those that a leaf of the forest holds.
     """
     one = vectors.select("vec_id", "label", "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
     keyed = one.select("vec_id", "v.*").withColumns({"h1": F.xxhash64("embedding"), "h2": F.hash("embedding")})
     classes = classes_of(keyed)
-    places = _tiles(stored(cells(classes, least, seed), "members"))
-    full = places.join(classes.select("class", "copies", "raw"), "class")
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        return _compare(rows, least)
-
-    met = stored(full.groupBy("cell", "i", "j").applyInPandas(compare, "class bigint, n bigint, root bigint"), "met")
+    members = stored(trees.leaves(classes, least, LEAF, seed), "leaves")
+    code = F.col("node") * _AFTER_TREES + F.col("tree")
+    split = members.filter("node > 1")
+    leaves = stored(split.groupBy("class").agg(F.collect_list(F.when(F.col("home"), code)).alias("homes"), F.collect_list(code).alias("places")), "places")
+    met = _met(members, classes, leaves, least, "met-in-leaves")
+    if complete and not leaves.isEmpty():
+        rest = stored(cells(classes.join(leaves.select("class"), "class", "left_semi"), least, seed), "members")
+        met = met.unionByName(_met(rest.withColumn("tree", F.lit(_AFTER_TREES)), classes, leaves, least, "met-in-cells"))
     counts = met.groupBy("class").agg(F.sum("n").alias("n"))
     reached = components(met.filter("class <> root").select(F.col("class").alias("u"), F.col("root").alias("v")))
     named = classes.select("label", "h1", "h2", "class", "copies").join(counts, "class", "left").join(
