@@ -256,3 +256,21 @@ def test_roll_up_of_a_bucketed_log_needs_no_shuffle(spark, make_log, params):
             land_bucketed(log, f"{table}_0", 0)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def test_buckets_grow_with_the_log(spark, make_log, monkeypatch):
+    import uuid
+
+    from wattledger.sources import logs
+
+    monkeypatch.setattr(logs, "ROWS_PER_BUCKET", 10)
+    log = make_log(*[{"JobID": str(j)} for j in range(57)])
+    for least, expected in ((4, 6), (8, 8)):
+        table = f"grown_{uuid.uuid4().hex}"
+        logs.land_bucketed(log, table, least)
+        try:
+            found = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {table}").collect()}
+            assert int(found["Num Buckets"]) == expected
+            assert spark.table(table).count() == 57
+        finally:
+            spark.sql(f"DROP TABLE {table}")

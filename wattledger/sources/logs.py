@@ -214,10 +214,15 @@ _SPANS = f"job string, first_day date, last_day date, {SUBMIT_DAY} date"
 JOB = "single_jobID"
 
 
+# Rows of a log that a bucket holds on average, at most: a task sorts or rolls up one bucket. The bound on buckets is Spark's.
+ROWS_PER_BUCKET, MOST_BUCKETS = 1_000_000, 100_000
+
+
 def land_bucketed(logs: DataFrame, table: str, buckets: int) -> None:
-    """Keep a copy of the log as a table in ``buckets`` buckets by job, each sorted by job and position.
+    """Keep a copy of the log as a table in buckets by job, each sorted by job and position.
 
-    The log is shuffled once, here. Rows of a job lie in one file, so a roll-up of the
+    There are ``buckets`` of them, or more where they would hold more than ROWS_PER_BUCKET
+    rows each: tasks do not grow with the log, their number does. The log is counted and shuffled once, here. Rows of a job lie in one file, so a roll-up of the
     table needs no shuffle, however often it is made. A job that holds a large part of
     all rows makes one bucket as much larger; ``land_logs`` is for such logs. The table
     must not exist yet. Rows of several clusters share a bucket if their job ids agree.
@@ -225,6 +230,7 @@ def land_bucketed(logs: DataFrame, table: str, buckets: int) -> None:
     if buckets < 1:
         raise ValueError("a table needs at least one bucket")
     keyed = logs.withColumn(JOB, F.expr(job_id("JobID")))
+    buckets = min(max(buckets, -(-logs.count() // ROWS_PER_BUCKET)), max(buckets, MOST_BUCKETS))
     # Dealt out as the buckets are, so every task writes one file per bucket it holds.
     dealt = keyed.repartition(buckets, JOB)
     dealt.write.bucketBy(buckets, JOB).sortBy(JOB).format("parquet").saveAsTable(table)
