@@ -274,3 +274,12 @@ def test_buckets_grow_with_the_log(spark, make_log, monkeypatch):
             assert spark.table(table).count() == 57
         finally:
             spark.sql(f"DROP TABLE {table}")
+
+
+def test_index_of_days_has_few_files(spark, tmp_path, make_log):
+    path = str(tmp_path / "landed")
+    land_logs(spread_log(make_log), path)
+    spans = spark.read.parquet(spans_path(path))
+    n_days = spans.select("SubmitDay").distinct().count()
+    assert n_days > 30
+    assert spans.select("_metadata.file_path").distinct().count() < n_days / 4

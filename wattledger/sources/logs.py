@@ -186,7 +186,9 @@ def land_logs(logs: DataFrame, path: str, fmt: str = "parquet", by_day: bool = T
     writer.format(fmt).save(path)
     if by_day and fmt != "csv":
         landed = logs.sparkSession.read.format(fmt).schema(logs.schema).load(path)
-        day_spans(landed).write.mode("errorifexists").partitionBy(SUBMIT_DAY).parquet(spans_path(path))
+        # Cut by day into files of sensible size, not into a folder per day: tasks times days would be a great many files.
+        spans = day_spans(landed).repartitionByRange(SUBMIT_DAY, "job").sortWithinPartitions(SUBMIT_DAY)
+        spans.write.mode("errorifexists").parquet(spans_path(path))
 
 
 def spans_path(path: str) -> str:
