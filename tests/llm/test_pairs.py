@@ -2,14 +2,17 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from fractions import Fraction
 
 import helpers
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from wattledger.llm import forest, setjoin, trees, winnow
+from wattledger.llm import textbytes as tb
 from wattledger.llm.components import components
 
 
@@ -38,6 +41,40 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_memory_of_many_short_texts(monkeypatch):
+    texts = pa.array([f"w{i}" for i in range(20_000)])
+    (_, data, offsets), = tb.slices(texts)
+    h, bounds = setjoin._sets(data, offsets, 3)
+    every = []
+    assert peak_mb(lambda: every.extend(setjoin._sketches(h, bounds))) < 32
+    assert len(every) == 20_000 and all(np.unpackbits(np.frombuffer(x, np.uint8)).sum() == 1 for x in every)
+    alone = setjoin._sketches(h[300:301], np.array([0, 1]))
+    assert every[300:301] == alone and every[301:302] != alone
+    assert setjoin._sketches(h[:0], np.zeros(1, np.int64)) == []
+
+
+def test_memory_of_words_does_not_follow_the_column(monkeypatch):
+    monkeypatch.setattr(tb, "_powers", [])
+    column = pa.array(["some words of a text " * 50] * 2000)
+    assert peak_mb(lambda: [len(tb.words(data, offsets).row) for _, data, offsets in tb.slices(column)]) < 24
+
+
+def test_copies_send_their_class_once_until_it_is_forgotten():
+    fresh = setjoin._Fresh(2)
+    assert fresh(np.array([1, 1, 2])).tolist() == [True, False, True]
+    assert fresh(np.array([2, 1])).tolist() == [False, False]
+    assert fresh(np.array([3, 1, 3])).tolist() == [True, True, False]
+
+
 def sets_of(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if not words:

@@ -45,6 +45,8 @@ SECOND_CENTRE = 16
 _SET_FILTER_BITS = 1 << 24
 # Bits of a set's sketch: each n-gram flips one. Two sets differ in at least as many n-grams as their sketches in bits.
 SKETCH_BITS = 2048
+# Rows sketched at a time: a sketch takes eight bytes a bit while it is counted, however short its text is.
+SKETCHED_ROWS = 256
 
 
 def _sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,10 +78,31 @@ def _digests(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _sketches(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    rows = len(bounds) - 1
-    place = np.repeat(np.arange(rows), np.diff(bounds)) * SKETCH_BITS + (h >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
-    bits = np.bincount(place, minlength=rows * SKETCH_BITS).astype(np.uint8) & 1
-    return [row.tobytes() for row in np.packbits(bits.reshape(rows, SKETCH_BITS), axis=1)]
+    out = []
+    for at in range(0, len(bounds) - 1, SKETCHED_ROWS):
+        b = bounds[at:at + SKETCHED_ROWS + 1]
+        rows = len(b) - 1
+        place = np.repeat(np.arange(rows) * SKETCH_BITS, np.diff(b)) + (h[b[0]:b[-1]] >> np.uint64(20) & np.uint64(SKETCH_BITS - 1)).astype(np.int64)
+        bits = np.bincount(place, minlength=rows * SKETCH_BITS).astype(np.uint8) & 1
+        out += [row.tobytes() for row in np.packbits(bits.reshape(rows, SKETCH_BITS), axis=1)]
+    return out
+
+
+class _Fresh:
+    """Tells which classes come for the first time. It forgets what it saw when that gets long: a copy may pass, no class is lost."""
+
+    def __init__(self, most: int = 1 << 16) -> None:
+        self.seen, self.most = set(), most
+
+    def __call__(self, cls: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(cls), bool)
+        for i, c in enumerate(cls.tolist()):
+            if c not in self.seen:
+                if len(self.seen) >= self.most:
+                    self.seen.clear()
+                self.seen.add(c)
+                out[i] = True
+        return out
 
 
 def _indexed(least: Fraction, n: np.ndarray) -> np.ndarray:
@@ -151,6 +174,7 @@ class Join:
         k, indexed, frequent = self.k, partial(_indexed, self.least), self.frequent(signatures)
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fresh = _Fresh()
             for batch in batches:
                 for _, data, offsets in tb.slices(batch.column(0)):
                     h, bounds = _sets(data, offsets, k)
@@ -158,8 +182,8 @@ class Join:
                     row = np.repeat(np.arange(len(n)), n)
                     order = np.argsort(row * 2 + in_filter(frequent, h), kind="stable")
                     pos = np.arange(len(h)) - bounds[:-1][row]
-                    kept = pos < indexed(n)[row]
                     cls, _ = _digests(h, bounds)
+                    kept = (pos < indexed(n)[row]) & fresh(cls)[row]
                     yield pa.RecordBatch.from_arrays([
                         pa.array(h[order][kept].view(np.int64)), pa.array(cls[row[kept]]), pa.array(n[row[kept]]), pa.array(pos[kept].astype(np.int32)),
                     ], ["gram", "class", "n", "pos"])
@@ -167,7 +191,8 @@ class Join:
         rows = self.documents.select("text").mapInArrow(emit, "gram bigint, class bigint, n bigint, pos int")
         p, q = self.least.numerator, self.least.denominator
         near = F.col("pos") * (2 * p) <= F.col("n") * (q - p)
-        once = rows.groupBy("gram", "class").agg(F.min("n").alias("n"), F.min("pos").alias("pos")).withColumn("near", near)
+        # A task sends a class about once, so combining rows before the shuffle would fill its memory for nothing.
+        once = rows.repartition("gram", "class").groupBy("gram", "class").agg(F.min("n").alias("n"), F.min("pos").alias("pos")).withColumn("near", near)
         once = stored(once, "grams")
         lists = once.groupBy("gram").agg(F.count("class").alias("size"), F.max("near").alias("any_near"))
         return stored(once.join(lists.filter("size > 1 AND any_near").select("gram"), "gram"), "index")
