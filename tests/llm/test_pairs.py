@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from wattledger.llm import components as graph
 from wattledger.llm import forest, setjoin, trees, winnow
 from wattledger.llm import textbytes as tb
 from wattledger.llm.components import components
@@ -41,6 +42,17 @@ def test_components_of_paths_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "u bigint, v bigint")).count() == 0
 
 
+def test_rounds_of_stars_are_planned_in_steps_of_one_join(spark, monkeypatch):
+    plans, stored = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: (
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join Inner")), stored(df, name))[1])
+    links = spark.createDataFrame([(1, 2), (2, 3), (5, 4)], "u bigint, v bigint")
+    derived = links.join(links.select("u").distinct(), "u")
+    assert {r.u for r in graph.closer(derived).collect()} == {2, 3, 5}
+    assert components(derived).count() > 0
+    assert max(plans) == 1
+
+
 def peak_mb(run):
     tracemalloc.start()
     try:

@@ -31,9 +31,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v")))
 
 
+def _round(edges: DataFrame) -> DataFrame:
+    """A large and a small star. The first is stored, since the second reads it twice and plans would grow with every use."""
+    star = stored(_large_star(edges).distinct(), "star")
+    return _small_star(star).filter("u <> v").distinct()
+
+
 def closer(edges: DataFrame) -> DataFrame:
     """Edges (u, v), v below u, that connect the same nodes in fewer steps: one round of what ``components`` does."""
-    return stored(_small_star(_large_star(edges.select("u", "v").filter("u <> v").distinct()).distinct()).filter("u <> v").distinct(), "closer")
+    now = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
+    return stored(_round(now), "closer")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -45,8 +52,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     before = None
     while True:
-        moved = _small_star(_large_star(now).distinct()).filter("u <> v").distinct()
-        now = stored(moved, "edges")
+        now = stored(_round(now), "edges")
         sums = now.selectExpr("count(*)", "sum(cast(u as decimal(38, 0)))", "sum(cast(xxhash64(u, v) as decimal(38, 0)))").first()
         if sums == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
