@@ -123,6 +123,21 @@ def test_toxic_texts_are_found(spark):
             assert any(w in ("vile", "nasty", "rotten") or w.startswith("grim") for w in words[p.first:p.until])
 
 
+def test_repeats_within_a_text_are_one_word(spark):
+    """Texts that say some word of their own thirty times teach nothing about it, and are not toxic for it."""
+    rows, labels = toxic_corpus(6, 900)
+    rng = random.Random(7)
+    spoken = sorted({w for _, text, _ in rows for w in text.split()} - {"vile", "nasty", "rotten"})
+    rows = [(i, f"{text} {' '.join(w for w in rng.sample(spoken, 5) for _ in range(30))}" if i % 3 == 0 else text, lang) for i, text, lang in rows]
+    docs, marks = helpers.documents(spark, rows), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    model = toxicity.train(docs, marks.filter("doc_id < 600"))
+    scored = toxicity.score_documents(docs, model).join(marks, "doc_id").filter("doc_id >= 600").collect()
+    wrong = Counter(r.toxic for r in scored if (r.score >= 0.5) != bool(r.toxic))
+    assert sum(wrong.values()) <= 9
+    once = toxicity.count_words(helpers.documents(spark, [(1, "Vile vile vile", "en")])).collect()
+    assert sum(r.n for r in once) == 1 + len(toxicity.PREFIXES)
+
+
 def test_scores_do_not_depend_on_the_bound_of_rows(spark, monkeypatch):
     """Texts with one doubtful word are toxic in three of ten cases, however many clean rows are learned from."""
     rows, labels = toxic_corpus(4, 900)

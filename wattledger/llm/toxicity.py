@@ -66,25 +66,39 @@ def _buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[tb.Words, list[np.n
     return tb.Words(start, end, row, every[0], first), [(h >> shift).astype(np.int64) + (i << BUCKET_BITS) for i, h in enumerate(every)]
 
 
+def _first_of_text(found: tb.Words) -> np.ndarray:
+    """Indices of the words that their text does not hold before, ascending."""
+    key = tb.mix(found.hash + found.row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.sort(np.unique(key, return_index=True)[1])
+
+
 def _scored(odds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[tb.Words, np.ndarray]:
-    """The words of a slice of rows and their scores."""
+    """The words of a slice of rows and their scores; a word that comes again in its text says nothing new."""
     found, buckets = _buckets(data, offsets)
-    strongest = odds[buckets[0]]
+    once = _first_of_text(found)
+    strongest = odds[buckets[0][once]]
     for prefix in buckets[1:]:
-        other = odds[prefix]
+        other = odds[prefix[once]]
         strongest = np.where(np.abs(strongest) >= np.abs(other), strongest, other)
-    return found, strongest.astype(np.float64) - DRIFT
+    score = np.full(len(found.row), -DRIFT)
+    score[once] += strongest
+    return found, score
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """(bucket, n): words and prefixes of the column ``text`` of all rows by bucket."""
+    """(bucket, n): words and prefixes of the column ``text`` of all rows by bucket, each word once per text.
+
+    Standard errors hold for words that come independently, which the repeats of one text do not.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(_N_BUCKETS, np.int64)
         for batch in batches:
             for _, data, offsets in tb.slices(batch.column(0)):
-                for buckets in _buckets(data, offsets)[1]:
-                    total += np.bincount(buckets, minlength=len(total))
+                found, every = _buckets(data, offsets)
+                once = _first_of_text(found)
+                for buckets in every:
+                    np.add.at(total, buckets[once], 1)
         there = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(there, pa.int32()), pa.array(total[there], pa.int64())], ["bucket", "n"])
 
