@@ -53,6 +53,24 @@ def test_rounds_of_stars_are_planned_in_steps_of_one_join(spark, monkeypatch):
     assert max(plans) == 1
 
 
+def planned(monkeypatch, *modules):
+    """Physical plans of all tables that the modules store from now on."""
+    plans = []
+    for module in modules:
+        monkeypatch.setattr(module, "stored", lambda df, name, *by, f=module.stored: (
+            plans.append(df._jdf.queryExecution().executedPlan().toString()), f(df, name, *by))[1])
+    return plans
+
+
+def test_many_edges_are_not_broadcast(spark, monkeypatch):
+    # Numbers in a row take about a byte each in a file, by which Spark would send them all through the driver.
+    plans, n = planned(monkeypatch, graph), 120_000
+    star = spark.range(1, n).selectExpr("id AS u", "0L AS v")
+    got = components(star)
+    assert got.count() == n - 1 and got.agg({"component": "max"}).first()[0] == 0
+    assert plans and not [p for p in plans if "BroadcastHashJoin" in p]
+
+
 def peak_mb(run):
     tracemalloc.start()
     try:
@@ -205,6 +223,18 @@ def test_no_link_of_a_dense_group_is_lost(spark, monkeypatch, n, groups, tile):
     assert [got[i].component_id for i in range(n)] == component.tolist()
 
 
+@pytest.mark.parametrize("groups", [1, 12])
+def test_tables_of_vectors_are_not_broadcast(spark, monkeypatch, groups):
+    monkeypatch.setattr(forest, "LEAF", 100)
+    monkeypatch.setattr(forest, "SENT_ROWS", 500)
+    plans = planned(monkeypatch, forest, trees)
+    out = forest.near_duplicates(vectors(spark, one_cluster(1000, groups)[0]), 0.93)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    # Joins by cell may send their smaller side, a row for each cell of many vectors; those by vector or class nothing.
+    sent = re.findall(r"BroadcastHashJoin \[(\w+).*?(BuildLeft|BuildRight)", "\n".join(plans))
+    assert sent and set(sent) == {("cell", "BuildRight")}
+
+
 def test_cells_take_groups_apart(spark, monkeypatch):
     monkeypatch.setattr(forest, "LEAF", 100)
     rows, _ = one_cluster(3000, 12)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import trees
-from .common import stored, table
+from .common import SENT_ROWS, stored, table, unsent
 from .components import components
 from .trees import vectors as _vectors
 
@@ -106,7 +106,7 @@ def _pivots(unit: np.ndarray, gap: float, n: int) -> np.ndarray | None:
 def cells(classes: DataFrame, least: float, seed: int = SEED) -> DataFrame:
     """(class, dim, cell, home): every class at home in one cell, and a visitor of all others with a class it may link with."""
     gap = float(np.sqrt(max(2 - 2 * least, 0)))
-    raw = classes.select("class", "raw")
+    raw = unsent(classes.select("class", "raw"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class", kind="stable")
@@ -136,7 +136,8 @@ def cells(classes: DataFrame, least: float, seed: int = SEED) -> DataFrame:
             choose, "cell bigint, parts bigint, pivots binary"), f"pivots-{level}")
         if split.isEmpty():
             break
-        parts = split.select("cell", "parts")
+        # Stored without the pivots, in whose size Spark would take this for larger than the rows it is joined with.
+        parts = stored(split.select("cell", "parts"), f"parts-{level}")
         # Cells that pivots do not take apart would not be taken apart later either.
         done.append(now.join(parts, "cell", "left_anti").select("class", "dim", "cell", "home"))
         rows = now.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("class"), F.col("parts"))).join(raw, "class").drop("parts")
@@ -236,7 +237,7 @@ def _joined(root: np.ndarray, linked: np.ndarray, i: np.ndarray, j: np.ndarray)
 def _met(members: DataFrame, classes: DataFrame, leaves: DataFrame, least: float, name: str) -> DataFrame:
     """(class, n, root): what ``_compare`` finds in all tiles of the members (class, dim, cell, tree, home)."""
     before = lambda c: F.coalesce(F.filter(c, lambda x: F.pmod(x, F.lit(_AFTER_TREES)) < F.col("tree")), F.array().cast("array<bigint>"))
-    full = _tiles(members).join(classes.select("class", "copies", "raw"), "class").join(leaves, "class", "left").select(
+    full = _tiles(members).join(unsent(classes.select("class", "copies", "raw")), "class").join(unsent(leaves), "class", "left").select(
         "class", "cell", "i", "j", "role", "copies", "raw", before("homes").alias("homes"), before("places").alias("places"))
 
     def compare(rows: pd.DataFrame) -> pd.DataFrame:
@@ -263,14 +264,16 @@ def near_duplicates(vectors: DataFrame, least: float, seed: int = SEED, complete
     leaves = stored(split.groupBy("class").agg(F.collect_list(F.when(F.col("home"), code)).alias("homes"), F.collect_list(code).alias("places")), "places")
     met = _met(members, classes, leaves, least, "met-in-leaves")
     if complete and not leaves.isEmpty():
-        rest = stored(cells(classes.join(leaves.select("class"), "class", "left_semi"), least, seed), "members")
+        rest = stored(cells(classes.join(unsent(leaves.select("class")), "class", "left_semi"), least, seed), "members")
         met = met.unionByName(_met(rest.withColumn("tree", F.lit(_AFTER_TREES)), classes, leaves, least, "met-in-cells"))
     counts = met.groupBy("class").agg(F.sum("n").alias("n"))
     reached = components(met.filter("class <> root").select(F.col("class").alias("u"), F.col("root").alias("v")))
-    named = classes.select("label", "h1", "h2", "class", "copies").join(counts, "class", "left").join(
-        reached.withColumnRenamed("node", "class"), "class", "left").select(
+    named = classes.select("label", "h1", "h2", "class", "copies").join(unsent(counts), "class", "left").join(
+        unsent(reached.withColumnRenamed("node", "class")), "class", "left").select(
         "label", "h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.coalesce("component", "class").alias("component_id"))
+    if classes.count() > SENT_ROWS:
+        named = unsent(named)
     known = F.col("vec_id").isNotNull()
     component = F.when(known, F.coalesce("component_id", "vec_id"))
     return keyed.join(named, ["label", "h1", "h2"], "left").select(

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, unsent
 
 TREES = 6
 # Overlap on either side of a cut, in standard deviations of the projected difference of two vectors that just link.
@@ -65,7 +65,7 @@ def leaves(classes: DataFrame, least: float, leaf: int, seed: int) -> DataFrame:
     A root, all vectors of one label and length, that no tree splits is one cell
     of one tree; its node is 1. ``home`` marks the one leaf of a tree where a class is at home.
     """
-    raw = classes.select("class", "raw")
+    raw = unsent(classes.select("class", "raw"))
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class", kind="stable")
